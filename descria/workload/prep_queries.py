@@ -401,17 +401,28 @@ def optimize(spark, sf):
     return moments.column_profile(out.table, out.kept).select("feature")
 
 
+_PAIR_LIST = ", ".join(
+    f"{{'i': {i}, 'j': {j}, 'r': corr({a}, {b})}}"
+    for i, a in enumerate(ORD_FEATURES)
+    for j, b in enumerate(ORD_FEATURES)
+    if i < j
+)
+_TARGET_LIST = ", ".join(f"round(abs(corr({c}, value)), 9)" for c in ORD_FEATURES)
+
+
 @query(
     "optimize_all_regression",
-    f"WITH {ORD_FILLED_SQL}, {long_sql('ordf', ORD_FEATURES)}, p AS (SELECT corr(n_lines, qty) AS nq,"
-    " abs(corr(n_lines, value)) AS tn, abs(corr(qty, value)) AS tq FROM ordf)"
-    " SELECT feature, round(var_pop(v), 2) AS variance FROM cells, p GROUP BY pos, feature, nq, tn, tq"
-    " HAVING var_pop(v) > 0.05 AND NOT (nq > 0.85 AND feature = CASE WHEN tn >= tq THEN 'qty' ELSE 'n_lines' END)",
+    f"WITH RECURSIVE {ORD_FILLED_SQL}, {long_sql('ordf', ORD_FEATURES)}, st AS (SELECT [{_PAIR_LIST}] AS p,"
+    f" [{_TARGET_LIST}] AS t FROM ordf), ed AS (SELECT x.i, x.j, t[x.i + 1] AS ti, t[x.j + 1] AS tj FROM"
+    f" (SELECT unnest(p) AS x, t FROM st) WHERE abs(x.r) > 0.7), {_GREEDY}, gone AS (SELECT unnest(gone) AS w FROM walk"
+    " WHERE k = (SELECT max(k) FROM walk)) SELECT feature, round(var_pop(v), 2) AS variance FROM cells"
+    " WHERE pos NOT IN (SELECT w FROM gone) GROUP BY feature HAVING var_pop(v) > 0.05",
 )
 def optimize_reg(spark, sf):
-    data = d_ord(spark, sf).select("o_orderkey", "n_lines", "qty", "disc", "tax", "value")
-    out = optimize_all(data, 0.05, 0.85, task="regression", protected=["o_orderkey"])
-    return rounded(moments.column_profile(out.table, out.kept).select("feature", "variance"), ["variance"], 2)
+    # Every order column varies by more than the threshold, so only correlation decides here.
+    out = optimize_all(d_ord(spark, sf).drop("Label"), 0.0, 0.7, task="regression", protected=["o_orderkey"])
+    kept = prune.low_variance(out.table, out.kept, 0.05)
+    return rounded(moments.column_profile(kept.table, kept.kept).select("feature", "variance"), ["variance"], 2)
 
 
 @query("importance_lasso")
