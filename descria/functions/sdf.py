@@ -83,15 +83,17 @@ def descriptor_columns(record: Column) -> dict[str, Column]:
     """The constitutional descriptors of a record, under the names used for SMILES."""
     symbols, links = atoms(record), bonds(record)
     heavy = F.size(F.filter(symbols, lambda x: x != "H"))
-    carbon = F.size(F.filter(symbols, lambda x: x == "C"))
 
     def of_order(k: int) -> Column:
         return F.size(F.filter(links, lambda b: b["order"] == k))
 
-    out = {f"n_{e}": F.size(F.filter(symbols, lambda x, e=e: x == e)) for e in smiles.COUNTED}
+    def of_symbol(e: str) -> Column:
+        return F.size(F.filter(symbols, lambda x: x == e))
+
+    out = {f"n_{e}": of_symbol(e) for e in smiles.COUNTED}
     out |= {
         "n_heavy": heavy,
-        "n_hetero": heavy - carbon,
+        "n_hetero": heavy - of_symbol("C"),
         "n_halogen": F.size(F.filter(symbols, lambda x: x.isin(*smiles.HALOGENS))),
         "n_aromatic": of_order(4),
         "n_rings": F.size(links) - F.size(symbols) + fragments(record),

@@ -95,7 +95,7 @@ def shift_values(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
 
 def task_limit(df: DataFrame, pairs: int) -> int:
     floor = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return max(floor, _PARTIAL_BYTES // (_ROW_BYTES * max(pairs, 1)))
+    return min(1_000_000, max(floor, _PARTIAL_BYTES // (_ROW_BYTES * max(pairs, 1))))
 
 
 def _block(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from descria.workload import model_queries, prep_queries  # noqa: F401
+from descria.workload import model_queries, prep_queries, structure_queries  # noqa: F401
 from descria.workload.registry import QUERIES, TWINS, Query
 
 
