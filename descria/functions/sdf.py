@@ -14,11 +14,17 @@ SYMBOL_START, SYMBOL_WIDTH = 32, 3
 
 
 def lines(record: Column) -> Column:
-    return F.split(F.regexp_replace(record, "\r", ""), "\n")
+    return F.split(F.replace(record, F.lit("\r"), F.lit("")), "\n")
+
+
+def line_count(record: Column) -> Column:
+    return F.length(record) - F.length(F.replace(record, F.lit("\n"), F.lit(""))) + 1
 
 
 def _counts_line(record: Column) -> Column:
-    return F.coalesce(F.get(lines(record), F.lit(HEADER_LINES)), F.lit(""))
+    """Line after the header; empty when the record is too short."""
+    upto = F.substring_index(record, "\n", HEADER_LINES + 1)
+    return F.when(line_count(record) > HEADER_LINES, F.substring_index(upto, "\n", -1)).otherwise(F.lit(""))
 
 
 def _count(record: Column, at: int) -> Column:
@@ -40,7 +46,7 @@ def _table(record: Column, skip: Column, n: Column) -> Column:
 def is_valid(record: Column) -> Column:
     """Readable counts line and as many atom and bond lines as it announces."""
     atoms_n, bonds_n = atom_count(record), bond_count(record)
-    enough = F.size(lines(record)) >= F.lit(HEADER_LINES + 1) + atoms_n + bonds_n
+    enough = line_count(record) >= F.lit(HEADER_LINES + 1) + atoms_n + bonds_n
     return F.coalesce((atoms_n >= 0) & (bonds_n >= 0) & enough, F.lit(False))
 
 
@@ -106,7 +112,7 @@ def descriptor_columns(record: Column) -> dict[str, Column]:
 
 
 def title(record: Column) -> Column:
-    return F.trim(F.get(lines(record), F.lit(0)))
+    return F.trim(F.replace(F.substring_index(record, "\n", 1), F.lit("\r"), F.lit("")))
 
 
 def tag(record: Column, name: str) -> Column:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from descria.columns import quoted, require_columns
 from descria.errors import RowCountMismatchError
+from descria.storage import materialise
 
 ROW = "row_idx"
 _PARTITION_BITS = 33
+# Largest sides sent to every task: input splits (about 100 bytes each) and row ordinals (8 bytes each).
+MAX_BROADCAST_CHUNKS = 500_000
+MAX_BROADCAST_ORDINALS = 5_000_000
 
 
 def _tagged(df: DataFrame, from_files: bool) -> tuple[DataFrame, list[str]]:
@@ -28,20 +32,31 @@ def with_row_index(df: DataFrame, name: str = ROW, from_files: bool = True) -> D
     """Add the zero-based position of every row in its source.
 
     Each input split is a chunk whose rows are consecutive; chunk sizes are counted
-    first (one row per split), their running total gives the offset, and the
-    position inside a chunk is a subtraction. No sort and no per-row shuffle, and
-    the order is that of (file path, offset in file) however Spark packs splits.
-    Call it directly on a scan; ``from_files=False`` uses partition order.
+    first and written out (one row per split), their running total gives the
+    offset, and the position inside a chunk is a subtraction. The rows themselves are
+    neither sorted nor shuffled, and the order is that of (file path, offset in file)
+    however Spark packs splits. Call it directly on a scan; ``from_files=False`` uses
+    partition order.
     """
     tagged, keys = _tagged(df, from_files)
     chunks = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__mark").alias("__first"))
     # One row per input split, so this window orders a table of that size only.
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select(*keys, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    ranked = chunks.select(*keys, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    offsets = small_side(materialise(ranked, "chunks"), MAX_BROADCAST_CHUNKS)
     position = (F.col("__offset") + F.col("__mark") - F.col("__first")).cast("bigint").alias(name)
     return tagged.join(offsets, keys).select(position, *[quoted(c) for c in df.columns])
 
 
+def small_side(df: DataFrame, limit: int) -> DataFrame:
+    """Mark a stored table for broadcast when its row count is within ``limit``.
+
+    Beyond that Spark joins by shuffle. Without the hint it would plan the shuffle of
+    the big side even for a handful of rows, because it cannot estimate an aggregate.
+    """
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def zip_join(left: DataFrame, right: DataFrame, name: str = ROW) -> DataFrame:
     """Pair two indexed tables by position; different lengths are an error."""
     require_columns(left, [name])
@@ -57,31 +72,36 @@ def key_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
+def asked_ordinals(wanted: DataFrame, name: str = ROW) -> DataFrame:
+    """Distinct wanted ordinals, stored once, ready to be the small side of a join."""
+    asked = wanted.select(F.col(wanted.columns[0]).cast("bigint").alias(name)).distinct()
+    return small_side(materialise(asked, "wanted"), MAX_BROADCAST_ORDINALS)
+
+
 def extract_by_index(records: DataFrame, wanted: DataFrame, valid: str | None = None, name: str = ROW) -> DataFrame:
-    """Records whose ordinal is wanted, in input order; unreadable records are skipped.
+    """Records whose ordinal is wanted; unreadable records are skipped.
 
-    The wanted list can be as long as the library, so the join strategy is left to
-    Spark instead of forcing a broadcast.
+    A list within the size limit is broadcast, so the library is filtered while it
+    is read; a longer one is joined by shuffle. Rows carry their ordinal; sort by it
+    where the order of the file is needed.
     """
-    found = records.join(wanted.select(F.col(wanted.columns[0]).alias(name)).distinct(), name, "left_semi")
-    if valid is not None:
-        found = found.filter(quoted(valid))
-    return found.orderBy(name)
+    readable = records if valid is None else records.filter(quoted(valid))
+    return readable.join(asked_ordinals(wanted, name), name, "left_semi")
 
 
 def indices_not_found(records: DataFrame, wanted: DataFrame, name: str = ROW) -> DataFrame:
     """Wanted ordinals that the library does not have."""
-    asked = wanted.select(F.col(wanted.columns[0]).alias(name)).distinct()
-    return asked.join(records.select(name), name, "left_anti")
+    asked = asked_ordinals(wanted, name)
+    hit = records.select(name).join(asked, name, "left_semi")
+    return asked.join(hit, name, "left_anti")
 
 
 def extraction_counts(records: DataFrame, wanted: DataFrame, valid: str, name: str = ROW) -> DataFrame:
-    """One row ``(requested, extracted, not_found)`` from a single join."""
-    asked = wanted.select(F.col(wanted.columns[0]).alias(name)).distinct()
-    flags = records.select(name, quoted(valid).alias("__ok"))
-    joined = asked.join(flags, name, "left")
-    return joined.agg(
-        F.count(F.lit(1)).alias("requested"),
-        F.count_if(F.coalesce("__ok", F.lit(False))).alias("extracted"),
-        F.count_if(F.col("__ok").isNull()).alias("not_found"),
-    )
+    """One row ``(requested, extracted, not_found)``."""
+    asked = asked_ordinals(wanted, name)
+    hit = records.select(name, quoted(valid).alias("__ok")).join(asked, name, "left_semi")
+    found = hit.agg(F.count_if("__ok").alias("extracted"), F.count(F.lit(1)).alias("found"))
+    requested = asked.agg(F.count(F.lit(1)).alias("requested"))
+    # Two one-row tables side by side.
+    both = requested.withColumn("__k", F.lit(1)).join(found.withColumn("__k", F.lit(1)), "__k")
+    return both.select("requested", "extracted", (F.col("requested") - F.col("found")).alias("not_found"))

@@ -23,7 +23,9 @@ from descria.columns import quoted
 from descria.errors import SearchTooLargeError
 from descria.functions.numeric import finite_or_null
 from descria.operators import gram
+from descria.operators.normal import ols_from_moments, score_from_moments
 from descria.operators.importance import training_view, tree_estimator
+from descria.storage import materialise
 
 # Default ceiling on the number of subsets; raise it explicitly for larger searches.
 MAX_COMBOS = 5_000_000
@@ -69,35 +71,6 @@ def _spread_out(combos: DataFrame, total: int) -> DataFrame:
     return combos.repartition(max(1, min(4 * slots, total // 1000 + 1)))
 
 
-def ols_from_moments(train: gram.Moments, rows: np.ndarray, y: int) -> tuple[np.ndarray, float]:
-    """Minimum-norm least-squares coefficients and intercept (in shifted units)."""
-    mean = train.s / train.n
-    cov = train.g / train.n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov)[rows], 0.0))
-    sd[sd == 0.0] = 1.0
-    unit = cov[np.ix_(rows, rows)] / np.outer(sd, sd)
-    beta = np.linalg.pinv(unit, rcond=1e-12, hermitian=True) @ (cov[rows, y] / sd) / sd
-    return beta, float(mean[y] - beta @ mean[rows])
-
-
-def score_from_moments(held: gram.Moments, rows: np.ndarray, y: int, beta: np.ndarray, b0: float) -> tuple[float, float]:
-    """(R2, MSE) of a linear model on the rows summarised by ``held``."""
-    n = held.n
-    cross = held.g[rows, y] - b0 * held.s[rows]
-    sse = (
-        held.g[y, y]
-        - 2.0 * b0 * held.s[y]
-        + n * b0 * b0
-        - 2.0 * beta @ cross
-        + beta @ held.g[np.ix_(rows, rows)] @ beta
-    )
-    sse = max(float(sse), 0.0)
-    sst = float(held.g[y, y] - held.s[y] ** 2 / n)
-    if sst <= gram.CONSTANT_EPS * abs(held.g[y, y]):
-        return (1.0 if sse == 0.0 else 0.0), sse / n
-    return 1.0 - sse / sst, sse / n
-
-
 def combo_eval_lr(
     df: DataFrame,
     features: Sequence[str],
@@ -294,6 +267,8 @@ def combo_eval_logit(
         quoted(target).cast("double").alias("y"),
         held_out.cast("boolean").alias("held"),
     )
+    # Read once per Newton round: store the narrow table instead of repeating its plan.
+    data = materialise(data, "subsets")
     train, held = data.filter(~F.col("held")).drop("held"), data.filter("held").drop("held")
     stats = gram.collect_moments(train, [f"x{k}" for k in range(d)])[0]
     centre = stats.s / stats.n

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from descria.columns import feature_columns, quoted, require_columns
 from descria.operators import gram, linear, metrics, score, split
-from descria.operators.combos import ols_from_moments, score_from_moments
+from descria.operators.normal import penalised_from_moments, score_from_moments
 from descria.operators.impute import median_impute_global
 from descria.operators.importance import tree_estimator
 from descria.storage import materialise
@@ -150,34 +150,6 @@ def penalties(algorithm: str, params: Mapping, n: float) -> tuple[float, float]:
     return 0.0, 0.0
 
 
-def penalised_from_moments(train: gram.Moments, d: int, l1: float, l2: float) -> tuple[np.ndarray, float]:
-    """Coefficients of the first ``d`` columns for the last one, penalty on standardised columns."""
-    rows = np.arange(d)
-    if l1 == 0.0 and l2 == 0.0:
-        return ols_from_moments(train, rows, d)
-    mean = train.s / train.n
-    cov = train.g / train.n - np.outer(mean, mean)
-    var = np.diag(cov)[:d]
-    std = np.where(var > gram.CONSTANT_EPS * np.diag(train.g)[:d] / train.n, np.sqrt(np.maximum(var, 0)), np.inf)
-    c, b = cov[:d, :d] / np.outer(std, std), cov[:d, d] / std
-    if l1 == 0.0:
-        w = np.linalg.solve(c + l2 * np.eye(d), b)
-    else:
-        w = np.zeros(d)
-        for _ in range(10_000):
-            moved = 0.0
-            for j in range(d):
-                if c[j, j] == 0.0:
-                    continue
-                rho = b[j] - c[j] @ w + c[j, j] * w[j]
-                new = np.sign(rho) * max(abs(rho) - l1, 0.0) / (c[j, j] + l2)
-                moved, w[j] = max(moved, abs(new - w[j])), new
-            if moved <= 1e-10 * (np.abs(w).max() + 1e-300):
-                break
-    beta = w / std
-    return beta, float(mean[d] - beta @ mean[:d])
-
-
 def cv_linear(
     train: DataFrame, features: Sequence[str], target: str, algorithm: str, candidates: Sequence[Mapping], folds: int
 ) -> DataFrame:
@@ -209,11 +181,6 @@ def cv_linear(
     return jobs.mapInPandas(solve, CV_SCHEMA)
 
 
-def refit_linear(train: DataFrame, features: Sequence[str], target: str, algorithm: str, params: Mapping) -> PipelineModel:
-    l1, l2 = penalties(algorithm, params, float(linear.row_count(train)))
-    return linear.fit_least_squares(train, features, target, l1=l1, l2=l2, scaled=True)
-
-
 # --- estimators fitted by Spark jobs ----------------------------------------
 
 
@@ -296,7 +263,8 @@ def refit(
 ) -> PipelineModel:
     """Best candidate fitted on all training rows, with its assembler."""
     if task == "regression" and algorithm in LINEAR_REGRESSORS:
-        return refit_linear(train, features, target, algorithm, params)
+        l1, l2 = penalties(algorithm, params, float(linear.row_count(train)))
+        return linear.fit_least_squares(train, features, target, l1=l1, l2=l2, scaled=True)
     data = train.select(*[quoted(c) for c in features], quoted(target).cast("double").alias(target))
     estimator = estimator_for(algorithm, task, target, params, linear.row_count(data), seed)
     return Pipeline(stages=[linear.assembler(features), estimator]).fit(data)
@@ -316,15 +284,16 @@ def _search(
     parallelism: int,
 ) -> GridResult:
     label = target if task == "classification" else None
-    marked = split.mark_held_out(df, key, test_size, seed, label)
-    train = marked.filter(~F.col("is_test")).drop("is_test")
-    held_out = marked.filter("is_test").drop("is_test")
-    folded = split.mark_folds(train, key, cv_splits, seed, label)
+    marked = split.mark_split_and_folds(df, key, test_size, cv_splits, seed, label)
+    # Every fit and score below reads these columns again: store them once.
+    marked = materialise(marked, "search")
+    train = marked.filter(F.col("fold") >= 0)
+    held_out = marked.filter(F.col("fold") < 0).drop("fold")
     candidates = param_grid(algorithm, task, grid)
     if task == "regression" and algorithm in LINEAR_REGRESSORS:
-        cv = cv_linear(folded, features, target, algorithm, candidates, cv_splits)
+        cv = cv_linear(train, features, target, algorithm, candidates, cv_splits)
     else:
-        cv = cv_fitted(folded, features, target, algorithm, task, candidates, cv_splits, seed, parallelism)
+        cv = cv_fitted(train, features, target, algorithm, task, candidates, cv_splits, seed, parallelism)
     cv = materialise(cv, "cv")
     best, best_score = best_candidate(cv, "accuracy" if task == "classification" else "R2")
     model = refit(train, features, target, algorithm, task, candidates[best], seed)

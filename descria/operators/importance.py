@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -14,8 +15,10 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame
 
 from descria.columns import quoted
+from descria.operators import gram
 from descria.operators.linear import VECTOR, assembler, fit_least_squares, logistic, row_count
 from descria.operators.moments import column_profile
+from descria.operators.normal import column_std, penalised_from_moments
 
 SEED = 42
 # Spark's depth limit; stands for "unlimited".
@@ -93,6 +96,9 @@ def lasso_scores(
     With ``scaled`` the scores refer to standardised columns, so they are
     comparable across columns of different units.
     """
+    if len(features) < 2 * gram.STRIP:
+        m = gram.collect_moments(df, [*features, target])[0]
+        return lasso_from_moments(m, features, alpha, scaled)
     model = fit_least_squares(df, features, target, l1=alpha, scaled=scaled, max_iter=max_iter, tol=tol).stages[-1]
     values = [abs(float(v)) for v in model.coefficients.toArray()]
     if scaled:
@@ -101,6 +107,14 @@ def lasso_scores(
     return dict(zip(features, values, strict=True))
 
 
+def lasso_from_moments(m: gram.Moments, features: Sequence[str], alpha: float, scaled: bool) -> dict[str, float]:
+    """The same scores from moments of the features and, last, the target."""
+    d = len(features)
+    beta, _ = penalised_from_moments(m, d, alpha, 0.0, scaled)
+    size = np.abs(beta) * (column_std(m)[:d] if scaled else 1.0)
+    return {f: float(v) for f, v in zip(features, size, strict=True)}
+
+
 def logistic_lasso_scores(
     df: DataFrame, features: Sequence[str], target: str, alpha: float, max_iter: int = 1000
 ) -> dict[str, float]:

@@ -68,10 +68,14 @@ def impute(
     return Imputed(apply_fills(df, known).select(*[quoted(c) for c in order]), known, dropped)
 
 
-def median_fill_prep(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Median fill used before variance and correlation; an empty column becomes 0."""
+def median_fill_prep(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+    """Median fill used before variance and correlation; an empty column becomes 0.
+
+    Returns the filled table and the fills.
+    """
     medians = fill_values(df, features, "median")
-    return apply_fills(df, {c: 0.0 if m is None else m for c, m in medians.items()})
+    fills = {c: 0.0 if m is None else m for c, m in medians.items()}
+    return apply_fills(df, fills), fills
 
 
 def median_impute_global(df: DataFrame, features: Sequence[str]) -> Imputed:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from descria.columns import name_at, quoted
+from descria.columns import is_fractional, is_numeric, name_at, quoted
 from descria.functions.numeric import finite_or_null, is_infinite
 
 # Half-width of the rank bracket asked from the quantile sketch, and the sketch's
@@ -59,23 +59,26 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str], keep: Column | None = None) -> DataFrame:
-    """Missing cells per column for columns of any type.
+    """Missing cells per column for columns of any type, and the mean of numeric ones.
 
     With ``keep`` (a boolean row expression) the table need not be filtered first:
-    ``n_rows_in`` counts all rows, ``n_rows`` and ``n_missing`` only kept ones.
+    ``n_rows_in`` counts all rows; ``n_rows``, ``n_missing`` and ``mean`` only kept ones.
     """
     kept = F.lit(True) if keep is None else keep
-    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    fields = {f.name: f for f in df.schema.fields}
 
-    def flag(c: str) -> Column:
-        null = quoted(c).isNull()
-        return null | F.isnan(quoted(c)) if types[c] in ("double", "float") else null
+    def cell(c: str) -> Column:
+        number = finite_or_null(quoted(c)) if is_numeric(fields[c]) else F.lit(None).cast("double")
+        gap = quoted(c).isNull()
+        gap = gap | F.isnan(quoted(c)) if is_fractional(fields[c]) else gap
+        return F.struct(gap.alias("gap"), number.alias("v"))
 
-    long = df.select(kept.alias("kept"), F.posexplode(F.array(*[flag(c) for c in columns])).alias("pos", "gap"))
+    long = df.select(kept.alias("kept"), F.posexplode(F.array(*[cell(c) for c in columns])).alias("pos", "x"))
     stats = long.groupBy("pos").agg(
         F.count(F.lit(1)).alias("n_rows_in"),
         F.count_if("kept").alias("n_rows"),
-        F.count_if(F.col("kept") & F.col("gap")).alias("n_missing"),
+        F.count_if(F.col("kept") & F.col("x.gap")).alias("n_missing"),
+        F.avg(F.when(F.col("kept"), F.col("x.v"))).alias("mean"),
     )
     return stats.select("pos", name_at(F.col("pos"), columns).alias("feature"), *stats.columns[1:])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,13 +138,15 @@ def high_correlation(
     mode: str = "target_based",
     task: str = "classification",
     importance: Importance | None = None,
+    centres: Mapping[str, float] | None = None,
 ) -> Pruned:
     """Remove one side of every feature pair with absolute correlation above the threshold.
 
     ``importance`` is only evaluated when some pair ties on target correlation; it
-    maps feature names to scores.
+    maps feature names to scores. ``centres`` may give a typical value per feature
+    when one is known, which saves the look at the first rows.
     """
-    return _prune(df, features, target, None, threshold, mode, task, importance)
+    return _prune(df, features, target, None, threshold, mode, task, importance, centres)
 
 
 def optimize_columns(
@@ -155,9 +158,12 @@ def optimize_columns(
     mode: str = "target_based",
     task: str = "classification",
     importance: Importance | None = None,
+    centres: Mapping[str, float] | None = None,
 ) -> Pruned:
     """Variance filter, then correlation filter on what is left, from a single scan."""
-    return _prune(df, features, target, variance_threshold, correlation_threshold, mode, task, importance)
+    return _prune(
+        df, features, target, variance_threshold, correlation_threshold, mode, task, importance, centres
+    )
 
 
 def _prune(
@@ -169,13 +175,17 @@ def _prune(
     mode: str,
     task: str,
     importance: Importance | None,
+    centres: Mapping[str, float] | None,
 ) -> Pruned:
     require_columns(df, [*features, target])
     names = [*features, target]
     notes: list[str] = []
     # The pair table is small but read several times below: written once, it cannot be
     # lost with an executor and the rows are scanned only once.
-    table = materialise(gram.gram_table(df, names), "pairs")
+    shift = None
+    if centres is not None:
+        shift = np.array([*[centres[f] for f in features], 0.0])
+    table = materialise(gram.gram_table(df, names, shift=shift), "pairs")
     alive = list(range(len(features)))
     if variance_threshold is not None:
         passed = passing_variance(gram.variances(table), variance_threshold).select("i").collect()

@@ -98,8 +98,7 @@ def mark_held_out(
     keyed = _keyed(df, key, seed, label)
     histogram = _histogram(keyed, label)
     counts = {g: sum(c for _, c in rows) for g, rows in histogram.items()}
-    total = math.ceil(test_size * sum(counts.values()) - 1e-9)
-    sizes = proportional_sizes(counts, total)
+    sizes = proportional_sizes(counts, held_out_size(counts, test_size))
     cut = _cutoffs(keyed, histogram, {g: [k] for g, k in sizes.items()})
     group, h = _group_expr(label), row_hash(key, seed)
     inside = F.lit(False)
@@ -108,6 +107,47 @@ def mark_held_out(
     return df.withColumn(name, inside)
 
 
+def _fold_ranks(n: int, k: int, skip: int = 0) -> list[int]:
+    """Last rank of each of the first ``k - 1`` folds of ``n`` rows that follow ``skip`` others."""
+    return [skip + (f + 1) * (n // k) + min(f + 1, n % k) for f in range(k - 1)]
+
+
+def _numbered(h: Column, limits: Sequence[str], first: int) -> Column:
+    """Number of the interval ``h`` falls in; the intervals end at ``limits``."""
+    out = F.lit(first + len(limits))
+    for f in reversed(range(len(limits))):
+        out = F.when(h <= F.lit(limits[f]), F.lit(first + f)).otherwise(out)
+    return out
+
+
+def mark_split_and_folds(
+    df: DataFrame, key: str, test_size: float = 0.2, k: int = 5, seed: int = 42, label: str | None = None
+) -> DataFrame:
+    """Add ``fold``: -1 on held-out rows, ``0 .. k-1`` on training rows.
+
+    Same sizes as :func:`mark_held_out` followed by :func:`mark_folds` on the rest,
+    from one set of order statistics: the key column is read twice instead of four
+    times.
+    """
+    require_columns(df, [key] if label is None else [key, label])
+    keyed = _keyed(df, key, seed, label)
+    histogram = _histogram(keyed, label)
+    counts = {g: sum(c for _, c in rows) for g, rows in histogram.items()}
+    held = proportional_sizes(counts, held_out_size(counts, test_size))
+    cut = _cutoffs(
+        keyed, histogram, {g: [held[g], *_fold_ranks(counts[g] - held[g], k, held[g])] for g in counts}
+    )
+    group, h = _group_expr(label), row_hash(key, seed)
+    fold = F.lit(None).cast("int")
+    for g, limits in cut.items():
+        fold = F.when(group == F.lit(g), _numbered(h, limits, -1)).otherwise(fold)
+    return df.withColumn("fold", fold)
+
+
+def held_out_size(counts: Mapping[str, int], test_size: float) -> int:
+    return math.ceil(test_size * sum(counts.values()) - 1e-9)
+
+
 def split_random(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, held-out) tables."""
     return _parts(df, mark_held_out(df, key, test_size, seed))
@@ -133,16 +173,10 @@ def mark_folds(
         raise DescriaError("at least two folds are needed")
     keyed = _keyed(df, key, seed, label)
     histogram = _histogram(keyed, label)
-    ranks: dict[str, list[int]] = {}
-    for g, rows in histogram.items():
-        n = sum(c for _, c in rows)
-        ranks[g] = [(f + 1) * (n // k) + min(f + 1, n % k) for f in range(k - 1)]
-    cut = _cutoffs(keyed, histogram, ranks)
+    counts = {g: sum(c for _, c in rows) for g, rows in histogram.items()}
+    cut = _cutoffs(keyed, histogram, {g: _fold_ranks(n, k) for g, n in counts.items()})
     group, h = _group_expr(label), row_hash(key, seed)
     fold = F.lit(k - 1)
     for g, limits in cut.items():
-        inside = F.lit(k - 1)
-        for f in reversed(range(k - 1)):
-            inside = F.when(h <= F.lit(limits[f]), F.lit(f)).otherwise(inside)
-        fold = F.when(group == F.lit(g), inside).otherwise(fold)
+        fold = F.when(group == F.lit(g), _numbered(h, limits, 0)).otherwise(fold)
     return df.withColumn(name, fold)

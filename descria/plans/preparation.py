@@ -39,8 +39,8 @@ def preprocess_all(
     """Infinities to missing, sparse rows out, sparse columns out, fill the rest.
 
     Column shares are taken after the row filter, in the same pass that counts the
-    rows for the report; a second pass gives the fill values. Nothing is filled
-    when nothing is missing. The target never leaves its row. ``counted`` restricts
+    rows for the report and takes the means; medians and modes need further passes.
+    Nothing is filled when nothing is missing. The target never leaves its row. ``counted`` restricts
     the row rule to some columns (default: all).
     """
     spark = df.sparkSession
@@ -65,7 +65,10 @@ def preprocess_all(
     fills: dict[str, float] = {}
     dropped: list[str] = []
     if gaps:
-        found = fill_values(kept, features, imputation_method)
+        if imputation_method == "mean":
+            found = {c: seen[c]["mean"] for c in features}
+        else:
+            found = fill_values(kept, features, imputation_method)
         dropped = [c for c in features if found[c] is None]
         fills = {c: v for c, v in found.items() if v is not None}
     table = apply_fills(kept, fills) if fills else kept
@@ -116,14 +119,14 @@ def optimize_all(
     target = target or ("Label" if task == "classification" else "value")
     skip = {*protected, target, "SMILES", "Name"}
     features = [f.name for f in df.schema.fields if f.name not in skip and is_numeric(f)]
-    data = median_fill_prep(df, features) if task == "regression" else df
+    data, fills = median_fill_prep(df, features) if task == "regression" else (df, None)
 
     def scores(names: Sequence[str]) -> Mapping[str, float]:
         fit = importance_lasso if importance_model == "lasso" else importance_rf
         return fit(data, list(names), target, task)
 
     result = prune.optimize_columns(
-        data, features, target, variance_threshold, correlation_threshold, mode, task, scores
+        data, features, target, variance_threshold, correlation_threshold, mode, task, scores, fills
     )
     if task == "regression":
         return prune.Pruned(

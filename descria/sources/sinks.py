@@ -19,7 +19,11 @@ def sink_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
 
 def sink_sdf(records: DataFrame, path: str, column: str = "record", mode: str = "errorifexists") -> str:
-    """Records with their original text, each closed by the record separator."""
+    """Records with their original text, each closed by the record separator.
+
+    Indexed records are written in ordinal order across the files.
+    """
+    records = records.orderBy("row_idx") if "row_idx" in records.columns else records
     records.select(quoted(column).alias("value")).write.mode(mode).option("lineSep", RECORD_END).text(path)
     return path
 

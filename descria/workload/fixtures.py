@@ -189,11 +189,11 @@ BASES = [
 
 
 def d_smi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One structure per order: a base text with an alkyl chain whose length follows the customer."""
+    """One structure per order, in key order: a base text with a chain whose length follows the customer."""
     bases = F.array(*[F.lit(b) for b in BASES])
     base = F.element_at(bases, (F.col("o_orderkey") % len(BASES)).cast("int") + 1)
     chain = F.repeat(F.lit("C"), (F.col("o_custkey") % 4).cast("int"))
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").orderBy("o_orderkey").select(
         "o_orderkey",
         F.concat(chain, base).alias("SMILES"),
         F.col("o_totalprice").alias("value"),
@@ -212,7 +212,7 @@ SDF_SYMBOLS = ["C", "N", "O", "Cl", "Na", "C"]
 
 
 def d_sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One structure record per order: a chain of 1 to 6 atoms, sometimes broken, sometimes unreadable."""
+    """One structure record per order, in key order: a chain of 1 to 6 atoms, sometimes broken, sometimes unreadable."""
     n = (1 + F.col("o_orderkey") % 6).cast("int")
     cut = (F.col("o_custkey") % 5).cast("int")
     symbols = F.array(*[F.lit(s) for s in SDF_SYMBOLS])
@@ -237,7 +237,7 @@ def d_sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
         bond_lines,
         F.array(F.lit("M  END"), F.lit("> <VALUE>"), F.col("o_totalprice").cast("string"), F.lit("")),
     )
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").orderBy("o_orderkey").select(
         "o_orderkey", F.concat(F.array_join(body, "\n"), F.lit("\n")).alias("record")
     )
 

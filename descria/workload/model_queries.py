@@ -168,7 +168,7 @@ def value_metrics_sql(source: str, y: str, p: str) -> str:
     f"WITH {ORD_FILLED_SQL}, {value_metrics_sql('ordf', 'value', 'ext')} SELECT metric, round(value, 3) AS value FROM vm",
 )
 def metrics_reg(spark, sf):
-    filled = median_fill_prep(d_ord(spark, sf), ORD_FEATURES)
+    filled, _ = median_fill_prep(d_ord(spark, sf), ORD_FEATURES)
     return rounded(metrics.metrics_reg(filled, "value", "ext"), ["value"], 3)
 
 
@@ -185,7 +185,7 @@ def predictions_table(spark, sf):
 
 def _clean_emb(spark, sf):
     """Finite matrix without the two synthetic columns, key kept."""
-    return median_fill_prep(d_emb(spark, sf), EMB).drop("k_const", "k_dup")
+    return median_fill_prep(d_emb(spark, sf), EMB)[0].drop("k_const", "k_dup")
 
 
 @query("fs_lasso_cls")
@@ -410,7 +410,7 @@ def combo_project(spark, sf):
 def combo_skip_rules(spark, sf):
     """Subsets of constant columns only are not scored."""
     features = ["k_const", "e00", "k_dup"]
-    data = median_fill_prep(d_emb(spark, sf), features)
+    data, _ = median_fill_prep(d_emb(spark, sf), features)
     marked = split.mark_held_out(data, "vec_id", 0.2, SEED)
     scored = combos.combo_eval_lr(marked, features, "value", F.col("is_test"), 2)
     return scored.select(F.array_join("combo", ",").alias("combo"))

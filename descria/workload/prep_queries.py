@@ -162,7 +162,7 @@ def impute_mode(spark, sf):
     f"WITH {ORD_FILLED_SQL} SELECT o_orderkey, {', '.join(f'round({c}, 6) AS {c}' for c in ORD_FEATURES)} FROM ordf",
 )
 def median_fill_prep(spark, sf):
-    out = impute.median_fill_prep(d_ord(spark, sf), ORD_FEATURES).select("o_orderkey", *ORD_FEATURES)
+    out = impute.median_fill_prep(d_ord(spark, sf), ORD_FEATURES)[0].select("o_orderkey", *ORD_FEATURES)
     return rounded(out, ORD_FEATURES)
 
 
@@ -310,7 +310,7 @@ def corr_matrix(spark, sf):
     + "]) AS a FROM ordf)",
 )
 def corr_orders(spark, sf):
-    filled = impute.median_fill_prep(d_ord(spark, sf), ORD_FEATURES)
+    filled = impute.median_fill_prep(d_ord(spark, sf), ORD_FEATURES)[0]
     return rounded(gram.corr_matrix(filled, ORD_FEATURES), ["r"])
 
 

@@ -154,10 +154,10 @@ def scan_csv(spark, sf):
     )
 
 
-def _write_lines(spark, df, order, column, label):
-    """One text line per row, in key order across the files."""
+def _write_lines(spark, df, column, label):
+    """One text line per row, in the order of ``df`` across the files."""
     path = fresh_path(spark, label)
-    sinks.sink_lines(df.orderBy(order), column, path)
+    sinks.sink_lines(df, column, path)
     return path
 
 
@@ -167,7 +167,7 @@ def _write_lines(spark, df, order, column, label):
     " SELECT row_idx, SMILES FROM r WHERE SMILES <> ''",
 )
 def scan_smi(spark, sf):
-    path = _write_lines(spark, d_smi(spark, sf), "o_orderkey", "SMILES", "smi")
+    path = _write_lines(spark, d_smi(spark, sf), "SMILES", "smi")
     return readers.scan_smi(spark, path, indexed=True)
 
 
@@ -176,13 +176,13 @@ def scan_smi(spark, sf):
     "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_totalprice AS value FROM orders",
 )
 def scan_tsv_single(spark, sf):
-    path = _write_lines(spark, table(spark, sf, "orders"), "o_orderkey", "o_totalprice", "tsv")
+    path = _write_lines(spark, table(spark, sf, "orders").orderBy("o_orderkey"), "o_totalprice", "tsv")
     return readers.scan_tsv_single(spark, path, "value", "double")
 
 
 def _sdf_file(spark, sf):
     path = fresh_path(spark, "sdf")
-    return sinks.sink_sdf(d_sdf(spark, sf).orderBy("o_orderkey"), path)
+    return sinks.sink_sdf(d_sdf(spark, sf), path)
 
 
 @query("scan_sdf", f"WITH {SDF_SQL} SELECT row_idx, title, valid, CAST(o_totalprice AS DOUBLE) AS price FROM sdf")
@@ -219,7 +219,7 @@ def scan_sep_sniff(spark, sf):
 def scan_feature_list(spark, sf):
     line = F.when(F.col("c_custkey") % 7 == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), "c_name", F.lit("  ")))
     names = table(spark, sf, "customer").select("c_custkey", line.alias("line"))
-    return readers.scan_feature_list(spark, _write_lines(spark, names, "c_custkey", "line", "names"))
+    return readers.scan_feature_list(spark, _write_lines(spark, names.orderBy("c_custkey"), "line", "names"))
 
 
 @query("scan_index_list", "SELECT o_orderkey AS idx FROM orders WHERE o_totalprice > 100000")
@@ -313,7 +313,7 @@ def sink_csv(spark, sf):
 )
 def sink_sdf(spark, sf):
     """Keep the readable records, write them and read them again: ordinals are those of the new file."""
-    records = readers.scan_sdf(spark, _sdf_file(spark, sf)).filter("valid").orderBy("row_idx")
+    records = readers.scan_sdf(spark, _sdf_file(spark, sf)).filter("valid")
     path = sinks.sink_sdf(records, fresh_path(spark, "sdf"))
     return readers.scan_sdf(spark, path).select("row_idx", sdf.title(F.col("record")).alias("title"))
 
@@ -429,7 +429,7 @@ _PAIR_SQL = f"{SMI_SQL}, r AS (SELECT row_number() OVER (ORDER BY o_orderkey) -
 
 def _indexed(spark, sf, column, kind="string"):
     """One column of the structure table written in key order and read back with ordinals."""
-    path = _write_lines(spark, d_smi(spark, sf), "o_orderkey", column, "column")
+    path = _write_lines(spark, d_smi(spark, sf), column, "column")
     return readers.scan_tsv_single(spark, path, column, kind)
 
 
@@ -437,7 +437,7 @@ def _indexed(spark, sf, column, kind="string"):
 def zip_join(spark, sf):
     """Structures and activities in two files, paired by position."""
     smi = readers.with_row_index(
-        spark.read.text(_write_lines(spark, d_smi(spark, sf), "o_orderkey", "SMILES", "smi"))
+        spark.read.text(_write_lines(spark, d_smi(spark, sf), "SMILES", "smi"))
     ).select("row_idx", F.nullif(F.col("value"), F.lit("")).alias("SMILES"))
     return align.zip_join(smi, _indexed(spark, sf, "value", "double"))
 
@@ -447,7 +447,7 @@ def zip_join(spark, sf):
     f"WITH {_PAIR_SQL}, {descriptors_sql('r')} SELECT row_idx, value, n_heavy, round(mw, 6) AS mw FROM ds",
 )
 def zip_descriptors(spark, sf):
-    data = d_smi(spark, sf).orderBy("o_orderkey")
+    data = d_smi(spark, sf)
     described = structures.constitutional_descriptors(data).select(F.lit("x").alias("Name"), "n_heavy", "mw")
     path = sinks.sink_csv(described, fresh_path(spark, "desc"))
     table_in = readers.scan_csv(spark, path, "Name string, n_heavy double, mw double", indexed=True)
