@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,16 +66,51 @@ def feature_columns(df: DataFrame, protected: Iterable[str] = ()) -> list[str]:
     return [f.name for f in fields]
 
 
+def ident(name: str) -> str:
+    """Column name as it must be written inside a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
     """Column reference that is safe for names holding dots or spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ident(name))
+
+
+# Expressions over thousands of columns are written as SQL text: one call to the
+# JVM each, where a chain of Column methods needs several per column.
+
+
+def finite_sql(name: str) -> str:
+    """The value as a double, NULL when missing, NaN or infinite (NaN sorts above infinity)."""
+    return f"CASE WHEN abs(CAST({ident(name)} AS DOUBLE)) < CAST('Infinity' AS DOUBLE) THEN CAST({ident(name)} AS DOUBLE) END"
+
+
+def gap_sql(field: T.StructField) -> str:
+    """Whether the cell is NULL or NaN."""
+    null = f"{ident(field.name)} IS NULL"
+    return f"({null} OR isnan({ident(field.name)}))" if is_fractional(field) else f"({null})"
+
+
+def array_sql(parts: Iterable[str]) -> str:
+    return "array(" + ", ".join(parts) + ")"
+
+
+def double_sql(value: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if value is None else f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
+def replace_columns(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
+    """Replace columns in place by SQL expressions; every other column passes through."""
+    require_columns(df, exprs)
+    return df.selectExpr(*[f"{exprs[c]} AS {ident(c)}" if c in exprs else ident(c) for c in df.columns])
 
 
 def as_doubles(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Cast the given columns to double in one projection."""
-    return df.withColumns({c: quoted(c).cast("double") for c in columns})
+    return replace_columns(df, {c: f"CAST({ident(c)} AS DOUBLE)" for c in columns})
 
 
 def name_at(position: Column, names: Sequence[str]) -> Column:
     """Feature name for a zero-based ordinal."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), position + F.lit(1))
+    texts = ("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
+    return F.element_at(F.expr(array_sql(texts)), position + F.lit(1))

@@ -8,15 +8,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from descria.columns import CLASS_PROTECTED, is_fractional, name_at, numeric_columns, quoted
-from descria.functions.numeric import balanced_sum, infinite_to_null, is_infinite
+from descria.columns import (
+    CLASS_PROTECTED,
+    array_sql,
+    gap_sql,
+    ident,
+    is_fractional,
+    name_at,
+    numeric_columns,
+    replace_columns,
+)
+from descria.functions.numeric import is_infinite
 from descria.operators.moments import cells, missing_counts
 
 
 def replace_inf(df: DataFrame) -> DataFrame:
     """Every infinity (and NaN) in a floating-point column becomes NULL; one projection."""
-    return df.withColumns(
-        {f.name: infinite_to_null(quoted(f.name)) for f in df.schema.fields if is_fractional(f)}
+    # NaN sorts above infinity, so one comparison rejects all three.
+    keep = "CASE WHEN abs({c}) < CAST('Infinity' AS DOUBLE) THEN {c} END"
+    return replace_columns(
+        df, {f.name: keep.format(c=ident(f.name)) for f in df.schema.fields if is_fractional(f)}
     )
 
 
@@ -58,9 +69,9 @@ def drop_high_nan_rows(
 def row_is_kept(df: DataFrame, threshold: float, counted: Sequence[str] | None = None) -> Column:
     """The predicate of :func:`drop_high_nan_rows` as a boolean column."""
     columns = list(counted or df.columns)
-    fractional = {f.name for f in df.schema.fields if is_fractional(f)}
-    gaps = [F.isnan(quoted(c)) | quoted(c).isNull() if c in fractional else quoted(c).isNull() for c in columns]
-    return balanced_sum([g.cast("int") for g in gaps]) <= F.lit(max_missing(threshold, len(columns)))
+    fields = {f.name: f for f in df.schema.fields}
+    gaps = array_sql(gap_sql(fields[c]) for c in columns)
+    return F.expr(f"size(filter({gaps}, g -> g)) <= {max_missing(threshold, len(columns))}")
 
 
 def sparse_columns(counts: DataFrame, threshold: float) -> list[str]:
@@ -97,4 +108,4 @@ def drop_high_nan_cols(
 ) -> DataFrame:
     """Keep columns whose share of missing cells is ``<= threshold``; protected ones always stay."""
     sparse = sparse_columns(missing_counts(df, df.columns), threshold)
-    return df.select(*[quoted(c) for c in retained_order(df.columns, sparse, protected, task)])
+    return df.selectExpr(*[ident(c) for c in retained_order(df.columns, sparse, protected, task)])

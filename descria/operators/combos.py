@@ -25,7 +25,7 @@ from descria.functions.numeric import finite_or_null
 from descria.operators import gram
 from descria.operators.normal import ols_from_moments, score_from_moments
 from descria.operators.importance import training_view, tree_estimator
-from descria.storage import materialise
+from descria.storage import materialise, ship_package
 
 # Default ceiling on the number of subsets; raise it explicitly for larger searches.
 MAX_COMBOS = 5_000_000
@@ -99,6 +99,7 @@ def combo_eval_lr(
     bounds = df.agg(F.min(quoted(target)).alias("a"), F.max(quoted(target)).alias("b")).first()
     width = float(bounds["b"] - bounds["a"]) or 1.0
     # d*d numbers, at most (2 * STRIP)^2: independent of the number of rows.
+    ship_package(spark)
     state = spark.sparkContext.broadcast((train, held, moving, width))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,6 +270,7 @@ def combo_eval_logit(
     )
     # Read once per Newton round: store the narrow table instead of repeating its plan.
     data = materialise(data, "subsets")
+    ship_package(spark)
     train, held = data.filter(~F.col("held")).drop("held"), data.filter("held").drop("held")
     stats = gram.collect_moments(train, [f"x{k}" for k in range(d)])[0]
     centre = stats.s / stats.n

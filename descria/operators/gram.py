@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from descria.columns import name_at, quoted
+from descria.columns import array_sql, finite_sql, name_at, quoted
 from descria.functions.numeric import finite_or_null
 from descria.operators.moments import cells
+from descria.storage import ship_package
 
 # Columns per block: one task holds a few (2 * STRIP)-squared double matrices.
 STRIP = 1024
@@ -86,7 +87,7 @@ class _Sums:
 
 def shift_values(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """One present value per column: subtracting it keeps the sums well conditioned."""
-    head = df.select(*[finite_or_null(quoted(c)).alias(str(k)) for k, c in enumerate(columns)]).take(64)
+    head = df.selectExpr(*[f"{finite_sql(c)} AS x{k}" for k, c in enumerate(columns)]).take(64)
     out = np.zeros(len(columns))
     for k in range(len(columns)):
         out[k] = next((row[k] for row in head if row[k] is not None), 0.0)
@@ -116,17 +117,17 @@ def _block(
             if batch.num_rows == 0:
                 continue
             parts = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]).astype(np.float64)
-            x -= moved
+            # One packed array per row: a single Arrow column however many features there are.
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d) - moved
             for p in np.unique(parts):
                 sums.setdefault(int(p), _Sums(d)).add(x if (parts == p).all() else x[parts == p])
         for p, total in sums.items():
             yield total.rows_out(p, ordinals, i, j)
 
     packed = df.select(
-        part.cast("int").alias("part"),
-        *[finite_or_null(quoted(columns[k])).alias(f"x{k}") for k in ordinals.tolist()],
+        part.cast("int").alias("part"), F.expr(array_sql(finite_sql(columns[k]) for k in ordinals.tolist())).alias("x")
     )
+    ship_package(df.sparkSession)
     return packed.coalesce(task_limit(df, len(i))).mapInArrow(fold, _SCHEMA)
 
 

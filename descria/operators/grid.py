@@ -26,7 +26,7 @@ from descria.operators import gram, linear, metrics, score, split
 from descria.operators.normal import penalised_from_moments, score_from_moments
 from descria.operators.impute import median_impute_global
 from descria.operators.importance import tree_estimator
-from descria.storage import materialise
+from descria.storage import materialise, ship_package
 
 # Default candidate lists per task and algorithm.
 CLASS_GRIDS: dict[str, dict[str, list]] = {
@@ -162,6 +162,7 @@ def cv_linear(
         total = total + parts[k]
     # (folds + 1) matrices of (d + 1)^2 numbers, independent of the number of rows.
     state = spark.sparkContext.broadcast((parts, total, list(candidates)))
+    ship_package(spark)
     # One row per model to solve, spread so that solves run on all slots.
     jobs = spark.range(len(candidates) * folds).repartition(min(len(candidates) * folds, 64))
 

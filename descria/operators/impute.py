@@ -6,10 +6,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from descria.columns import quoted, require_columns
-from descria.functions.numeric import finite_or_null
+from descria.columns import double_sql, finite_sql, ident, replace_columns, require_columns
 from descria.operators import moments
 
 STRATEGIES = {
@@ -38,9 +36,7 @@ def fill_values(df: DataFrame, columns: Sequence[str], strategy: str) -> dict[st
 
 def apply_fills(df: DataFrame, fills: Mapping[str, float]) -> DataFrame:
     """Replace missing and infinite cells by known constants; runs on streams too."""
-    return df.withColumns(
-        {c: F.coalesce(finite_or_null(quoted(c)), F.lit(float(v))) for c, v in fills.items()}
-    )
+    return replace_columns(df, {c: f"coalesce({finite_sql(c)}, {double_sql(v)})" for c, v in fills.items()})
 
 
 def impute(
@@ -65,7 +61,7 @@ def impute(
     dropped = tuple(c for c in features if fills[c] is None)
     known = {c: v for c, v in fills.items() if v is not None}
     order = [*ids, *known, *([target] if target in df.columns else [])]
-    return Imputed(apply_fills(df, known).select(*[quoted(c) for c in order]), known, dropped)
+    return Imputed(apply_fills(df, known).selectExpr(*[ident(c) for c in order]), known, dropped)
 
 
 def median_fill_prep(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:

@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from descria.columns import is_fractional, is_numeric, name_at, quoted
-from descria.functions.numeric import finite_or_null, is_infinite
+from descria.columns import array_sql, double_sql, finite_sql, gap_sql, ident, is_numeric, name_at
+from descria.functions.numeric import is_infinite
 
-# Half-width of the rank bracket asked from the quantile sketch, and the sketch's
-# accuracy (rank error 1/accuracy). The bracket is verified by exact counting.
-_BRACKET = 2e-4
+# Half-widths of the rank brackets asked from the quantile sketch, tried in turn, and the
+# sketch's accuracy (rank error 1/accuracy). Every bracket is verified by exact counting.
+_BRACKETS = (2e-4, 1e-2)
 _ACCURACY = 10_000
 _BELOW = float("-inf")
 
@@ -29,9 +29,11 @@ def cells(df: DataFrame, columns: Sequence[str], *extra: Column, raw: bool = Fal
 
     ``raw=False`` turns NaN and infinities into NULL first.
     """
-    value = (lambda c: quoted(c).cast("double")) if raw else (lambda c: finite_or_null(quoted(c)))
-    packed = F.array(*[value(c) for c in columns])
-    return df.select(*extra, F.posexplode(packed).alias("pos", "v"))
+    value = (lambda c: f"CAST({ident(c)} AS DOUBLE)") if raw else finite_sql
+    packed = F.expr(array_sql(value(c) for c in columns))
+    # Two projections: in one, ``extra`` would be evaluated again for every exploded cell.
+    rows = df.select(*extra, packed.alias("__cells"))
+    return rows.select(*[ident(c) for c in rows.columns[:-1]], F.posexplode("__cells").alias("pos", "v"))
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -67,13 +69,14 @@ def missing_counts(df: DataFrame, columns: Sequence[str], keep: Column | None =
     kept = F.lit(True) if keep is None else keep
     fields = {f.name: f for f in df.schema.fields}
 
-    def cell(c: str) -> Column:
-        number = finite_or_null(quoted(c)) if is_numeric(fields[c]) else F.lit(None).cast("double")
-        gap = quoted(c).isNull()
-        gap = gap | F.isnan(quoted(c)) if is_fractional(fields[c]) else gap
-        return F.struct(gap.alias("gap"), number.alias("v"))
+    def cell(c: str) -> str:
+        number = finite_sql(c) if is_numeric(fields[c]) else "CAST(NULL AS DOUBLE)"
+        return f"struct({gap_sql(fields[c])} AS gap, {number} AS v)"
 
-    long = df.select(kept.alias("kept"), F.posexplode(F.array(*[cell(c) for c in columns])).alias("pos", "x"))
+    packed = F.expr(array_sql(cell(c) for c in columns))
+    # Two projections: in one, the row rule would be evaluated again for every exploded cell.
+    rows = df.select(kept.alias("kept"), packed.alias("cells"))
+    long = rows.select("kept", F.posexplode("cells").alias("pos", "x"))
     stats = long.groupBy("pos").agg(
         F.count(F.lit(1)).alias("n_rows_in"),
         F.count_if("kept").alias("n_rows"),
@@ -104,18 +107,25 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     below the bracket and the distinct values inside it, which fixes the answer
     exactly. Memory per task is bounded by the sketch, and a value shared by a
     large part of the rows is one counted group. A column whose bracket turns out
-    wrong is simply counted over its full range.
+    wrong is counted again over a wider one, at last over its full range.
     """
     long = cells(df, columns).filter(F.col("v").isNotNull())
-    sketch = F.percentile_approx("v", [0.5 - _BRACKET, 0.5 + _BRACKET], _ACCURACY)
+    points = [p for w in _BRACKETS for p in (0.5 - w, 0.5 + w)]
+    sketch = F.percentile_approx("v", points, _ACCURACY)
     seen = {r["pos"]: r for r in long.groupBy("pos").agg(F.count("v").alias("n"), sketch.alias("q")).collect()}
     out: dict[str, float | None] = {c: None for c in columns}
-    todo = {p: (r["n"], r["q"][0], r["q"][1]) for p, r in seen.items()}
-    while todo:
+    left = dict(seen)
+    for k in range(len(_BRACKETS) + 1):
+        if not left:
+            break
+        if k < len(_BRACKETS):
+            todo = {p: (r["n"], r["q"][2 * k], r["q"][2 * k + 1]) for p, r in left.items()}
+        else:
+            todo = {p: (r["n"], _BELOW, float("inf")) for p, r in left.items()}
         found = _rank_in_bracket(long, len(columns), todo)
         for pos, (low, high) in found.items():
             out[columns[pos]] = (low + high) / 2.0
-        todo = {p: (t[0], _BELOW, float("inf")) for p, t in todo.items() if p not in found}
+        left = {p: r for p, r in left.items() if p not in found}
     return out
 
 
@@ -125,8 +135,9 @@ def _rank_in_bracket(
     """The two middle values of each column in ``todo`` whose bracket holds them."""
 
     def lookup(at: int, kind: str) -> Column:
-        values = [F.lit(todo[p][at] if p in todo else None).cast(kind) for p in range(width)]
-        return F.element_at(F.array(*values), F.col("pos") + F.lit(1))
+        known = (todo[p][at] if p in todo else None for p in range(width))
+        values = ("NULL" if v is None else f"{v}" for v in known) if kind == "bigint" else map(double_sql, known)
+        return F.element_at(F.expr(array_sql(values)).cast(f"array<{kind}>"), F.col("pos") + F.lit(1))
 
     low, high, n = lookup(1, "double"), lookup(2, "double"), lookup(0, "bigint")
     counted = (

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from descria.columns import name_at, quoted, remaining_columns, require_columns
+from descria.columns import ident, name_at, remaining_columns, require_columns
 from descria.errors import EmptySelectionError
 from descria.operators import gram, moments
 from descria.storage import materialise
@@ -214,7 +214,7 @@ def regression_order(df: DataFrame, target: str = "value") -> DataFrame:
     """``SMILES`` first, target last, everything else in table order."""
     front = [c for c in df.columns if c == "SMILES"]
     middle = [c for c in df.columns if c not in ("SMILES", target)]
-    return df.select(*[quoted(c) for c in [*front, *middle, target]])
+    return df.selectExpr(*[ident(c) for c in [*front, *middle, target]])
 
 
 def edge_report(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:

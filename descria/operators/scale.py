@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from descria.columns import quoted
+from descria.columns import double_sql, ident, replace_columns
 from descria.operators.moments import column_profile
 
 
@@ -21,11 +20,12 @@ class Scaling:
     width: Mapping[str, float]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(
+        return replace_columns(
+            df,
             {
-                c: (quoted(c).cast("double") - F.lit(self.offset[c])) / F.lit(self.width[c])
+                c: f"(CAST({ident(c)} AS DOUBLE) - {double_sql(self.offset[c])}) / {double_sql(self.width[c])}"
                 for c in self.offset
-            }
+            },
         )
 
 

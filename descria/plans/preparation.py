@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from descria.columns import CLASS_PROTECTED, VALUE_PROTECTED, is_numeric, quoted
+from descria.columns import CLASS_PROTECTED, VALUE_PROTECTED, ident, is_numeric
 from descria.operators import clean, prune
 from descria.operators.impute import apply_fills, fill_values, median_fill_prep
 from descria.operators.importance import importance_lasso, importance_rf
@@ -57,7 +57,7 @@ def preprocess_all(
     share = {c: seen[c]["n_missing"] / rows_out if seen and rows_out else 0.0 for c in columns}
     sparse = [c for c in columns if share[c] > descriptors_nan_threshold]
     order = clean.retained_order(columns, sparse, always, "classification")
-    kept = clean.drop_high_nan_rows(finite, compounds_nan_threshold, counted).select(*[quoted(c) for c in order])
+    kept = clean.drop_high_nan_rows(finite, compounds_nan_threshold, counted).selectExpr(*[ident(c) for c in order])
 
     numeric = {f.name for f in df.schema.fields if is_numeric(f)}
     features = [c for c in order if c not in set(always) and c != target and c in numeric]
@@ -73,7 +73,7 @@ def preprocess_all(
         fills = {c: v for c, v in found.items() if v is not None}
     table = apply_fills(kept, fills) if fills else kept
     final = _final_order([c for c in order if c not in dropped], features, target, task, protected)
-    table = table.select(*[quoted(c) for c in final])
+    table = table.selectExpr(*[ident(c) for c in final])
 
     n = len(columns)
     steps = [

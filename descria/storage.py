@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,23 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    # The driver's copy; Spark hands it to the executors itself.
+    archive = Path(folder) / "descria_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent).as_posix())
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
