@@ -31,9 +31,22 @@ def cells(df: DataFrame, columns: Sequence[str], *extra: Column, raw: bool = Fal
     """
     value = (lambda c: f"CAST({ident(c)} AS DOUBLE)") if raw else finite_sql
     packed = F.expr(array_sql(value(c) for c in columns))
-    # Two projections: in one, ``extra`` would be evaluated again for every exploded cell.
-    rows = df.select(*extra, packed.alias("__cells"))
-    return rows.select(*[ident(c) for c in rows.columns[:-1]], F.posexplode("__cells").alias("pos", "v"))
+    rows, names = _beside(df, columns, extra)
+    kept = [F.col(f"__x{k}").alias(n) for k, n in enumerate(names)]
+    return rows.select(*kept, F.posexplode(packed).alias("pos", "v"))
+
+
+def _beside(df: DataFrame, columns: Sequence[str], extra: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """The columns plus ``extra`` as ``__x0, __x1, ...`` in a projection of their own, and the names of ``extra``.
+
+    In one projection with the explode, ``extra`` would be evaluated again for every
+    cell. The array itself stays inside the explode: as a column, Spark would infer a
+    filter on its size and copy the whole expression down the plan.
+    """
+    if not extra:
+        return df, []
+    own = {f"__x{k}": c for k, c in enumerate(extra)}
+    return df.withColumns(own).selectExpr(*[ident(c) for c in columns], *own), df.select(*extra).columns
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,9 +87,8 @@ def missing_counts(df: DataFrame, columns: Sequence[str], keep: Column | None =
         return f"struct({gap_sql(fields[c])} AS gap, {number} AS v)"
 
     packed = F.expr(array_sql(cell(c) for c in columns))
-    # Two projections: in one, the row rule would be evaluated again for every exploded cell.
-    rows = df.select(kept.alias("kept"), packed.alias("cells"))
-    long = rows.select("kept", F.posexplode("cells").alias("pos", "x"))
+    rows, _ = _beside(df, columns, [kept])
+    long = rows.select(F.col("__x0").alias("kept"), F.posexplode(packed).alias("pos", "x"))
     stats = long.groupBy("pos").agg(
         F.count(F.lit(1)).alias("n_rows_in"),
         F.count_if("kept").alias("n_rows"),
