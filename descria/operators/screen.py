@@ -130,7 +130,8 @@ def custom_screening(
         compounds = compounds.withColumnRenamed(smiles_column, structures.SMILES)
     identity = "Name" if "Name" in compounds.columns else align.ROW
     described = structures.constitutional_descriptors(compounds)
-    table = select_features(described, features, keep=[identity])
+    # Descriptors are costly and the fills read them again: compute them once.
+    table = materialise(select_features(described, features, keep=[identity]), "described")
     scored = predict_library(model, table, features, task, medians)
     name = "Name" if identity == "Name" else "Original_Index"
     return scored.select(F.col(identity).alias(name), F.col(PREDICTION).alias("Prediction"))

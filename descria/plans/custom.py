@@ -40,8 +40,9 @@ def standardise_describe_screen(
     require_columns(compounds, [align.ROW])
     kept = structures.standardize_filter(compounds)
     described = structures.constitutional_descriptors(kept)
-    usable = drop_high_nan_rows(replace_inf(described), nan_threshold, features)
-    table = usable.select(align.ROW, *features)
+    # Descriptors are costly and read several times below: compute them once.
+    narrow = materialise(described.select(align.ROW, *features), "described")
+    table = drop_high_nan_rows(replace_inf(narrow), nan_threshold, features)
     filled = apply_fills(table, screen.library_fills(table, features, medians))
     scored = materialise(score(model, filled, task).select(align.ROW, "prediction_value"), "scored")
     hits = threshold_select(scored, task, threshold, has_probability(model))
