@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_twins import compare, connect
+from descria.workload import catalogue
 
 SF = "/root/testdata/sf0.001"
-TWINS = entry_points.oracle_sql()
+TWINS = catalogue.twins()
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def test_entry(spark):
 
 
 def test_every_twin_has_a_query():
-    assert set(TWINS) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))
@@ -31,6 +32,6 @@ def test_twin(spark, con, name):
     assert verdict == "ok"
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - set(TWINS)))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(TWINS)))
 def test_rows_only(spark, name):
     assert entry_points.queries()[name](spark, SF).count() > 0
