@@ -4,7 +4,7 @@ Bounded-space online best fit: pieces arrive one by one; a piece goes to the ope
 still holds it, found in a bitset keyed by free space; if none does, a bin is opened, and if that makes too many, the
 fullest closes. A task packs the pieces dealt to it by a hash of doc_id, in a fixed order, so a lost task gives
 the same bins again. Only lengths and digests are dealt out, not ids. Each task wastes at most what its open bins
-have left, so tasks are as few as ``PIECES_PER_TASK`` allows.
+have left, so tasks are as few as ``DOCS_PER_TASK`` allows.
 
 Defined results: a null or empty text is a piece of one end id; null doc_ids are packed like others; repeated rows are
 packed each; extra columns are ignored; empty tables give empty tables.
@@ -25,7 +25,9 @@ from descria.llm.common import map_arrow, narrow, text_chunks
 from descria.llm.tokens import encoder
 
 CAPACITY = 4096
-OPEN_BINS = 96
+OPEN_BINS = 256
+#: Pieces that are looked at together; the longest of them arrives first.
+ARRIVALS = 1000
 #: Documents dealt to a packing task; its rows are about 60 bytes.
 DOCS_PER_TASK = 100_000
 END_ID = 1
@@ -78,9 +80,9 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
         own = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for batch, _, _ in text_chunks(batches, 1, 4 << 20):
+        for batch, _, _ in text_chunks(batches, 1, 8 << 20):
             doc, piece, start, length, ids = [], [], [], [], []
-            found = own.encode(batch.column(1).to_pylist())
+            found = own.encode(batch.column(1))
             for doc_id, data in zip(batch.column(0).to_pylist(), found, strict=True):
                 data += end
                 for k, at in enumerate(range(0, len(data), step)):
@@ -110,7 +112,12 @@ def pack(
         bins = OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(length_at).to_pylist()]
+            lengths = batch.column(length_at).to_numpy(zero_copy_only=False)
+            placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+            for first in range(0, len(lengths), ARRIVALS):
+                some = lengths[first : first + ARRIVALS]
+                for k in np.argsort(-some, kind="stable").tolist():
+                    placed[first + k] = bins.place(int(some[k]))
             numbers = pa.array([base + b for b, _ in placed], pa.int64())
             offsets = pa.array([o for _, o in placed], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, numbers, offsets], names=[*batch.schema.names, "sequence_id", "offset"])

@@ -11,18 +11,23 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces and plain runs kept for each process; about 100 bytes each.
-KEPT_PIECES = 600_000
-KEPT_RUNS = 600_000
+KEPT_PIECES = 500_000
+KEPT_RUNS = 700_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SIGNS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
-_PLAIN = re.compile(rf" ?(?:[{_LETTERS}]+|[{_SIGNS}]+)(?:[{_LETTERS}]+|[{_SIGNS}]+|\n(?=[{_LETTERS}{_SIGNS}]))*")
 _RUN = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
-_LETTER_RUN = re.compile(rf" ?[{_LETTERS}]+")
-_WIDE_BLANK = re.compile(r"^\s|\s$|\s\s|[\x1c-\x1f]")
+#: Texts that are not cut: white space at an end, next to other white space, or of a rarer kind.
+_WHOLE = (
+    r"\A[\t-\r ]|[\t-\r ]\z|[\t-\r ][\t-\r ]|"
+    r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+_SIGN_SET = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\n")
 _GROUP = 500
 
 
@@ -45,60 +50,77 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _encode_letters(self, runs: list[str]) -> None:
-        """Fills ``self.runs`` for runs of letters, many of them joined in one text."""
+    def _letter_ids(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs of letters, many of them joined in one text."""
         if self.mark is None:
-            self.runs.update(zip(runs, self._ids(runs), strict=True))
-            return
+            return dict(zip(runs, self._ids(runs), strict=True))
+        out: dict[str, bytes] = {}
         groups = [runs[i : i + _GROUP] for i in range(0, len(runs), _GROUP)]
         joined = self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)
         for group, found in zip(groups, joined, strict=True):
             ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
             if len(cuts) != len(group) - 1:
-                self.runs.update(zip(group, self._ids(group), strict=True))
+                out.update(zip(group, self._ids(group), strict=True))
                 continue
-            data, starts, ends = ids.tobytes(), [0, *(cuts + 1)], [*cuts, len(ids)]
-            self.runs.update((r, data[4 * a : 4 * b]) for r, a, b in zip(group, starts, ends, strict=True))
-
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        plain = {p: _RUN.findall(p) for p in pieces if _PLAIN.fullmatch(p)}
-        runs = {r for own in plain.values() for r in own if r not in self.runs}
-        letters = sorted(r for r in runs if _LETTER_RUN.fullmatch(r))
-        if len(self.runs) + len(runs) > KEPT_RUNS:
-            self.runs = {}
-            return self._encode_pieces(pieces) if len(runs) < KEPT_RUNS // 2 else dict(zip(pieces, self._ids(pieces), strict=True))
-        self._encode_letters(letters)
+            data, starts, ends = ids.tobytes(), [0, *[c + 1 for c in cuts]], [*cuts, len(ids)]
+            out.update((r, data[4 * a : 4 * b]) for r, a, b in zip(group, starts, ends, strict=True))
+        return out
+
+    def _run_ids(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of runs that aren't kept yet; they are kept while there is room."""
+        letters = sorted(r for r in runs if r[-1] not in _SIGN_SET)
         signs = sorted(runs.difference(letters))
-        self.runs.update(zip(signs, self._ids(signs), strict=True))
-        out = {p: b"".join([self.runs[r] for r in own]) for p, own in plain.items()}
-        other = [p for p in pieces if p not in plain]
-        out.update(zip(other, self._ids(other), strict=True))
+        fresh = self._letter_ids(letters)
+        fresh.update(zip(signs, self._ids(signs), strict=True))
+        if len(self.runs) + len(fresh) <= KEPT_RUNS:
+            self.runs.update(fresh)
+        return fresh
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        known, find = self.pieces, _RUN.findall
+        out = [known.get(p) for p in pieces]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        cut = [find(pieces[i]) for i in missing]
+        # Runs that don't add up to the piece left other characters out; such a piece is encoded in one go.
+        plain = [sum(map(len, own)) == len(pieces[i]) for i, own in zip(missing, cut, strict=True)]
+        runs = self.runs
+        fresh = self._run_ids({r for own, fits in zip(cut, plain, strict=True) if fits for r in own if r not in runs})
+        other = iter(self._ids([pieces[i] for i, fits in zip(missing, plain, strict=True) if not fits]))
+        for i, own, fits in zip(missing, cut, plain, strict=True):
+            out[i] = b"".join([runs[r] if r in runs else fresh[r] for r in own]) if fits else next(other)
+        if len(known) + len(missing) <= KEPT_PIECES:
+            known.update((pieces[i], out[i]) for i in missing)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _cut_ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that may be cut at every blank."""
+        pieces = pc.split_pattern(texts, " ")
+        ends = pieces.offsets.to_numpy().astype(np.int64)
+        distinct = pieces.values.dictionary_encode()
+        code = distinct.indices.to_numpy().astype(np.int64)
+        # The first piece of a text has no blank before it.
+        firsts = pieces.values.take(pa.array(ends[:-1])).dictionary_encode()
+        code[ends[:-1]] = firsts.indices.to_numpy() + len(distinct.dictionary)
+        found = self._piece_ids([" " + p for p in distinct.dictionary.to_pylist()] + firsts.dictionary.to_pylist())
+        count = np.array([len(x) for x in found], np.int64) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        at = np.concatenate([[0], np.cumsum(count)])
+        lengths = count[code]
+        until = np.concatenate([[0], np.cumsum(lengths)])
+        ids = pool[np.repeat(at[code] - until[:-1], lengths) + np.arange(until[-1])].tobytes()
+        bounds = (4 * until[ends]).tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        known = self.pieces
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif _WIDE_BLANK.search(text):
-                cut.append(None)
-            else:
-                first, *rest = text.split(" ")
-                own = [first, *[" " + p for p in rest]]
-                cut.append(own)
-                new.update([p for p in own if p not in known])
-        fresh = self._encode_pieces(sorted(new)) if new else {}
-        if len(known) + len(fresh) <= KEPT_PIECES:
-            known.update(fresh)
-            fresh = known
-        else:
-            fresh = known | fresh
-        whole = iter(self._ids([t for t, own in zip(texts, cut, strict=True) if own is None]))
-        return [next(whole) if own is None else b"".join([fresh[p] for p in own]) for own in cut]
+        texts = texts.fill_null("").cast(pa.large_string())
+        whole = pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.equal(pc.binary_length(texts), 0))
+        kept = iter(self._ids(texts.filter(whole).to_pylist()))
+        rest = texts.filter(pc.invert(whole))
+        cut = iter(self._cut_ids(rest) if len(rest) else [])
+        return [next(kept) if one else next(cut) for one in whole.to_pylist()]
 
 
 _encoders: dict[str, Encoder] = {}
