@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from descria.llm import compress_classifier, jaccard_join, packing, quality_rules
+from descria.llm import compress_classifier, jaccard_join, packing, quality_rules, sharding, token_files, url_filter, warc
 from descria.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,52 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_jaccard_join")
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_sampled_splitters")
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+_RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
+
+@_query(
+    "op7_url_filter",
+    f"""
+    WITH rest AS (
+        SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS r FROM pages
+    ), parts AS (
+        SELECT row_number() OVER () AS n, page_id,
+               translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM rest
+    ), rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}), hits AS (
+        SELECT n, rule_host || rule_path AS rule, rule_verdict,
+               row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+        FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    )
+    SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+    FROM parts LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (n)
+    """,
+)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+@_query("op8_simple8b_files")
+def op8_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op9_warc_index")
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
