@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from descria.llm import compress_classifier, quality_rules
+from descria.llm import compress_classifier, decontaminate, jaccard_join, packing, quality_rules
 from descria.llm.common import materialise, table
 
 
@@ -19,9 +20,27 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return compress_classifier.keep_scored(docs, compress_classifier.fit_compression_model(docs, labels))
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard_join.keep_first(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the remaining documents with their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality rules", quality_rules_stage),
     ("quality classifier", classifier_stage),
+    ("near duplicates", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
 #: Learnt scores can't be written as SQL; tests hold the stages against plain versions.

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from descria.llm import compress_classifier, jaccard_join, packing, quality_rules, sharding, token_files, url_filter, warc
+from descria.llm import (
+    compress_classifier,
+    decontaminate,
+    jaccard_join,
+    packing,
+    quality_rules,
+    sharding,
+    token_files,
+    toxicity,
+    url_filter,
+    warc,
+)
 from descria.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +105,14 @@ def op8_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_warc_index")
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@_query("op3_bm25_decontamination")
+def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op10_weak_toxicity")
+def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))

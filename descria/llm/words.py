@@ -10,8 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from descria.llm.common import sums_between
+from descria.llm.common import flat_text, sums_between
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -19,6 +21,8 @@ _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_UNPUNCTUATED = np.arange(256, dtype=np.uint8)
+_UNPUNCTUATED[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -50,6 +54,12 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of lower-cased texts in which ASCII punctuation is blank; null counts as empty."""
+    raw, offsets = flat_text(pc.utf8_lower(column.fill_null("")))
+    return _UNPUNCTUATED[raw], offsets
+
+
 def is_blank(raw: np.ndarray) -> np.ndarray:
     return _BLANK[raw]
 
@@ -97,6 +107,12 @@ def split_words(raw: np.ndarray, offsets: np.ndarray, running: np.ndarray | None
     return Words(starts, ends, span_hash(running, starts, ends), np.searchsorted(starts, offsets))
 
 
+def hash_words(words: list[str]) -> np.ndarray:
+    """Hashes of single words, as ``split_words`` gives them."""
+    raw, offsets = flat_text(pa.array(words, pa.string()))
+    return span_hash(prefix_hash(raw), offsets[:-1], offsets[1:])
+
+
 def word_grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words inside a text, and the ends by text (as in ``Words.first``)."""
     lengths = np.diff(words.first)
