@@ -11,13 +11,14 @@ from descria.llm.common import materialise, table
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.keep_quality(docs, quality_rules.fit_quality_model(docs, table(spark, sf_dir, "labels")))
+    model = quality_rules.fit_quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.keep_quality(docs, model)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
-    labels = table(spark, sf_dir, "labels")
-    return compress_classifier.keep_scored(docs, compress_classifier.fit_compression_model(docs, labels))
+    """Documents that the compression classifier rejects go; it learns from bad documents too, which ``docs`` may lack."""
+    model = compress_classifier.fit_compression_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return compress_classifier.keep_scored(docs, model)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ it, so that long texts don't outgrow the dictionary), each block is compressed w
 summed sizes over the plain size is calibrated to a probability on a disjoint part of the sample.
 
 Defined results: a null or empty text scores like a difference of 0; nulls elsewhere and extra columns are ignored
-or passed through; repeated rows are scored each; empty tables give empty tables.
+or passed through; repeated rows are scored each; empty tables give empty tables; without labels of both
+kinds the score is 0.5.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Scorer:
 
     def __init__(self, model: dict[str, np.ndarray]):
         self.compressors = []
-        for name in ("good", "bad"):
+        for name in ("good", "bad") if model else ():
             known = zstandard.ZstdCompressionDict(model[name].tobytes())
             known.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False))
@@ -46,7 +47,7 @@ class Scorer:
     def difference(self, text: str) -> float:
         """Above 0 if the good dictionary fits better."""
         data = text.encode()
-        if not data:
+        if not data or not self.compressors:
             return 0.0
         good, bad = (
             sum(len(c.compress(data[i : i + BLOCK_BYTES])) for i in range(0, len(data), BLOCK_BYTES)) for c in self.compressors

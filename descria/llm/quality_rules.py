@@ -6,7 +6,8 @@ from a bounded sample of labelled rows; a disjoint quarter of that sample calibr
 Documents are scored in Arrow batches where they lie: no shuffle, no state between rows.
 
 Defined results: a null or empty text has no words and fails the base rules; other nulls and extra columns are
-ignored or passed through; repeated rows are judged each; empty tables give empty tables.
+ignored or passed through; repeated rows are judged each; empty tables give empty tables; without labels of both kinds
+quality is 0.5.
 """
 
 from __future__ import annotations
@@ -151,8 +152,11 @@ def _judge(model: dict[str, np.ndarray], raw: np.ndarray, offsets: np.ndarray, l
     running = prefix_hash(raw)
     words = split_words(raw, offsets, running)
     out = base_counts(raw, offsets, words, running)
-    slope, intercept = model["platt"]
-    out["quality"] = sigmoid(slope * _raw_score(model["weights"], _slots(raw, offsets, words)).astype(float) + intercept)
+    if model:
+        slope, intercept = model["platt"]
+        out["quality"] = sigmoid(slope * _raw_score(model["weights"], _slots(raw, offsets, words)).astype(float) + intercept)
+    else:
+        out["quality"] = np.full(len(offsets) - 1, 0.5)
     n = out["n_words"]
     out["base_failed"] = (n < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
     out["kept"] = ~out["base_failed"] & (out["quality"] >= least)

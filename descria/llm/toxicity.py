@@ -8,7 +8,7 @@ posterior probabilities train a linear classifier over the votes and hashed word
 labelled rows. All fitting uses a bounded sample of rows outside the held-out fold; all documents are scored.
 
 Defined results: a null or empty text fires no voter; null ids are carried; repeated rows are scored each; extra columns are
-ignored; empty tables give empty tables.
+ignored; empty tables give empty tables; without labels of both kinds the score is 0.5.
 """
 
 from __future__ import annotations
@@ -172,6 +172,10 @@ def score_toxicity(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     def work(batches):
         own = shared.value
         for batch, _, _ in text_chunks(batches, 1):
+            if not own:
+                score = np.full(batch.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+                continue
             words, terms = plain_terms(batch.column(1))
             fired = _features(words, terms, own) @ own["weights"][1 << SLOT_BITS :]
             mean = sums_between(own["weights"][_slots(terms)], words.first * terms.shape[1]) / np.maximum(np.diff(words.first), 1)

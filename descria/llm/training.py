@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from descria.errors import DescriaError
 from descria.llm.common import map_arrow, narrow
 
 
@@ -43,7 +42,8 @@ def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int) -> DataFr
 def fit_in_one_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Runs ``fit(texts, labels)`` over a bounded sample inside one task and returns its arrays.
 
-    Rows are put in order of doc_id first, so the result doesn't depend on how the sample was dealt out.
+    Rows are put in order of doc_id first, so the result doesn't depend on how the sample was dealt out. Without
+    documents of both labels there is nothing to learn and the result is empty; all scores are then 0.5.
     """
 
     def work(batches):
@@ -59,9 +59,7 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], di
 
     rows = map_arrow(sample.select("doc_id", "text", "label").repartition(1), work, "model binary").collect()
     blobs = [bytes(r[0]) for r in rows if r[0]]
-    if not blobs:
-        raise DescriaError("the labelled sample needs documents of both labels")
-    return dict(np.load(io.BytesIO(blobs[0])))
+    return dict(np.load(io.BytesIO(blobs[0]))) if blobs else {}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
