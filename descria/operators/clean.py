@@ -59,11 +59,15 @@ def drop_high_nan_rows(
 ) -> DataFrame:
     """Keep rows whose share of missing cells over ``counted`` (default: all columns) is ``<= threshold``.
 
-    A stateless row filter (``dropna`` with a minimum number of present cells), so
-    it also runs on streams and fuses with the scan.
+    A stateless row filter, so it also runs on streams and fuses with the scan. It isn't moved below the projection
+    that made the columns: there it would hold the expression of every output column, and the constraints that are inferred
+    from it double with each column.
     """
     columns = list(counted or df.columns)
-    return df.dropna(thresh=len(columns) - max_missing(threshold, len(columns)), subset=columns)
+    fields = {f.name: f for f in df.schema.fields}
+    gaps = array_sql(gap_sql(fields[c]) for c in columns)
+    # floor(rand()) is always 0; only as a non-deterministic term does it keep the filter in its place.
+    return df.filter(f"size(filter({gaps}, g -> g)) + floor(rand()) <= {max_missing(threshold, len(columns))}")
 
 
 def row_is_kept(df: DataFrame, threshold: float, counted: Sequence[str] | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,15 @@ def test_structure_filter_is_narrow(spark):
 def test_class_metrics_need_one_pass(lineitem):
     flags = lineitem.select((F.col("l_tax") > 0.04).cast("int").alias("y"), (F.col("l_discount") > 0.05).cast("int").alias("p"))
     assert plan(metrics.confusion(flags, "y", "p")).count("FileScan") == 1
+
+
+def test_row_filter_then_column_filter_plans_in_linear_time(spark):
+    def seconds(n):
+        df = spark.range(20).selectExpr(*[f"cast(id + {i} as double) as f{i}" for i in range(n)])
+        start = time.perf_counter()
+        kept = clean.drop_high_nan_cols(clean.drop_high_nan_rows(clean.replace_inf(df), 0.5), 0.5)
+        assert len(kept.columns) == n
+        return time.perf_counter() - start
+
+    seconds(16)
+    assert seconds(64) < 4 * seconds(32) + 5
