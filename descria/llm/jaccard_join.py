@@ -8,8 +8,10 @@ two linked sets agree on at least one signature, so no link is lost.
 
 Sets with one signature share a bucket. Buckets are never expanded into pairs: each round compares a few pivots of
 a bucket with those members that aren't yet in the pivot's component, counts shingles in common exactly, and joins
-components. Pivots leave the bucket afterwards; their number grows fourfold a round. A bucket ends when its members are one
-component, so groups of copies end after a round or two, whatever their size. Equal sets are one node from the start.
+components. Pivots leave the bucket afterwards; their number grows by PIVOT_GROWTH a round. A bucket ends when its members
+are one component, so groups of copies end after a round or two, whatever their size. Equal sets are one node from the
+start. From the second round on a pair is only made if the parities of both sets, folded to SKETCH_LONGS * 64 bits, differ
+in no more bits than linked sets may differ in shingles: fewer bits than shingles can differ, so no link is lost.
 
 Defined results: a null or empty text has no shingles, is its own component and links with nothing; a null doc_id takes
 part like others, and a component without any id has the null id; repeated rows are one node; extra columns are
@@ -37,6 +39,8 @@ THRESHOLD = Fraction(9, 10)
 N2, K2 = 3, 1
 #: Sets looked up by a broadcast list of 8-byte keys up to this many; beyond, by a join.
 BROADCAST_SETS = 1_000_000
+PIVOT_GROWTH = 32
+SKETCH_LONGS = 8
 NO_SET = 0
 
 
@@ -118,6 +122,13 @@ def signatures(grams: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray
     return np.concatenate(out)
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of SKETCH_LONGS * 64 bits."""
+    bits = SKETCH_LONGS * 64
+    odd = np.bincount((grams.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _with_signatures(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     """(doc_id, n_shingles, set_key, signatures); equal sets carry signatures once in a task's slice."""
 
@@ -164,14 +175,21 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [grams[ends[i] : ends[i + 1]].view(np.int64) for i in picked]
             until = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            bits = np.array([parities(x) for x in sets], np.int64).reshape(-1)
+            every = np.arange(0, len(bits) + 1, SKETCH_LONGS, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[picked]), pa.ListArray.from_arrays(pa.array(until), pa.array(flat))], names=["set_key", "shingles"]
+                [
+                    pa.array(own[picked]),
+                    pa.ListArray.from_arrays(pa.array(until), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(every), pa.array(bits)),
+                ],
+                names=["set_key", "shingles", "sketch"],
             )
 
-    found = map_arrow(docs.select("text"), work, "set_key long, shingles array<long>")
+    found = map_arrow(docs.select("text"), work, "set_key long, shingles array<long>, sketch array<long>")
     if listed is None:
         found = found.join(wanted, "set_key", "left_semi")
-    return found.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+    return found.groupBy("set_key").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,8 +256,19 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
         members = materialise(members, "members")
         if members.isEmpty():
             break
-        own = members.where("pivot").select("signature", F.col("node").alias("p"), F.col("root").alias("p_root"))
-        pairs = members.join(own, "signature").where("root <> p_root")
+        others = members.select("signature", "node", "root", "pivot")
+        if pivots > 1:
+            known = sets.select(F.col("set_key").alias("node"), "sketch", F.size("shingles").alias("n"))
+            others = others.join(known, "node")
+        own = others.where("pivot")
+        own = own.select("signature", *[F.col(c).alias(f"p_{c}") for c in own.columns if c not in ("signature", "pivot")])
+        own = own.withColumnRenamed("p_node", "p")
+        may_link = F.col("root") != F.col("p_root")
+        if pivots > 1:
+            apart = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("p_sketch")[i])) for i in range(SKETCH_LONGS))
+            least, most = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
+            may_link &= apart * F.lit(least) <= (F.col("n") + F.col("p_n")) * F.lit(most)
+        pairs = others.join(own, "signature").where(may_link)
         pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
@@ -250,7 +279,7 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
         roots = materialise(components(links), "roots")
         left = members.where("not pivot").select("signature", "node", F.col("node").alias("root"))
         members = _apply_roots(left, roots)
-        pivots *= 4
+        pivots *= PIVOT_GROWTH
     return None if links is None or links.isEmpty() else roots
 
 
