@@ -36,6 +36,8 @@ PAGES_PER_TASK = 4000
 #: Bytes of one archive before a task starts another.
 ARCHIVE_BYTES = 256 << 20
 LEAST_REVISIT_BYTES = 0
+#: Up to this many revisits (about 60 bytes each) are broadcast to the pages, which then stay where they are.
+BROADCAST_REVISITS = 500_000
 TAIL = struct.Struct("<QQ")
 NO_ID = -(2**63)
 
@@ -94,6 +96,9 @@ def _with_verdicts(pages: DataFrame) -> DataFrame:
     # Only payloads that occur again matter; the rows' own side keeps its html out of this small join.
     again = rows.select("page_id", "sha", long_enough.alias("fits")).join(groups.where("n > 1"), "sha")
     again = again.where("fits and page_id < last_id").select("page_id", "sha", F.col("last_id").alias("refers_to")).distinct()
+    again = materialise(again, "revisits")
+    if again.count() <= BROADCAST_REVISITS:  # else both sides are shuffled
+        again = F.broadcast(again)
     return rows.join(again, ["page_id", "sha"], "left").drop("sha")
 
 
