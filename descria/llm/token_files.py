@@ -29,7 +29,7 @@ MAGIC = b"S8IDS001"
 FOOTER = struct.Struct("<QQQQ8s")
 END_ID = 2
 #: Ids after which a task starts another file, and documents dealt to a writing task.
-FILE_IDS = 2_000_000
+FILE_IDS = 1_000_000
 DOCS_PER_TASK = 20_000
 NO_ID = -(2**63)
 
