@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from descria.errors import DescriaError
 from descria.storage import fresh_path, materialise, shared_dir, ship_package
 
-__all__ = ["fresh_path", "materialise", "shared_dir", "ship_package", "narrow", "table", "map_arrow", "position"]
+__all__ = ["fresh_path", "materialise", "shared_dir", "ship_package", "narrow", "table", "map_arrow", "filter_arrow", "position"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def filter_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``fn`` passes some rows on; columns keep their names, also those that differ in case only or repeat a name."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return map_arrow(plain, fn, plain.schema).toDF(*df.columns)
+
+
 def crc32_of(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from descria.llm.common import held_out, map_arrow, narrow, position
+from descria.llm.common import filter_arrow, held_out, map_arrow, narrow, position
 from descria.llm.training import fit_in_one_task, fit_platt, known_labels, label_counts, labelled_sample, sigmoid
 
 #: Labelled rows a model is fitted on, for each label.
@@ -118,4 +118,4 @@ def keep_scored(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scorer.probability(batch.column(text_at).to_pylist()) >= THRESHOLD))
 
-    return map_arrow(docs, work, docs.schema)
+    return filter_arrow(docs, work)

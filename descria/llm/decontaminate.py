@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from descria.llm.common import map_arrow, narrow, position, text_chunks
+from descria.llm.common import filter_arrow, map_arrow, narrow, position, text_chunks
 from descria.llm.words import mix, plain_words, split_words
 
 PASSAGE = 64
@@ -252,5 +252,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 clean[[t for t, *_ in shared.value.hits(words.hashes, words.first, threshold, overlap)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = map_arrow(docs, work, docs.schema)
+        docs = filter_arrow(docs, work)
     return docs

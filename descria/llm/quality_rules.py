@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from descria.llm.common import map_arrow, narrow, position, sums_between, text_chunks
+from descria.llm.common import filter_arrow, map_arrow, narrow, position, sums_between, text_chunks
 from descria.llm.training import (
     fit_in_one_task,
     fit_platt,
@@ -189,4 +189,4 @@ def keep_quality(docs: DataFrame, model: dict[str, np.ndarray], least: float = M
         for batch, raw, offsets in text_chunks(batches, text_at):
             yield batch.filter(pa.array(_judge(shared.value, raw, offsets, least)["kept"]))
 
-    return map_arrow(docs, work, docs.schema)
+    return filter_arrow(docs, work)
