@@ -94,9 +94,15 @@ def scan_tsv_single(
 
 
 def scan_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_idx, record, valid)``: one row per record; an unreadable record keeps its ordinal."""
-    text = spark.read.option("lineSep", RECORD_END).text(path).withColumnRenamed("value", "record")
-    indexed = with_row_index(text)
+    """``(row_idx, record, valid)``: one row per record; an unreadable record keeps its ordinal.
+
+    Lines end as the first one does, with LF or CRLF; records hold LF.
+    """
+    first = spark.read.option("lineSep", "\n").text(path).head()
+    crlf = first is not None and first["value"].endswith("\r")
+    text = spark.read.option("lineSep", RECORD_END.replace("\n", "\r\n") if crlf else RECORD_END).text(path)
+    record = F.replace("value", F.lit("\r\n"), F.lit("\n")) if crlf else F.col("value")
+    indexed = with_row_index(text).withColumn("value", record).withColumnRenamed("value", "record")
     return indexed.withColumn("valid", sdf.is_valid(F.col("record")))
 
 
@@ -108,7 +114,7 @@ def sniff_separator(header: str) -> str:
 
 
 def scan_sep_sniff(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Delimited file whose separator is read off the header line."""
+    """Delimited file whose separator is read off the header line; runs of white space give text without a schema."""
     first = spark.read.text(path).head()
     if first is None:
         raise DescriaError(f"{path} is empty")
@@ -119,7 +125,12 @@ def scan_sep_sniff(spark: SparkSession, path: str, schema: T.StructType | str |
     names = header.split()
     rows = spark.read.text(path).filter((F.trim("value") != "") & (F.col("value") != header))
     parts = F.split(F.trim("value"), r"\s+")
-    return rows.select(*[F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)])
+    cells = [F.get(parts, F.lit(k)) for k in range(len(names))]
+    if schema is None:
+        return rows.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    cells += [F.lit(None)] * (len(fields) - len(names))
+    return nan_to_null(rows.select(*[c.try_cast(f.dataType).alias(f.name) for c, f in zip(cells, fields, strict=False)]))
 
 
 def scan_feature_list(spark: SparkSession, path: str) -> DataFrame:

@@ -179,3 +179,21 @@ def test_custom_screening_rejects_missing_structures(spark):
         screen.custom_screening(model, compounds, ["mw"], score.REGRESSION)
     out = screen.custom_screening(model, compounds.filter("row_idx = 0"), ["mw"], score.REGRESSION)
     assert out.columns == ["Original_Index", "Prediction"]
+
+
+def test_scan_sdf_line_ends(spark, tmp_path):
+    record = "name\n  tool\n\n  1  0  0  0  0  0  0  0  0  0999 V2000\n    0.0 0.0 0.0 C\nM  END\n"
+    for end in ("\n", "\r\n"):
+        path = tmp_path / f"lines{len(end)}.sdf"
+        path.write_bytes(f"{record}$$$$\n\n$$$$\n{record}$$$$\n".replace("\n", end).encode())
+        rows = readers.scan_sdf(spark, str(path)).orderBy("row_idx").collect()
+        assert [(r.row_idx, r.record) for r in rows] == [(0, record), (1, "\n"), (2, record)]
+
+
+def test_scan_sep_sniff_white_space_with_schema(spark, tmp_path):
+    path = tmp_path / "cells.txt"
+    path.write_text("a  b   c\n1 x  2.5\n2   y NaN\n\n3 z\n")
+    got = readers.scan_sep_sniff(spark, str(path), "a int, b string, c double")
+    assert got.dtypes == [("a", "int"), ("b", "string"), ("c", "double")]
+    assert [tuple(r) for r in got.orderBy("a").collect()] == [(1, "x", 2.5), (2, "y", None), (3, "z", None)]
+    assert readers.scan_sep_sniff(spark, str(path)).first()["c"] == "2.5"
