@@ -1,7 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
 A document's set holds the hashes of its distinct word shingles. Sets are put into size bands whose limits grow by
-1 / threshold, so linked sets are in the same or in neighbouring bands. For a band with largest size r, linked sets
+BAND_STEPS times 1 / threshold, so linked sets are in the same or in neighbouring bands; only sets so near the top of their
+band that they may link into the next one give signatures for that one too. For a band with largest size r, linked sets
 differ in at most k = 2 r (1 - t) / (1 + t) shingles. The domain of hashes is cut into n1 * N2 equal ranges; of each
 run of N2 ranges every subset that leaves out K2 of them gives a signature. With n1 = ceil((k + 1) / (K2 + 1)),
 two linked sets agree on at least one signature, so no link is lost.
@@ -10,8 +11,9 @@ Sets with one signature share a bucket. Buckets are never expanded into pairs: e
 a bucket with those members that aren't yet in the pivot's component, counts shingles in common exactly, and joins
 components. Pivots leave the bucket afterwards; their number grows by PIVOT_GROWTH a round. A bucket ends when its members
 are one component, so groups of copies end after a round or two, whatever their size. Equal sets are one node from the
-start. From the second round on a pair is only made if the parities of both sets, folded to SKETCH_LONGS * 64 bits, differ
-in no more bits than linked sets may differ in shingles: fewer bits than shingles can differ, so no link is lost.
+start. Whole sets are compared only if the parities of both, folded to SKETCH_LONGS * 64 bits, differ in no more bits than
+linked sets may differ in shingles: fewer bits than shingles can differ, so no link is lost. From the second round on
+other pairs aren't even made.
 
 Defined results: a null or empty text has no shingles, is its own component and links with nothing; a null doc_id takes
 part like others, and a component without any id has the null id; repeated rows are one node; extra columns are
@@ -27,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descria.llm.common import map_arrow, materialise, narrow, text_chunks
@@ -37,6 +39,8 @@ SHINGLE_WORDS = 3
 THRESHOLD = Fraction(9, 10)
 #: Ranges in a run, and how many of them a signature leaves out.
 N2, K2 = 3, 1
+#: Width of a band in powers of 1 / threshold: wide ones have longer lists of signatures, narrow ones more sets at the top.
+BAND_STEPS = 3
 #: Sets looked up by a broadcast list of 8-byte keys up to this many; beyond, by a join.
 BROADCAST_SETS = 1_000_000
 PIVOT_GROWTH = 32
@@ -46,7 +50,7 @@ NO_SET = 0
 
 @lru_cache(maxsize=4096)
 def _bands(threshold: Fraction, size: int) -> int:
-    """Number of the size band of ``size``: bands are [1, 1/t], then on by a factor 1/t."""
+    """Number of the size band of ``size``: bands are [1, 1], then on by a factor 1/t to the power BAND_STEPS."""
     band, top = 0, 1
     while top < size:
         band, top = band + 1, _next_top(threshold, top)
@@ -54,8 +58,11 @@ def _bands(threshold: Fraction, size: int) -> int:
 
 
 def _next_top(threshold: Fraction, top: int) -> int:
-    """Largest size that can link with a set of the next size up."""
-    return int((top + 1) / threshold)
+    """Upper limit of the band after the one that ends at ``top``; at least the largest size that links into it."""
+    top += 1
+    for _ in range(BAND_STEPS):
+        top = int(top / threshold)
+    return top
 
 
 @lru_cache(maxsize=4096)
@@ -107,7 +114,8 @@ def signatures(grams: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray
     band = _bands(threshold, len(grams))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams))])
     out = []
-    for instance in (band, band + 1):
+    reaches = int(len(grams) / threshold) > _top(threshold, band)
+    for instance in (band, band + 1) if reaches else (band,):
         runs = _runs(threshold, instance)
         ranges = runs * N2
         # Equal ranges of the upper 32 bits; a set has its elements of a range next to each other.
@@ -217,8 +225,20 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _within_parity_bound(sketch: str, n: str, other_sketch: str, other_n: str, threshold: Fraction) -> Column:
+    """Whether no more parity bits differ than shingles may between linked sets of these sizes."""
+    apart = sum(F.bit_count(F.col(sketch)[i].bitwiseXOR(F.col(other_sketch)[i])) for i in range(SKETCH_LONGS))
+    least, most = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
+    return apart * F.lit(least) <= (F.col(n) + F.col(other_n)) * F.lit(most)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Those (a, b) pairs whose sets are similar enough, counted exactly."""
+    """Those (a, b) pairs whose sets are similar enough, counted exactly; whole sets are moved for pairs within the parity bound only."""
+    small = [
+        sets.select(F.col("set_key").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.size("shingles").alias(f"n_{x}")) for x in "ab"
+    ]
+    may_link = _within_parity_bound("sketch_a", "n_a", "sketch_b", "n_b", threshold)
+    pairs = pairs.join(small[0], "a").join(small[1], "b").where(may_link).select("a", "b")
     a = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -265,9 +285,7 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
         own = own.withColumnRenamed("p_node", "p")
         may_link = F.col("root") != F.col("p_root")
         if pivots > 1:
-            apart = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("p_sketch")[i])) for i in range(SKETCH_LONGS))
-            least, most = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
-            may_link &= apart * F.lit(least) <= (F.col("n") + F.col("p_n")) * F.lit(most)
+            may_link &= _within_parity_bound("sketch", "n", "p_sketch", "p_n", threshold)
         pairs = others.join(own, "signature").where(may_link)
         pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         if compared is not None:
