@@ -105,11 +105,6 @@ def replace_columns(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{exprs[c]} AS {ident(c)}" if c in exprs else ident(c) for c in df.columns])
 
 
-def as_doubles(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Cast the given columns to double in one projection."""
-    return replace_columns(df, {c: f"CAST({ident(c)} AS DOUBLE)" for c in columns})
-
-
 def name_at(position: Column, names: Sequence[str]) -> Column:
     """Feature name for a zero-based ordinal."""
     texts = ("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,25 +23,6 @@ def finite_or_null(c: Column) -> Column:
     return infinite_to_null(c.cast("double"))
 
 
-def is_missing(c: Column) -> Column:
-    """NULL or NaN; infinities are values until ``replace_inf`` has run."""
-    return c.isNull() | F.isnan(c)
-
-
-def balanced_sum(parts: list[Column]) -> Column:
-    """Sum of many expressions with logarithmic nesting depth."""
-    while len(parts) > 1:
-        parts = [
-            parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i]
-            for i in range(0, len(parts), 2)
-        ]
-    return parts[0]
-
-
-def any_of(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, parts)
-
-
 def signed_log(c: Column) -> Column:
     """``sign(x) * log(1 + |x|)``: defined everywhere, keeps the sign and zero."""
     return F.signum(c) * F.log1p(F.abs(c))

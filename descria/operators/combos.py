@@ -20,15 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from descria.columns import quoted
-from descria.errors import SearchTooLargeError
+from descria.errors import DescriaError, SearchTooLargeError
 from descria.functions.numeric import finite_or_null
 from descria.operators import gram
 from descria.operators.normal import ols_from_moments, score_from_moments
 from descria.operators.importance import training_view, tree_estimator
 from descria.storage import materialise, ship_package
 
-# Default ceiling on the number of subsets; raise it explicitly for larger searches.
-MAX_COMBOS = 5_000_000
 # Subsets fitted together in one Newton batch: bounds the state sent to each task.
 NEWTON_BATCH = 20_000
 _ROWS_AT_ONCE = 512
@@ -38,18 +36,18 @@ def combo_count(d: int, max_features: int) -> int:
     return sum(math.comb(d, k) for k in range(1, min(max_features, d) + 1))
 
 
-def check_size(d: int, max_features: int, max_combos: int) -> None:
+def check_size(d: int, max_features: int, max_combos: int | None) -> None:
     total = combo_count(d, max_features)
-    if total > max_combos:
+    if max_combos is not None and total > max_combos:
         raise SearchTooLargeError(f"{total} subsets of {d} features exceed max_combos={max_combos}")
 
 
-def combo_enumerate(spark: SparkSession, d: int, max_features: int = 5, max_combos: int = MAX_COMBOS) -> DataFrame:
+def combo_enumerate(spark: SparkSession, d: int, max_features: int = 5, max_combos: int | None = None) -> DataFrame:
     """``(num_features, combo)`` for all index subsets of size 1 to ``max_features``.
 
     Grown level by level with ``explode`` of the larger indices, so the table is
-    produced by the executors and never listed on the driver. A search above
-    ``max_combos`` is refused rather than cut short.
+    produced by the executors and never listed on the driver. There is no limit
+    unless ``max_combos`` states one; a search above it is refused rather than cut short.
     """
     check_size(d, max_features, max_combos)
     level = spark.range(d).select(F.array(F.col("id").cast("int")).alias("combo"))
@@ -77,7 +75,7 @@ def combo_eval_lr(
     target: str,
     held_out: Column,
     max_features: int = 5,
-    max_combos: int = MAX_COMBOS,
+    max_combos: int | None = None,
 ) -> DataFrame:
     """``(num_features, combo, r2, mse)`` of least squares per subset.
 
@@ -243,8 +241,8 @@ def fit_logistic_subsets(
         beta[live] = base[live] + step[live]
         live = live[np.abs(step[live]).max(axis=1) > tol]
         if len(live) == 0:
-            break
-    return beta
+            return beta
+    raise DescriaError(f"{len(live)} of {c} logistic fits did not converge in {max_rounds} rounds")
 
 
 def combo_eval_logit(
@@ -253,7 +251,7 @@ def combo_eval_logit(
     target: str,
     held_out: Column,
     max_features: int = 5,
-    max_combos: int = MAX_COMBOS,
+    max_combos: int | None = None,
     c_inverse: float = 1.0,
 ) -> DataFrame:
     """``(num_features, combo, accuracy)`` of an L2 logistic model per subset.

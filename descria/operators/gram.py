@@ -86,11 +86,11 @@ class _Sums:
 
 
 def shift_values(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """One present value per column: subtracting it keeps the sums well conditioned."""
-    head = df.selectExpr(*[f"{finite_sql(c)} AS x{k}" for k, c in enumerate(columns)]).take(64)
+    """Mean of the present values per column, over all rows: subtracting it keeps the sums well conditioned."""
     out = np.zeros(len(columns))
-    for k in range(len(columns)):
-        out[k] = next((row[k] for row in head if row[k] is not None), 0.0)
+    for row in cells(df, columns).groupBy("pos").agg(F.avg("v").alias("v")).collect():
+        if row["v"] is not None and np.isfinite(row["v"]):
+            out[row["pos"]] = row["v"]
     return out
 
 

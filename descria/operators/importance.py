@@ -15,6 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame
 
 from descria.columns import quoted
+from descria.errors import DescriaError
 from descria.operators import gram
 from descria.operators.linear import VECTOR, assembler, fit_least_squares, logistic, row_count
 from descria.operators.moments import column_profile
@@ -28,7 +29,10 @@ MODELS = ("Lasso", "RandomForest", "DecisionTree", *BOOSTED)
 
 
 def depth(max_depth: int | None) -> int:
-    return UNLIMITED_DEPTH if max_depth is None or max_depth < 0 else min(max_depth, UNLIMITED_DEPTH)
+    """Spark's deepest tree for None and -1; a stated depth beyond it is refused, not cut."""
+    if max_depth is not None and max_depth > UNLIMITED_DEPTH:
+        raise DescriaError(f"trees are at most {UNLIMITED_DEPTH} deep, {max_depth} was asked for")
+    return UNLIMITED_DEPTH if max_depth is None or max_depth < 0 else max_depth
 
 
 def tree_estimator(

@@ -134,9 +134,5 @@ def predictions_reg(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.select(quoted(actual).alias(f"Actual_{actual}"), quoted(predicted).alias("Predicted"))
 
 
-def mean_by(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias(value))
-
-
 def stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -184,7 +184,7 @@ def _prune(
     # lost with an executor and the rows are scanned only once.
     shift = None
     if centres is not None:
-        shift = np.array([*[centres[f] for f in features], 0.0])
+        shift = np.array([*[centres[f] for f in features], *gram.shift_values(df, [target])])
     table = materialise(gram.gram_table(df, names, shift=shift), "pairs")
     alive = list(range(len(features)))
     if variance_threshold is not None:

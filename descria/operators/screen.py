@@ -70,11 +70,11 @@ def virtual_screening(
     threshold: float = 10.0,
     medians: str | Mapping[str, float] = SCREENED,
 ) -> Screening:
-    """Score a library and keep the rows that meet the threshold."""
+    """Score a library, which must carry row ordinals, and keep the rows that meet the threshold."""
+    require_columns(library, [align.ROW])
     scored = predict_library(model, library, features, task, medians)
     hits = threshold_select(scored, task, threshold, has_probability(model))
-    indices = hits.select(align.ROW) if align.ROW in hits.columns else hits.select(hits.columns[0])
-    return Screening(hits, indices)
+    return Screening(hits, hits.select(align.ROW))
 
 
 @dataclass(frozen=True)

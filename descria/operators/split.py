@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from descria.columns import quoted, require_columns
 from descria.errors import DescriaError
 
+# Longest hash prefix, and the counters (prefixes x classes) beyond which it gets shorter.
 _PREFIX = 4
-# Stratification keeps (prefixes x labels) counters; a continuous column is refused.
-MAX_LABELS = 100
+_COUNTERS = 1 << 22
 
 
 def row_hash(key: str, seed: int) -> Column:
@@ -31,15 +31,21 @@ def row_hash(key: str, seed: int) -> Column:
 
 
 def _keyed(df: DataFrame, key: str, seed: int, label: str | None) -> DataFrame:
-    group = F.lit("") if label is None else F.coalesce(quoted(label).cast("string"), F.lit(""))
-    hashed = df.select(group.alias("g"), row_hash(key, seed).alias("h"))
-    return hashed.withColumn("p", F.substring("h", 1, _PREFIX))
-
-
-def _histogram(keyed: DataFrame, label: str | None) -> dict[str, list[tuple[str, int]]]:
-    """Rows per hash prefix and group: at most 65536 counters per group."""
-    if label is not None and keyed.select("g").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise DescriaError(f"more than {MAX_LABELS} classes in {label!r}: not a stratification column")
+    hashed = df.select(_group_expr(label).alias("g"), row_hash(key, seed).alias("h"))
+    classes = 1
+    if label is not None:
+        sizes = hashed.groupBy("g").count()
+        classes, rows = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
+        if 2 * classes > rows:
+            raise DescriaError(f"{rows} rows in {classes} classes of {label!r}: some class has a single row")
+    prefix = _PREFIX
+    while prefix > 1 and classes * 16**prefix > _COUNTERS:
+        prefix -= 1
+    return hashed.withColumn("p", F.substring("h", 1, prefix))
+
+
+def _histogram(keyed: DataFrame) -> dict[str, list[tuple[str, int]]]:
+    """Rows per hash prefix and group: about ``_COUNTERS`` counters, whatever the number of groups."""
     out: dict[str, list[tuple[str, int]]] = {}
     for row in keyed.groupBy("g", "p").count().orderBy("g", "p").collect():
         out.setdefault(row["g"], []).append((row["p"], row["count"]))
@@ -49,7 +55,10 @@ def _histogram(keyed: DataFrame, label: str | None) -> dict[str, list[tuple[str,
 def _cutoffs(
     keyed: DataFrame, histogram: Mapping[str, list[tuple[str, int]]], ranks: Mapping[str, Sequence[int]]
 ) -> dict[str, list[str]]:
-    """Hash of the given one-based ranks per group (rank 0 gives the empty string)."""
+    """Hash of the given one-based ranks per group (rank 0 gives the empty string).
+
+    Rows with equal keys on both sides of a rank can't be told apart: an error, as sizes would not be exact.
+    """
     wanted: dict[tuple[str, str], list[tuple[int, int]]] = {}
     out = {g: [""] * len(r) for g, r in ranks.items()}
     for g, targets in ranks.items():
@@ -65,8 +74,11 @@ def _cutoffs(
     probes = [(g, p, slot, r) for (g, p), hits in wanted.items() for slot, r in hits]
     probe = keyed.sparkSession.createDataFrame(probes, "g string, p string, slot int, r int")
     near = keyed.join(F.broadcast(probe.select("g", "p").distinct()), ["g", "p"], "left_semi")
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("g", "p").orderBy("h")))
-    for row in ranked.join(F.broadcast(probe), ["g", "p", "r"]).select("g", "slot", "h").collect():
+    order = Window.partitionBy("g", "p").orderBy("h")
+    ranked = near.select("*", F.row_number().over(order).alias("r"), F.lead("h").over(order).alias("next"))
+    for row in ranked.join(F.broadcast(probe), ["g", "p", "r"]).select("g", "slot", "h", "next").collect():
+        if row["h"] == row["next"]:
+            raise DescriaError("rows with equal keys lie on both sides of a boundary: splits need a unique key")
         out[row["g"]][row["slot"]] = row["h"]
     return out
 
@@ -96,15 +108,12 @@ def mark_held_out(
     """
     require_columns(df, [key] if label is None else [key, label])
     keyed = _keyed(df, key, seed, label)
-    histogram = _histogram(keyed, label)
+    histogram = _histogram(keyed)
     counts = {g: sum(c for _, c in rows) for g, rows in histogram.items()}
     sizes = proportional_sizes(counts, held_out_size(counts, test_size))
     cut = _cutoffs(keyed, histogram, {g: [k] for g, k in sizes.items()})
     group, h = _group_expr(label), row_hash(key, seed)
-    inside = F.lit(False)
-    for g, (limit,) in cut.items():
-        inside = F.when(group == F.lit(g), h <= F.lit(limit)).otherwise(inside)
-    return df.withColumn(name, inside)
+    return df.withColumn(name, F.coalesce(h <= F.get(_limits(cut, group), F.lit(0)), F.lit(False)))
 
 
 def _fold_ranks(n: int, k: int, skip: int = 0) -> list[int]:
@@ -112,12 +121,17 @@ def _fold_ranks(n: int, k: int, skip: int = 0) -> list[int]:
     return [skip + (f + 1) * (n // k) + min(f + 1, n % k) for f in range(k - 1)]
 
 
-def _numbered(h: Column, limits: Sequence[str], first: int) -> Column:
-    """Number of the interval ``h`` falls in; the intervals end at ``limits``."""
-    out = F.lit(first + len(limits))
-    for f in reversed(range(len(limits))):
-        out = F.when(h <= F.lit(limits[f]), F.lit(first + f)).otherwise(out)
-    return out
+def _limits(cut: Mapping[str, Sequence[str]], group: Column) -> Column:
+    """Cutoffs of the row's group, as an array."""
+    if not cut:
+        return F.array().cast("array<string>")
+    pairs = [x for g, own in cut.items() for x in (F.lit(g), F.array(*[F.lit(v) for v in own]))]
+    return F.create_map(*pairs)[group]
+
+
+def _numbered(h: Column, limits: Column, count: int, first: int) -> Column:
+    """Number of the interval ``h`` falls in; the intervals end at the ``count`` ascending limits."""
+    return sum(((h > F.get(limits, F.lit(f))).cast("int") for f in range(count)), F.lit(first))
 
 
 def mark_split_and_folds(
@@ -131,17 +145,14 @@ def mark_split_and_folds(
     """
     require_columns(df, [key] if label is None else [key, label])
     keyed = _keyed(df, key, seed, label)
-    histogram = _histogram(keyed, label)
+    histogram = _histogram(keyed)
     counts = {g: sum(c for _, c in rows) for g, rows in histogram.items()}
     held = proportional_sizes(counts, held_out_size(counts, test_size))
     cut = _cutoffs(
         keyed, histogram, {g: [held[g], *_fold_ranks(counts[g] - held[g], k, held[g])] for g in counts}
     )
     group, h = _group_expr(label), row_hash(key, seed)
-    fold = F.lit(None).cast("int")
-    for g, limits in cut.items():
-        fold = F.when(group == F.lit(g), _numbered(h, limits, -1)).otherwise(fold)
-    return df.withColumn("fold", fold)
+    return df.withColumn("fold", _numbered(h, _limits(cut, group), k, -1))
 
 
 def held_out_size(counts: Mapping[str, int], test_size: float) -> int:
@@ -172,11 +183,8 @@ def mark_folds(
     if k < 2:
         raise DescriaError("at least two folds are needed")
     keyed = _keyed(df, key, seed, label)
-    histogram = _histogram(keyed, label)
+    histogram = _histogram(keyed)
     counts = {g: sum(c for _, c in rows) for g, rows in histogram.items()}
     cut = _cutoffs(keyed, histogram, {g: _fold_ranks(n, k) for g, n in counts.items()})
     group, h = _group_expr(label), row_hash(key, seed)
-    fold = F.lit(k - 1)
-    for g, limits in cut.items():
-        fold = F.when(group == F.lit(g), _numbered(h, limits, 0)).otherwise(fold)
-    return df.withColumn(name, fold)
+    return df.withColumn(name, _numbered(h, _limits(cut, group), k - 1, 0))

@@ -142,11 +142,6 @@ def scan_feature_list(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
-def read_feature_list(spark: SparkSession, path: str) -> list[str]:
-    """The names themselves, in file order (as many as the table has columns)."""
-    return [r["feature"] for r in scan_feature_list(spark, path).orderBy("pos").collect()]
-
-
 def scan_index_list(spark: SparkSession, path: str) -> DataFrame:
     """``(idx)``: one integer per line."""
     return spark.read.schema("idx bigint").csv(path).filter(F.col("idx").isNotNull())

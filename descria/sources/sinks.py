@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from descria.columns import quoted
 from descria.sources.readers import RECORD_END
@@ -62,8 +61,3 @@ def load_model(path: str) -> PipelineModel:
 
 def load_params(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/params").collect()}
-
-
-def summary_json(report: DataFrame) -> DataFrame:
-    """One JSON text per report row."""
-    return report.select(F.to_json(F.struct(*[quoted(c) for c in report.columns])).alias("summary"))

@@ -244,3 +244,23 @@ def test_validation_checks_columns(data):
         score.validate_reg(model, df, ["a"], ["value", "b"])
     with pytest.raises(DescriaError):
         score.validate_reg(model, df.drop("a"), ["a"], "value")
+
+
+def test_splits_of_many_classes_and_equal_keys(spark):
+    df = spark.range(3000).selectExpr("id AS key", "id % 150 AS Label")
+    marked = split.mark_held_out(df, "key", 0.25, 42, "Label")
+    assert {tuple(r) for r in marked.groupBy("Label").agg(F.sum(F.col("is_test").cast("int"))).select("sum(CAST(is_test AS INT))").collect()} == {(5,)}
+    folds = split.mark_split_and_folds(df, "key", 0.25, 5, 42, "Label").groupBy("Label", "fold").count()
+    assert {(r["fold"], r["count"]) for r in folds.collect()} == {(-1, 5), (0, 3), (1, 3), (2, 3), (3, 3), (4, 3)}
+    with pytest.raises(DescriaError):
+        split.mark_held_out(spark.range(1000).selectExpr("id % 2 AS key"), "key", 0.25)
+    empty = df.limit(0)
+    assert split.mark_split_and_folds(empty, "key", label="Label").isEmpty()
+
+
+def test_searches_are_refused_only_on_request():
+    combos.check_size(62, 5, None)
+    assert combos.combo_count(62, 5) > 5_000_000
+    with pytest.raises(DescriaError):
+        importance.depth(31)
+    assert importance.depth(-1) == importance.depth(None) == importance.depth(30) == 30

@@ -214,3 +214,24 @@ def test_stages_chain_save_and_stream_free(spark, tmp_path):
     assert sorted(map(tuple, again.transform(df).collect())) == sorted(map(tuple, chain.transform(df).collect()))
     with pytest.raises((TypeError, ValueError)):
         stages.DropSparseRows(threshold=1.5)
+
+
+def test_offsets_after_missing_cells_keep_their_variance(spark):
+    df = spark.range(400).selectExpr(
+        "IF(id < 100, NULL, 1e8 + 4 * (id % 2)) AS a", "CAST(id % 7 AS DOUBLE) AS b", "1e8 + id % 2 + 0.1 * (id % 7) AS value"
+    ).coalesce(1)
+    table = gram.gram_table(df, ["a", "b", "value"])
+    spread = {r["i"]: r["variance"] for r in gram.variances(table).collect()}
+    assert spread[0] == pytest.approx(4.0)
+    want = df.toPandas().corr()
+    got = {(r["f1"], r["f2"]): r["r"] for r in gram.corr_matrix(df, ["a", "b", "value"]).collect()}
+    for pair, r in got.items():
+        assert r == pytest.approx(want.loc[pair], abs=1e-6)
+    kept = prune.optimize_columns(df, ["a", "b"], "value", 0.05, 0.95, task="regression", centres={"a": 1e8 + 2, "b": 3.0})
+    assert kept.kept == ["a", "b"]
+
+
+def test_constant_columns_have_no_variance(spark):
+    df = spark.range(1000).selectExpr("0.1 AS a", "1e8 + 0.3 AS b", "CAST(id AS DOUBLE) AS c").repartition(7)
+    got = {r["i"]: r["variance"] for r in gram.variances(gram.gram_table(df, ["a", "b", "c"])).collect()}
+    assert got[0] == 0.0 and got[1] == 0.0 and got[2] > 0

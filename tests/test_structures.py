@@ -167,6 +167,8 @@ def test_screening_rules(spark):
     assert extraction is None and nothing.compounds.isEmpty()
     with pytest.raises(MissingColumnError):
         screen.virtual_screening(model, dirty, ["y"], score.REGRESSION)
+    with pytest.raises(MissingColumnError):
+        screen.virtual_screening(model, dirty.drop("row_idx"), ["x"], score.REGRESSION)
     with pytest.raises(DescriaError):
         screen.virtual_screening(model, dirty, ["x"], "clustering")
 
