@@ -78,27 +78,31 @@ def asked_ordinals(wanted: DataFrame, name: str = ROW) -> DataFrame:
     return small_side(materialise(asked, "wanted"), MAX_BROADCAST_ORDINALS)
 
 
-def extract_by_index(records: DataFrame, wanted: DataFrame, valid: str | None = None, name: str = ROW) -> DataFrame:
+def extract_by_index(
+    records: DataFrame, wanted: DataFrame, valid: str | None = None, name: str = ROW, stored: bool = False
+) -> DataFrame:
     """Records whose ordinal is wanted; unreadable records are skipped.
 
     A list within the size limit is broadcast, so the library is filtered while it
     is read; a longer one is joined by shuffle. Rows carry their ordinal; sort by it
-    where the order of the file is needed.
+    where the order of the file is needed. ``stored``: ``wanted`` comes from :func:`asked_ordinals`.
     """
     readable = records if valid is None else records.filter(quoted(valid))
-    return readable.join(asked_ordinals(wanted, name), name, "left_semi")
+    return readable.join(wanted if stored else asked_ordinals(wanted, name), name, "left_semi")
 
 
-def indices_not_found(records: DataFrame, wanted: DataFrame, name: str = ROW) -> DataFrame:
+def indices_not_found(records: DataFrame, wanted: DataFrame, name: str = ROW, stored: bool = False) -> DataFrame:
     """Wanted ordinals that the library does not have."""
-    asked = asked_ordinals(wanted, name)
+    asked = wanted if stored else asked_ordinals(wanted, name)
     hit = records.select(name).join(asked, name, "left_semi")
     return asked.join(hit, name, "left_anti")
 
 
-def extraction_counts(records: DataFrame, wanted: DataFrame, valid: str, name: str = ROW) -> DataFrame:
+def extraction_counts(
+    records: DataFrame, wanted: DataFrame, valid: str, name: str = ROW, stored: bool = False
+) -> DataFrame:
     """One row ``(requested, extracted, not_found)``."""
-    asked = asked_ordinals(wanted, name)
+    asked = wanted if stored else asked_ordinals(wanted, name)
     hit = records.select(name, quoted(valid).alias("__ok")).join(asked, name, "left_semi")
     found = hit.agg(F.count_if("__ok").alias("extracted"), F.count(F.lit(1)).alias("found"))
     requested = asked.agg(F.count(F.lit(1)).alias("requested"))

@@ -14,7 +14,9 @@ from descria.storage import materialise
 
 # Actual values at or below this size are left out of the percentage error.
 MAPE_FLOOR = 1e-8
-_AUC_BUCKETS = 256
+# Score ranges of the running count: at least so many, and more when a range would hold more distinct scores.
+_AUC_RANGES = 256
+_AUC_RANGE_SCORES = 1_000_000
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -76,11 +78,12 @@ def roc_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
     groups = materialise(
         clean.groupBy(quoted(score).cast("double").alias("s")).agg(pos.alias("p"), neg.alias("n")), "scores"
     )
-    cuts = groups.approxQuantile("s", [k / _AUC_BUCKETS for k in range(1, _AUC_BUCKETS)], 1.0 / (4 * _AUC_BUCKETS))
+    ranges = max(_AUC_RANGES, -(-groups.count() // _AUC_RANGE_SCORES))
+    cuts = groups.approxQuantile("s", [k / ranges for k in range(1, ranges)], 1.0 / (4 * ranges))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     binned = Bucketizer(splits=splits, inputCol="s", outputCol="b").transform(groups)
     totals = binned.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    # At most _AUC_BUCKETS rows from here on.
+    # One row per range from here on.
     upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("b", F.coalesce(F.sum("bn").over(upto), F.lit(0)).alias("before"))
     inside = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)

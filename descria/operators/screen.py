@@ -86,10 +86,11 @@ class Extraction:
 
 def extract_molecules(records: DataFrame, indices: DataFrame) -> Extraction:
     """Structure records of the selected ordinals, ordinals not in the file, and counts."""
+    asked = align.asked_ordinals(indices)
     return Extraction(
-        align.extract_by_index(records, indices, "valid"),
-        align.indices_not_found(records, indices),
-        align.extraction_counts(records, indices, "valid"),
+        align.extract_by_index(records, asked, "valid", stored=True),
+        align.indices_not_found(records, asked, stored=True),
+        align.extraction_counts(records, asked, "valid", stored=True),
     )
 
 
