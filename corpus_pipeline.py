@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from descria.llm import compress_classifier, decontaminate, jaccard_join, packing, quality_rules
 from descria.llm.common import materialise, table
 
+#: Near duplicates of the pipeline: shingles of five words, at least four fifths of them shared. The query of op4 has its own.
+SHINGLE_WORDS, LEAST_SHARED = 5, Fraction(4, 5)
+
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -23,7 +28,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return jaccard_join.keep_first(docs)
+    return jaccard_join.keep_first(docs, SHINGLE_WORDS, LEAST_SHARED)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
