@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from descria.columns import is_fractional, quoted, require_columns
 from descria.errors import DescriaError, UnknownCatalogError, UnsupportedFormatError
 from descria.functions import sdf
-from descria.operators.align import ROW, key_join, with_row_index, zip_join
+from descria.operators.align import MAX_BROADCAST_CHUNKS, ROW, key_join, small_side, with_row_index, zip_join
+from descria.storage import materialise, ship_package
 
 SUFFIXES = (".smi", ".csv", ".sdf")
-RECORD_END = "$$$$\n"
+RECORD_MARK = "$$$$"
+RECORD_END = f"{RECORD_MARK}\n"
+# What may follow the mark in its line.
+_LINE_REST = re.compile(rb"\$*\r?\n")
 _LITERALS = {"nullValue": "", "nanValue": "NaN", "positiveInf": "inf", "negativeInf": "-inf"}
 
 
@@ -93,17 +99,71 @@ def scan_tsv_single(
     return nan_to_null(with_row_index(table) if indexed else table)
 
 
+def _sdf_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(file, start, k, bare, record)`` from the pieces between ``$$$$``, which come in file order within a split.
+
+    A piece that goes on within the line of the mark belongs to the record before it. Where that one is in an
+    earlier split, ``k`` is -1. ``bare`` marks a piece that is a line end only: an empty record, or what follows the last mark.
+    """
+    split, k, now = None, 0, None
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_()))]
+        text = pa.array([RECORD_MARK.encode().join(r[4]).replace(b"\r\n", b"\n") for r in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([*arrays, text], names=["file", "start", "k", "bare", "record"])
+
+    for batch in batches:
+        done = []
+        for file, start, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            end = _LINE_REST.match(value)
+            fresh = (file, start) != split
+            if fresh:
+                split, k = (file, start), 0
+            if not fresh and end is None:
+                now[3] = False
+                now[4].append(value)
+                continue
+            if now is not None:
+                done.append(now)
+            if fresh and start == 0:
+                now, k = [file, start, k, False, [value]], k + 1
+            elif end is None:
+                now = [file, start, -1, False, [value]]
+            else:
+                now, k = [file, start, k, end.end() == len(value), [value[end.end() :]]], k + 1
+        yield batch_of(done)
+    if now is not None:
+        yield batch_of([now])
+
+
 def scan_sdf(spark: SparkSession, path: str) -> DataFrame:
     """``(row_idx, record, valid)``: one row per record; an unreadable record keeps its ordinal.
 
-    Lines end as the first one does, with LF or CRLF; records hold LF.
+    Every line may end with LF or CRLF, also within one file; records hold LF. Ordinals follow
+    (file path, offset in file).
     """
-    first = spark.read.option("lineSep", "\n").text(path).head()
-    crlf = first is not None and first["value"].endswith("\r")
-    text = spark.read.option("lineSep", RECORD_END.replace("\n", "\r\n") if crlf else RECORD_END).text(path)
-    record = F.replace("value", F.lit("\r\n"), F.lit("\n")) if crlf else F.col("value")
-    indexed = with_row_index(text).withColumn("value", record).withColumnRenamed("value", "record")
-    return indexed.withColumn("valid", sdf.is_valid(F.col("record")))
+    ship_package(spark)
+    raw = spark.read.option("lineSep", RECORD_MARK).text(path)
+    raw = raw.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
+    pieces = raw.mapInArrow(_sdf_pieces, "file string, start bigint, k bigint, bare boolean, record binary")
+    splits = pieces.groupBy("file", "start").agg(
+        F.count_if(F.col("k") >= 0).alias("n"), F.max_by("bare", "k").alias("bare"), F.count_if(F.col("k") < 0).alias("parts")
+    )
+    # One row per input split, so these windows order a table of that size only.
+    order = Window.orderBy("file", "start")
+    last = F.coalesce(F.lead("file").over(order) != F.col("file"), F.lit(True))
+    splits = splits.withColumn("n", F.col("n") - F.when(last & F.col("bare"), 1).otherwise(0))
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = materialise(splits.select("file", "start", "n", "parts", before.alias("before")), "splits")
+    placed = pieces.join(small_side(splits, MAX_BROADCAST_CHUNKS), ["file", "start"]).where("k < n")
+    placed = placed.select((F.col("before") + F.col("k")).alias(ROW), "k", "start", F.col("record").cast("string").alias("record"))
+    records = placed.where("k >= 0").select(ROW, "record")
+    if not splits.where("parts > 0").isEmpty():
+        # At most one part per input split.
+        rest = placed.where("k < 0").groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "record"))).alias("rest"))
+        whole = F.concat(F.array("record"), F.coalesce(F.col("rest.record"), F.array().cast("array<string>")))
+        records = records.join(rest, ROW, "left").select(ROW, F.array_join(whole, RECORD_MARK).alias("record"))
+    return records.withColumn("valid", sdf.is_valid(F.col("record")))
 
 
 def sniff_separator(header: str) -> str:
