@@ -9,12 +9,14 @@ one scan that returns gradients and Hessians of every unfinished subset.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import batched, combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,26 +123,36 @@ def combo_eval_rf(
     features: Sequence[str],
     target: str,
     held_out: Column,
-    combos: Sequence[Sequence[int]],
+    combos: Iterable[Sequence[int]],
     n_estimators: int = 50,
     max_depth: int = 10,
     seed: int = 101,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Forest score per listed subset; each fit is itself a distributed job over its columns."""
+    """Forest score per listed subset; each fit is itself a distributed job over its columns, a few run at a time."""
     marked = df.select(
         *[quoted(c) for c in features], quoted(target).cast("double").alias(target), held_out.alias("__held")
     )
+    # Read by every fit and score: store the narrow table instead of repeating its plan.
+    marked = materialise(marked, "subsets")
     estimator = tree_estimator(
         "RandomForest", "regression", target, n_estimators=n_estimators, max_depth=max_depth, seed=seed
     )
     r2 = RegressionEvaluator(labelCol=target, metricName="r2")
     mse = RegressionEvaluator(labelCol=target, metricName="mse")
-    rows = []
-    for combo in combos:
+
+    def run(combo: Sequence[int]) -> tuple:
         names = [features[k] for k in combo]
         model = estimator.fit(training_view(marked.filter(~F.col("__held")), names, target))
         scored = model.transform(training_view(marked.filter("__held"), names, target))
-        rows.append((len(combo), list(combo), r2.evaluate(scored), mse.evaluate(scored)))
+        return len(combo), list(combo), r2.evaluate(scored), mse.evaluate(scored)
+
+    pool = ThreadPool(processes=parallelism)
+    try:
+        rows = list(pool.imap(inheritable_thread_target(run), combos))
+    finally:
+        pool.close()
+        pool.join()
     return df.sparkSession.createDataFrame(rows, "num_features int, combo array<int>, r2 double, mse double")
 
 

@@ -208,7 +208,7 @@ def fs_lasso_reg(spark, sf):
 def fs_tree(spark, sf):
     out = select.select_by_model(
         d_ord(spark, sf).drop("Label"), "RandomForest", "value", "regression", threshold=0.01,
-        protected=["o_orderkey"], n_estimators=20, max_depth=5,
+        protected=["o_orderkey"],
     )
     return importance.score_table(out.table, out.scores)
 
@@ -217,7 +217,7 @@ def fs_tree(spark, sf):
 def fs_boosted(spark, sf):
     out = select.select_by_model(
         _clean_emb(spark, sf).drop("value"), "XGBoost", "Label", threshold="percentile(75)",
-        protected=["vec_id"], n_estimators=5, max_depth=3,
+        protected=["vec_id"],
     )
     return importance.score_table(out.table, out.scores)
 
@@ -352,10 +352,10 @@ def _ols_sql() -> str:
 _OLS_SQL = _ols_sql()
 
 
-def _lr_scores(spark, sf):
+def _lr_scores(spark, sf, max_features=2):
     cust = d_cust(spark, sf)
     marked = split.mark_held_out(cust, "c_custkey", 0.2, SEED)
-    return combos.combo_eval_lr(marked, CUST_FEATURES, "value", F.col("is_test"), 2)
+    return combos.combo_eval_lr(marked, CUST_FEATURES, "value", F.col("is_test"), max_features)
 
 
 @query(
@@ -367,6 +367,12 @@ def combo_eval_lr(spark, sf):
     return rounded(_lr_scores(spark, sf).withColumn("combo", F.array_join("combo", ",")), ["r2", "mse"])
 
 
+@query("combo_eval_lr_all")
+def combo_eval_lr_all(spark, sf):
+    """Subsets of up to five columns, as the operator's default; ``combo_eval_lr`` has the sizes its SQL solves."""
+    return rounded(_lr_scores(spark, sf, 5).withColumn("combo", F.array_join("combo", ",")), ["r2", "mse"])
+
+
 @query(
     "best_per_size",
     f"WITH {_OLS_SQL} SELECT CAST(num_features AS INT) AS num_features, array_to_string(combo, ',') AS combo,"
@@ -377,6 +383,12 @@ def best_per_size(spark, sf):
     return rounded(best.select("num_features", F.array_join("combo", ",").alias("combo"), "r2"), ["r2"])
 
 
+@query("best_per_size_all")
+def best_per_size_all(spark, sf):
+    best = combos.best_per_size(_lr_scores(spark, sf, 5), "r2")
+    return rounded(best.select("num_features", F.array_join("combo", ",").alias("combo"), "r2"), ["r2"])
+
+
 _TOP_SQL = f"{_OLS_SQL}, top AS (SELECT *, row_number() OVER (ORDER BY r2 DESC, num_features, combo) AS rk FROM ev)"
 
 
@@ -390,6 +402,12 @@ def combo_topn(spark, sf):
     return rounded(top.select("rank", F.array_join("combo", ",").alias("combo"), "r2"), ["r2"])
 
 
+@query("combo_topn_all")
+def combo_topn_all(spark, sf):
+    top = combos.combo_topn(_lr_scores(spark, sf, 5), "r2", 3)
+    return rounded(top.select("rank", F.array_join("combo", ",").alias("combo"), "r2"), ["r2"])
+
+
 @query(
     "combo_project",
     f"WITH {_TOP_SQL}, {long_sql('cust', CUST_FEATURES, 'c_custkey')} SELECT c_custkey, feature, round(v, 6) AS v"
@@ -401,6 +419,13 @@ def combo_project(spark, sf):
     return _melt(out, [CUST_FEATURES[k] for k in best["combo"]])
 
 
+@query("combo_project_all")
+def combo_project_all(spark, sf):
+    best = combos.combo_topn(_lr_scores(spark, sf, 5), "r2", 1).first()
+    out = combos.combo_project(d_cust(spark, sf), CUST_FEATURES, best["combo"], "value", ["c_custkey"])
+    return _melt(out, [CUST_FEATURES[k] for k in best["combo"]])
+
+
 @query(
     "combo_skip_rules",
     f"WITH {EMB_FINITE_SQL}, {long_sql('fin', ['k_const', 'e00', 'k_dup'])}, f AS (SELECT pos, var_pop(v) > 0 AS ok"
@@ -419,15 +444,15 @@ def combo_skip_rules(spark, sf):
 @query("combo_eval_rf")
 def combo_eval_rf(spark, sf):
     marked = split.mark_held_out(d_cust(spark, sf), "c_custkey", 0.2, SEED)
-    listed = [r["combo"] for r in combos.combo_enumerate(spark, 3, 1).orderBy("combo").collect()]
-    out = combos.combo_eval_rf(marked, CUST_FEATURES[:3], "value", F.col("is_test"), listed, n_estimators=10)
+    listed = (r["combo"] for r in combos.combo_enumerate(spark, len(CUST_FEATURES)).toLocalIterator())
+    out = combos.combo_eval_rf(marked, CUST_FEATURES, "value", F.col("is_test"), listed)
     return out.withColumn("combo", F.array_join("combo", ","))
 
 
 @query("combo_eval_logit")
 def combo_eval_logit(spark, sf):
     marked = split.mark_held_out(d_cust(spark, sf), "c_custkey", 0.2, SEED, "Label")
-    out = combos.combo_eval_logit(marked, CUST_FEATURES, "Label", F.col("is_test"), 2)
+    out = combos.combo_eval_logit(marked, CUST_FEATURES, "Label", F.col("is_test"))
     return out.withColumn("combo", F.array_join("combo", ","))
 
 
@@ -454,9 +479,7 @@ def param_grid(spark, sf):
 
 @query("grid_search_cls")
 def grid_search_cls(spark, sf):
-    out = grid.grid_search_cls(
-        d_cust(spark, sf).drop("value", "nation"), "c_custkey", algorithm="logistic", grid={"C": [0.1, 10]}, cv_splits=3
-    )
+    out = grid.grid_search_cls(d_cust(spark, sf).drop("value", "nation"), "c_custkey", algorithm="logistic")
     return grid.mean_scores(out.cv_results)
 
 
@@ -489,6 +512,13 @@ def grid_search_reg(spark, sf):
     return grid.mean_scores(out.cv_results).withColumn("mean_value", digits)
 
 
+@query("grid_search_reg_all")
+def grid_search_reg_all(spark, sf):
+    """All columns; ``grid_search_reg`` has the one its SQL solves."""
+    out = grid.grid_search_reg(d_cust(spark, sf).drop("Label", "nation"), "c_custkey", algorithm="elasticnet")
+    return grid.mean_scores(out.cv_results)
+
+
 @query("grid_search_elasticnet")
 def grid_search_elasticnet(spark, sf):
     """All order columns; the solver is checked against coordinate descent in the tests."""
@@ -498,10 +528,7 @@ def grid_search_elasticnet(spark, sf):
 
 @query("grid_search_tree")
 def grid_search_tree(spark, sf):
-    out = grid.grid_search_reg(
-        d_cust(spark, sf).drop("Label", "nation"), "c_custkey", algorithm="decision_tree",
-        grid={"max_depth": [3, 5], "min_samples_leaf": [1]}, cv_splits=3,
-    )
+    out = grid.grid_search_reg(d_cust(spark, sf).drop("Label", "nation"), "c_custkey", algorithm="decision_tree")
     return grid.mean_scores(out.cv_results)
 
 
@@ -528,6 +555,12 @@ def cv_results(spark, sf):
     return test.select("fold", "metric", digits.alias("value"))
 
 
+@query("cv_results_all")
+def cv_results_all(spark, sf):
+    out = grid.grid_search_reg(d_cust(spark, sf).drop("Label", "nation"), "c_custkey", algorithm="linear_regression")
+    return out.cv_results.filter("split = 'test'").select("fold", "metric", "value")
+
+
 _FIT = "regr_slope(value, avg_price) AS b, regr_intercept(value, avg_price) AS a"
 _HELD_SQL = (
     f"{_RANDOM}, fit AS (SELECT {_FIT} FROM marked WHERE NOT is_test),"
@@ -553,6 +586,13 @@ def validate_reg(spark, sf):
     return rounded(score.validate_reg(model, held, ["avg_price"], "value").metrics, ["value"], 3)
 
 
+@query("validate_reg_all")
+def validate_reg_all(spark, sf):
+    train, held = split.split_random(d_cust(spark, sf), "c_custkey", 0.2, SEED)
+    model = fit_least_squares(train, CUST_FEATURES, "value")
+    return score.validate_reg(model, held, CUST_FEATURES, "value").metrics
+
+
 @query(
     "validate_reg_predictions",
     f"WITH {_HELD_SQL} SELECT round(y, 2) AS Actual_value, round(p, 4) AS Predicted FROM held",
@@ -567,7 +607,7 @@ def validate_reg_predictions(spark, sf):
 @query("validate_cls")
 def validate_cls(spark, sf):
     data = d_cust(spark, sf).drop("value", "nation")
-    out = grid.grid_search_cls(data, "c_custkey", algorithm="logistic", grid={"C": [1]}, cv_splits=3)
+    out = grid.grid_search_cls(data, "c_custkey", algorithm="logistic")
     return score.validate_cls(out.model, out.held_out, out.features, "Label").metrics
 
 
@@ -577,8 +617,17 @@ def validate_cls(spark, sf):
 )
 def sink_model(spark, sf):
     """Save, load and score again."""
+    return _saved_and_scored(spark, sf, ["avg_price"])
+
+
+@query("sink_model_all")
+def sink_model_all(spark, sf):
+    return _saved_and_scored(spark, sf, CUST_FEATURES)
+
+
+def _saved_and_scored(spark, sf, features):
     train, held = split.split_random(d_cust(spark, sf), "c_custkey", 0.2, SEED)
-    model = fit_least_squares(train, ["avg_price"], "value")
+    model = fit_least_squares(train, features, "value")
     path = sinks.sink_model(model, fresh_path(spark, "model"), {}, "linear_regression")
     algorithm = sinks.load_params(spark, path)["algorithm"]
     out = sinks.load_model(path).transform(held).select("c_custkey", F.round("prediction", 4).alias("prediction"))

@@ -434,7 +434,7 @@ def importance_lasso_query(spark, sf):
 @query("importance_rf")
 def importance_rf_query(spark, sf):
     cust = d_cust(spark, sf)
-    return score_table(cust, importance_rf(cust, CUST_FEATURES, "Label", "classification", n_estimators=20))
+    return score_table(cust, importance_rf(cust, CUST_FEATURES, "Label", "classification"))
 
 
 # One column: the penalised coefficient is a soft threshold of covariance over variance.
