@@ -98,7 +98,7 @@ def combo_eval_lr(
     moving = variance > gram.CONSTANT_EPS * np.diag(both.g) / both.n
     bounds = df.agg(F.min(quoted(target)).alias("a"), F.max(quoted(target)).alias("b")).first()
     width = float(bounds["b"] - bounds["a"]) or 1.0
-    # d*d numbers, at most (2 * STRIP)^2: independent of the number of rows.
+    # d*d numbers: independent of the number of rows.
     ship_package(spark)
     state = spark.sparkContext.broadcast((train, held, moving, width))
 

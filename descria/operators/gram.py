@@ -145,21 +145,26 @@ def gram_table(
     read only their own columns.
     """
     shift = shift_values(df, columns) if shift is None else shift
-    which = F.lit(0) if part is None else part
-    d = len(columns)
-    if d <= 2 * strip:
-        blocks = [_block(df, columns, range(d), range(d), which, shift)]
-    else:
-        strips = [range(a, min(a + strip, d)) for a in range(0, d, strip)]
-        blocks = [
-            _block(df, columns, strips[a], strips[b], which, shift)
-            for a in range(len(strips))
-            for b in range(a, len(strips))
-        ]
+    blocks = _blocks(df, columns, part, shift, strip)
     partials = blocks[0]
     for block in blocks[1:]:
         partials = partials.unionByName(block)
-    sums = ("n", "si", "sj", "sii", "sjj", "sij")
+    return _merged(partials, ("n", "si", "sj", "sii", "sjj", "sij"))
+
+
+def _blocks(df: DataFrame, columns: Sequence[str], part: Column | None, shift: np.ndarray, strip: int) -> list[DataFrame]:
+    """Partial sums of all pairs: one table, or beyond ``2 * strip`` columns one for each pair of strips."""
+    which = F.lit(0) if part is None else part
+    d = len(columns)
+    if d <= 2 * strip:
+        return [_block(df, columns, range(d), range(d), which, shift)]
+    strips = [range(a, min(a + strip, d)) for a in range(0, d, strip)]
+    return [
+        _block(df, columns, strips[a], strips[b], which, shift) for a in range(len(strips)) for b in range(a, len(strips))
+    ]
+
+
+def _merged(partials: DataFrame, sums: Sequence[str]) -> DataFrame:
     return partials.groupBy("part", "i", "j").agg(*[F.sum(c).alias(c) for c in sums])
 
 
@@ -226,27 +231,26 @@ class Moments:
 
 
 def collect_moments(
-    df: DataFrame, columns: Sequence[str], part: Column | None = None
+    df: DataFrame, columns: Sequence[str], part: Column | None = None, strip: int = STRIP
 ) -> dict[int, Moments]:
-    """Complete-row moments per part: d*d numbers each, for at most ``2 * STRIP`` columns.
+    """Complete-row moments per part: d*d numbers each, for any number of columns.
 
-    The input must be imputed; a missing cell would give pairs of unequal counts
-    and is reported.
+    The driver reads the pairs of one block of columns at a time. The input must be
+    imputed; a missing cell would give pairs of unequal counts and is reported.
     """
-    if len(columns) > 2 * STRIP:
-        raise ValueError(f"at most {2 * STRIP} columns, got {len(columns)}")
+    d = len(columns)
     shift = shift_values(df, columns)
-    pdf = gram_table(df, columns, part, shift).toPandas()
-    out: dict[int, Moments] = {}
-    for p, block in pdf.groupby("part"):
-        d = len(columns)
-        g, s = np.zeros((d, d)), np.zeros(d)
-        i, j = block["i"].to_numpy(), block["j"].to_numpy()
-        g[i, j] = block["sij"]
-        g[j, i] = block["sij"]
-        on = i == j
-        s[i[on]] = block["si"].to_numpy()[on]
-        if block["n"].min() != block["n"].max():
-            raise ValueError("missing cells present: impute before collecting moments")
-        out[int(p)] = Moments(float(block["n"].iloc[0]), s, g, shift)
-    return out
+    rows: dict[int, float] = {}
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for partials in _blocks(df, columns, part, shift, strip):
+        for p, block in _merged(partials, ("n", "si", "sij")).toPandas().groupby("part"):
+            n = rows.setdefault(int(p), float(block["n"].iloc[0]))
+            if (block["n"] != n).any():
+                raise ValueError("missing cells present: impute before collecting moments")
+            s, g = sums.setdefault(int(p), (np.zeros(d), np.zeros((d, d))))
+            i, j = block["i"].to_numpy(), block["j"].to_numpy()
+            g[i, j] = block["sij"]
+            g[j, i] = block["sij"]
+            on = i == j
+            s[i[on]] = block["si"].to_numpy()[on]
+    return {p: Moments(rows[p], *sums[p], shift) for p in sums}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -17,8 +16,7 @@ from pyspark.sql import DataFrame
 from descria.columns import quoted
 from descria.errors import DescriaError
 from descria.operators import gram
-from descria.operators.linear import VECTOR, assembler, fit_least_squares, logistic, row_count
-from descria.operators.moments import column_profile
+from descria.operators.linear import VECTOR, assembler, logistic, row_count
 from descria.operators.normal import column_std, penalised_from_moments
 
 SEED = 42
@@ -98,17 +96,11 @@ def lasso_scores(
     """Absolute least-squares coefficients under an L1 penalty.
 
     With ``scaled`` the scores refer to standardised columns, so they are
-    comparable across columns of different units.
+    comparable across columns of different units. ``max_iter`` and ``tol`` are
+    accepted for compatibility: the solver runs until it converges, at any width.
     """
-    if len(features) < 2 * gram.STRIP:
-        m = gram.collect_moments(df, [*features, target])[0]
-        return lasso_from_moments(m, features, alpha, scaled)
-    model = fit_least_squares(df, features, target, l1=alpha, scaled=scaled, max_iter=max_iter, tol=tol).stages[-1]
-    values = [abs(float(v)) for v in model.coefficients.toArray()]
-    if scaled:
-        spread = {r["feature"]: math.sqrt(r["variance"] or 0.0) for r in column_profile(df, features).collect()}
-        values = [v * spread[f] for f, v in zip(features, values, strict=True)]
-    return dict(zip(features, values, strict=True))
+    m = gram.collect_moments(df, [*features, target])[0]
+    return lasso_from_moments(m, features, alpha, scaled)
 
 
 def lasso_from_moments(m: gram.Moments, features: Sequence[str], alpha: float, scaled: bool) -> dict[str, float]:

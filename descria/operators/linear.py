@@ -65,6 +65,9 @@ def least_squares(
     """Configured estimator for the objective above (not fitted)."""
     solver = "normal" if len(features) <= NORMAL_MAX else "l-bfgs"
     s_y = label_std(df, target, solver) if l2 > 0 else 1.0
+    if solver == "l-bfgs" and scaled and (l1 > 0 or l2 > 0) and (n := row_count(df)) > 1:
+        # This solver standardises by the sample deviation.
+        l1, l2 = l1 * math.sqrt((n - 1) / n), l2 * (n - 1) / n
     reg, mix = elastic_net_params(l1, l2, s_y)
     return LinearRegression(
         featuresCol=VECTOR,
