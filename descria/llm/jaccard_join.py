@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from descria.llm.common import map_arrow, materialise, narrow, text_chunks
+from descria.llm.common import map_arrow, materialise, narrow, position, text_chunks
 from descria.llm.words import lower_ascii, mix, split_words, word_grams
 
 SHINGLE_WORDS = 3
@@ -303,6 +304,11 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document."""
+    return _placed(docs, size, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def _placed(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_key, root) per document."""
     rows = narrow(docs, "doc_id", "text")
     rows = rows.select(rows.doc_id.cast("long").alias("doc_id"), "text")
     table = materialise(_with_signatures(rows, size, threshold), "signatures")
@@ -314,20 +320,39 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: Fr
     else:
         plain = plain.withColumn("root", F.col("set_key"))
     names = plain.where(F.col("set_key") != NO_SET).groupBy("root").agg(F.min("doc_id").alias("least_id"))
-    some = plain.where(F.col("set_key") != NO_SET).join(names, "root").select("doc_id", "n_shingles", F.col("least_id").alias("component_id"))
-    none = plain.where(F.col("set_key") == NO_SET).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    some = plain.where(F.col("set_key") != NO_SET).join(names, "root").select("doc_id", "n_shingles", F.col("least_id").alias("component_id"), "set_key", "root")
+    none = plain.where(F.col("set_key") == NO_SET).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_key", "root")
     return some.union(none)
 
 
+def _with_keys(docs: DataFrame, at: int, size: int) -> DataFrame:
+    """``docs`` and the key of the set of each text, the column at ``at``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in text_chunks(batches, at):
+            key = pa.array(shingle_sets(raw, offsets, size)[2].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, key], names=[*batch.schema.names, "set_key"])
+
+    return map_arrow(docs, work, T.StructType([*docs.schema.fields, T.StructField("set_key", T.LongType())]))
+
+
 def keep_first(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id, and documents without id or shingles."""
-    found = jaccard_components(docs, size, threshold)
-    kept = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept")
-    at = docs.columns.index("doc_id")
+    """One document of each component, with all its columns: the one with the smallest id, and documents without id or shingles.
+
+    Where an id is on several texts, a row stays if its own set is the kept one of its component.
+    """
+    found = materialise(_placed(docs, size, threshold), "placed")
+    times = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    kept = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("set_key").alias("set_key"))
+    kept = materialise(kept.join(times, "doc_id").select("doc_id", "set_key", "times"), "kept")
+    at = position(docs, "doc_id")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     key = f"c{at}"
     kept = kept.withColumnRenamed("doc_id", key)
     once = plain.join(kept.where("times = 1").select(key), key, "left_semi")
     # Rows that repeat an id: few, so only they are moved.
-    again = plain.join(kept.where("times > 1").select(key), key, "left_semi").dropDuplicates([key])
+    several = kept.where("times > 1").select(key, "set_key")
+    again = plain.join(several.select(key), key, "left_semi")
+    again = _with_keys(again, position(docs, "text"), size).join(several, [key, "set_key"], "left_semi")
+    again = again.dropDuplicates([key, "set_key"]).select(plain.columns)
     return once.union(again).union(plain.where(F.col(key).isNull())).toDF(*docs.columns)

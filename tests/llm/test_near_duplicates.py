@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
+from descria.llm import jaccard_join
 from test_plain import SF, WORD, WORDS, plain_ids, plain_leaks, read, texts
 from descria.llm.queries import QUERIES
 
@@ -57,3 +58,13 @@ def test_pipeline_equals_plain_with_its_own_rule(spark):
     want = {i: len(plain_ids(WORD, rows[i], 1)) for i in first - {i for i, _ in leaks}}
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert got.groupby("doc_id").length.sum().to_dict() == want
+
+
+def test_one_id_on_several_texts(spark):
+    a, b, c, e = (" ".join(f"{x}{k}" for k in range(80)) for x in "abce")
+    near = e + " more"
+    rows = [(5, a, 1), (5, b, 2), (6, a, 3), (7, b, 4), (2, c, 5), (5, c, 6), (9, e, 7), (9, near, 8), (9, e, 7), (5, "", 9), (8, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    got = [tuple(r) for r in jaccard_join.keep_first(docs).collect()]
+    assert {r for r in got if r[0] != 9} == {(5, a, 1), (5, b, 2), (2, c, 5), (5, "", 9), (8, None, 10)}
+    assert len([r for r in got if r[0] == 9]) == 1 and len(got) == 6
