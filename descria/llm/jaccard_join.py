@@ -76,9 +76,9 @@ def _top(threshold: Fraction, band: int) -> int:
 
 @lru_cache(maxsize=4096)
 def _runs(threshold: Fraction, band: int) -> int:
-    """n1 of a band."""
+    """n1 of a band; 0 where only equal sets are linked, as these are one node already."""
     most_different = int(2 * _top(threshold, band) * (1 - threshold) / (1 + threshold))
-    return -(-(most_different + 1) // (K2 + 1))
+    return -(-(most_different + 1) // (K2 + 1)) if most_different else 0
 
 
 def _distinct(doc: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +118,8 @@ def signatures(grams: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray
     reaches = int(len(grams) / threshold) > _top(threshold, band)
     for instance in (band, band + 1) if reaches else (band,):
         runs = _runs(threshold, instance)
+        if not runs:
+            continue
         ranges = runs * N2
         # Equal ranges of the upper 32 bits; a set has its elements of a range next to each other.
         at = np.searchsorted((grams >> np.uint64(32)).astype(np.int64) * ranges >> 32, np.arange(ranges + 1))
@@ -128,7 +130,7 @@ def signatures(grams: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray
             for j in kept:
                 own = mix(own + part[:, j])
             out.append(own)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def parities(grams: np.ndarray) -> np.ndarray:

@@ -68,3 +68,15 @@ def test_one_id_on_several_texts(spark):
     got = [tuple(r) for r in jaccard_join.keep_first(docs).collect()]
     assert {r for r in got if r[0] != 9} == {(5, a, 1), (5, b, 2), (2, c, 5), (5, "", 9), (8, None, 10)}
     assert len([r for r in got if r[0] == 9]) == 1 and len(got) == 6
+
+
+def test_sets_too_small_for_a_link_give_no_signatures(spark):
+    grams = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 40).astype(np.uint64))
+    for threshold in (jaccard_join.THRESHOLD, corpus_pipeline.LEAST_SHARED):
+        # A set of n links at best with one that has a shingle more.
+        least = next(n for n in range(1, 40) if n >= threshold * (n + 1))
+        counts = [len(jaccard_join.signatures(grams[:n], threshold)) for n in range(1, 41)]
+        assert counts[0] == 0 and all(counts[least - 1 :])
+    docs = spark.createDataFrame([(i, f"w{i % 300}") for i in range(600)], "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i % 300) for i in range(600)}
