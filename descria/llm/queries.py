@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from descria.llm import (
+    collocations,
     compress_classifier,
     decontaminate,
+    fill_middle,
     jaccard_join,
+    line_dedup,
     packing,
     quality_rules,
     sharding,
@@ -116,3 +119,98 @@ def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _hash_number(group: int) -> str:
+    return f"CAST('0x' || substr(h, {8 * group - 7}, 8) AS BIGINT)"
+
+
+@_query(
+    "op11_fill_middle",
+    f"""
+    WITH units AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+               sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+        FROM documents
+    ), cuts AS (
+        SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, {_hash_number(1)} % (len(u) + 1) AS c1, {_hash_number(2)} % (len(u) + 1) AS c2,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_hash_number(3)} % 100 >= 100 THEN 'plain'
+                    WHEN {_hash_number(4)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+        FROM units
+    ), parts AS (
+        SELECT doc_id, n, form, t, array_to_string(u[1:least(c1, c2)], '') AS p,
+               array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s
+        FROM cuts
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts
+    """,
+)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op12_line_dedup",
+    f"""
+    WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS t FROM documents
+    ), lines AS (
+        SELECT d, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS k FROM docs
+    ), keyed AS (
+        SELECT d, k, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_A_TO_Z}) AS key FROM lines
+    ), shared AS (
+        SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT d) >= 10
+    ), kept AS (
+        SELECT d, k, line, key IN (SELECT key FROM shared) AS gone FROM keyed
+    )
+    SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+    FROM docs JOIN kept USING (d) GROUP BY d, doc_id
+    """,
+)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op13_collocations",
+    f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), {_A_TO_Z}), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), words AS (
+        SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+    ), sized AS (SELECT lang, w, m, k FROM words, unnest([1, 2, 3, 4]) AS a(m), unnest(range(1, len(w) - m + 2)) AS b(k)
+    ), counted AS (
+        SELECT lang, w[k:k + m - 1] AS p, m, count(*) AS f FROM sized GROUP BY ALL HAVING count(*) >= 30
+    ), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+    ), cut AS (
+        SELECT c.lang, c.p, c.m, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+        FROM counted AS c, unnest([1, 2, 3]) AS q(k)
+        JOIN counted AS x ON x.lang = c.lang AND x.p = c.p[1:k]
+        JOIN counted AS y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+        WHERE k < c.m
+    ), best AS (
+        SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+    ), covered AS (
+        SELECT lang, sub, max(f) AS f FROM (
+            SELECT lang, f, p[1:m - 1] AS sub FROM counted WHERE m > 2 UNION ALL SELECT lang, f, p[2:] FROM counted WHERE m > 2
+        ) GROUP BY lang, sub
+    ), ranked AS (
+        SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.score,
+               row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, array_to_string(b.p, ' ')) AS rank
+        FROM best AS b LEFT JOIN covered AS o ON o.lang = b.lang AND o.sub = b.p
+        WHERE o.f IS NULL OR CAST(o.f AS HUGEINT) * 100 < CAST(b.a AS HUGEINT) * 80
+    )
+    SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
