@@ -185,27 +185,33 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT coalesce(lang, 'und') AS lang,
                unnest(string_split_regex(translate(coalesce(text, ''), {_A_TO_Z}), '[.,;:!?\x0A-\x0D]')) AS piece
         FROM documents
+    ), numbered AS (
+        SELECT row_number() OVER () AS piece, lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces
     ), words AS (
-        SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
-    ), sized AS (SELECT lang, w, m, k FROM words, unnest([1, 2, 3, 4]) AS a(m), unnest(range(1, len(w) - m + 2)) AS b(k)
-    ), counted AS (
-        SELECT lang, w[k:k + m - 1] AS p, m, count(*) AS f FROM sized GROUP BY ALL HAVING count(*) >= 30
-    ), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
-    ), cut AS (
-        SELECT c.lang, c.p, c.m, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
-        FROM counted AS c, unnest([1, 2, 3]) AS q(k)
-        JOIN counted AS x ON x.lang = c.lang AND x.p = c.p[1:k]
-        JOIN counted AS y ON y.lang = c.lang AND y.p = c.p[k + 1:]
-        WHERE k < c.m
+        SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS k FROM numbered
+    ), runs AS (
+        SELECT lang, w1, lead(w1, 1) OVER s AS w2, lead(w1, 2) OVER s AS w3, lead(w1, 3) OVER s AS w4
+        FROM words WINDOW s AS (PARTITION BY piece ORDER BY k)
+    ), counted AS MATERIALIZED (
+        SELECT lang, 1 AS m, w1 AS p, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30
+        UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+        UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+        UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+    ), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM numbered GROUP BY lang
+    ), halves AS (
+        SELECT lang, m, p, f, k, array_to_string(string_split(p, ' ')[:k], ' ') AS first, array_to_string(string_split(p, ' ')[k + 1:], ' ') AS rest
+        FROM counted, (VALUES (1), (2), (3)) AS q(k) WHERE k < m
     ), best AS (
-        SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+        SELECT c.lang, c.p, c.m, c.f AS a, c.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+        FROM halves AS c JOIN counted AS x ON x.lang = c.lang AND x.p = c.first JOIN counted AS y ON y.lang = c.lang AND y.p = c.rest
+        QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, c.k) = 1
     ), covered AS (
         SELECT lang, sub, max(f) AS f FROM (
-            SELECT lang, f, p[1:m - 1] AS sub FROM counted WHERE m > 2 UNION ALL SELECT lang, f, p[2:] FROM counted WHERE m > 2
+            SELECT lang, f, first AS sub FROM halves WHERE k = m - 1 UNION ALL SELECT lang, f, rest FROM halves WHERE k = 1
         ) GROUP BY lang, sub
     ), ranked AS (
-        SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.score,
-               row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, array_to_string(b.p, ' ')) AS rank
+        SELECT b.lang, b.p AS phrase, b.a, b.l, b.r, b.score,
+               row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.p) AS rank
         FROM best AS b LEFT JOIN covered AS o ON o.lang = b.lang AND o.sub = b.p
         WHERE o.f IS NULL OR CAST(o.f AS HUGEINT) * 100 < CAST(b.a AS HUGEINT) * 80
     )
