@@ -38,6 +38,8 @@ DENSE_SHARE = 16
 OPEN_TILES = 4
 #: Bits of the map of frequent symbols without a direct address.
 MAP_BITS = 24
+#: Parts of a language that are ordered apart.
+SPLITS = 16
 #: Steps of the histogram of counts that finds the DENSE_IDS most frequent symbols, for each doubling.
 BINS = 64
 
@@ -345,7 +347,11 @@ def mine_collocations(
         longer = levels[size] if size < longest else None
         own = _scored(levels[size - 1], longer, size, scale, inside)
         found = own if found is None else found.union(own)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # The first of each of SPLITS parts of a language, then the first of all: one task never orders a whole language.
+    best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    found = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SPLITS)))
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
+    order = Window.partitionBy("lang").orderBy(*best)
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"

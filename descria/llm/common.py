@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,18 @@ def filter_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     return map_arrow(plain, fn, plain.schema).toDF(*df.columns)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20):
+    """Jobs started inside hand Arrow batches of about ``most_bytes`` to Python; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc32_of(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 

@@ -80,7 +80,7 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
         own = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for batch, _, _ in text_chunks(batches, 1, 8 << 20):
+        for batch, _, _ in text_chunks(batches, 1, 2 << 20):
             doc, piece, start, length, ids = [], [], [], [], []
             found = own.encode(batch.column(1))
             for doc_id, data in zip(batch.column(0).to_pylist(), found, strict=True):

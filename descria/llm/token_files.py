@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from descria.llm import simple8b
-from descria.llm.common import fresh_path, map_arrow, materialise, narrow, text_chunks
+from descria.llm.common import fresh_path, map_arrow, materialise, narrow, small_batches, text_chunks
 from descria.llm.files import file_system, new_file, read_range
 from descria.llm.tokens import encoder
 
@@ -29,7 +29,7 @@ MAGIC = b"S8IDS001"
 FOOTER = struct.Struct("<QQQQ8s")
 END_ID = 2
 #: Ids after which a task starts another file, and documents dealt to a writing task.
-FILE_IDS = 1_000_000
+FILE_IDS = 250_000
 DOCS_PER_TASK = 20_000
 NO_ID = -(2**63)
 
@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         task, rows, doc_ids, ids, held = TaskContext.get().partitionId(), [], [], [], 0
-        for batch, _, _ in text_chunks(batches, 1, 4 << 20):
+        for batch, _, _ in text_chunks(batches, 1, 2 << 20):
             doc_ids += batch.column(0).to_pylist()
             ids += [x + end for x in own.encode(batch.column(1))]
             held = sum(map(len, ids)) // 4
@@ -92,13 +92,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
                 doc_ids, ids = [], []
         if doc_ids:
             rows.append((task, len(rows), *write_file(folder, doc_ids, ids)))
+        own.forget()  # the worker lives on while the next stage's tasks need the memory
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["task", "file", "path", "n_ids"])
 
     rows = narrow(docs, "doc_id", "text")
     rows = rows.select(rows.doc_id.cast("long").alias("doc_id"), "text")
     ranged = rows.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(map_arrow(ranged, work, "task int, file int, path string, n_ids long"), "manifest")
+    with small_batches(docs.sparkSession):
+        return materialise(map_arrow(ranged, work, "task int, file int, path string, n_ids long"), "manifest")
 
 
 def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
@@ -115,8 +117,8 @@ def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
                 source = TokenFile(folder, path)
                 ids = source.ids(0, source.n_ids).astype("<u4").tobytes()
                 starts = source.starts.tolist()
-                for first in range(0, len(source.doc_ids), 2000):
-                    part = range(first, min(first + 2000, len(source.doc_ids)))
+                for first in range(0, len(source.doc_ids), 500):
+                    part = range(first, min(first + 500, len(source.doc_ids)))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([source.doc_ids[i] for i in part], pa.int64()),

@@ -2,8 +2,9 @@
 
 A text is cut before every single blank that stands between two other characters. No token of the two vocabularies used
 here crosses such a cut, and what follows it is encoded alike after any words, so the ids of a piece may be
-kept and used again. A text with other runs of white space, or with white space at an end, is encoded as it is.
-Pieces of plain letters and signs are cut once more between letters and signs, which are never merged either.
+kept and used again, found by two 64-bit hashes of its bytes. A text with other runs of white space, with white space at an
+end, or with the literal text of a special token is encoded as it is.
+Pieces of plain letters and signs are joined by a mark that is an id of its own, so that one call encodes many of them.
 """
 
 from __future__ import annotations
@@ -15,114 +16,165 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces and plain runs kept for each process; about 100 bytes each.
-KEPT_PIECES = 500_000
-KEPT_RUNS = 700_000
+from descria.llm.common import flat_text
+from descria.llm.words import CHECK_BYTE, prefix_hash, span_hash
+
+#: Pieces kept for each process; about 45 bytes each.
+KEPT_PIECES = 600_000
+#: Bytes of text whose pieces are looked up together.
+SLICE = 1 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_SIGNS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
-_RUN = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
+_SIGNS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~'"
+#: Pieces that may be joined by a mark: letters and signs, with or without the blank before them.
+_PLAIN = rf"\A ?[{_LETTERS}{_SIGNS}]+\z"
 #: Texts that are not cut: white space at an end, next to other white space, or of a rarer kind.
 _WHOLE = (
     r"\A[\t-\r ]|[\t-\r ]\z|[\t-\r ][\t-\r ]|"
     r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_SIGN_SET = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\n")
+#: Pieces joined in one text for the tokenizer.
 _GROUP = 500
 
 
+class KeptPieces:
+    """Ids of pieces by two hashes: a few sorted runs of hashes, and one array with all ids."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.used = 0, 0
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 if it isn't kept."""
+        found = np.full(len(keys), -1, np.int64)
+        for own, own_checks, numbers in self.runs:
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            same = (own[at] == keys) & (own_checks[at] == checks)
+            found[same] = numbers[at[same]]
+        return found
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
+        """Keeps pieces with distinct, ascending keys that aren't kept yet; a full store starts anew."""
+        if self.size + len(keys) > KEPT_PIECES:
+            self.__init__()
+        run = (keys, checks, np.arange(self.size, self.size + len(keys)))
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = self.used + np.concatenate([[0], np.cumsum(counts)])
+        self.starts = _grown(self.starts, self.size, starts[:-1])
+        self.counts = _grown(self.counts, self.size, counts)
+        self.ids = _grown(self.ids, self.used, np.frombuffer(b"".join(ids), "<u4"))
+        self.size, self.used = self.size + len(keys), int(starts[-1])
+        while self.runs and len(self.runs[-1][0]) < 4 * len(run[0]):
+            merged = [np.concatenate(x) for x in zip(self.runs.pop(), run, strict=True)]
+            order = np.argsort(merged[0], kind="stable")
+            run = tuple(x[order] for x in merged)
+        self.runs.append(run)
+
+
+def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` after its first ``used`` entries; room grows by a quarter."""
+    if used + len(more) > len(held):
+        room = np.zeros((used + len(more)) * 5 // 4, held.dtype)
+        room[:used] = held[:used]
+        held = room
+    held[used : used + len(more)] = more
+    return held
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers, as the library gives them with its own settings."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        # A mark between letter runs: encoded alone, it must come out as one id that no letter run contains.
-        self.mark = next(
-            (m for m in ("\n", " 0") if len(self._ids([m])[0]) == 4 and self._ids([f" b{m} a"]) == [b"".join(self._ids([" b", m, " a"]))]),
-            None,
-        )
+        self.pieces = KeptPieces()
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([_WHOLE, *(f"(?i:{x})" for x in special)])
+        # A mark between pieces: encoded alone, it must come out as one id that no plain piece contains.
+        self.mark = next((m for m in ("\n", " 0") if self._separates(m)), None)
         self.mark_id = int(np.frombuffer(self._ids([self.mark])[0], "<u4")[0]) if self.mark else None
 
+    def _separates(self, mark: str) -> bool:
+        pieces = [" b", " a,", "a'", "b.", " ,", "-a", " 's", "c"]
+        apart = self._ids([mark, *pieces])
+        return len(apart[0]) == 4 and self._ids([mark.join(pieces)]) == [apart[0].join(apart[1:])]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _letter_ids(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of runs of letters, many of them joined in one text."""
-        if self.mark is None:
-            return dict(zip(runs, self._ids(runs), strict=True))
-        out: dict[str, bytes] = {}
-        groups = [runs[i : i + _GROUP] for i in range(0, len(runs), _GROUP)]
-        joined = self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)
-        for group, found in zip(groups, joined, strict=True):
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces that aren't kept: plain ones many at a time, the others each."""
+        plain = np.zeros(len(pieces), bool)
+        if self.mark is not None:
+            plain = pc.match_substring_regex(pa.array(pieces, pa.large_string()), _PLAIN).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(plain).tolist()
+        groups = [[pieces[i] for i in at[k : k + _GROUP]] for k in range(0, len(at), _GROUP)]
+        joined: list[bytes] = []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id).tolist()
             if len(cuts) != len(group) - 1:
-                out.update(zip(group, self._ids(group), strict=True))
+                joined += self._ids(group)
                 continue
-            data, starts, ends = ids.tobytes(), [0, *[c + 1 for c in cuts]], [*cuts, len(ids)]
-            out.update((r, data[4 * a : 4 * b]) for r, a, b in zip(group, starts, ends, strict=True))
-        return out
-
-    def _run_ids(self, runs: set[str]) -> dict[str, bytes]:
-        """Ids of runs that aren't kept yet; they are kept while there is room."""
-        letters = sorted(r for r in runs if r[-1] not in _SIGN_SET)
-        signs = sorted(runs.difference(letters))
-        fresh = self._letter_ids(letters)
-        fresh.update(zip(signs, self._ids(signs), strict=True))
-        if len(self.runs) + len(fresh) <= KEPT_RUNS:
-            self.runs.update(fresh)
-        return fresh
-
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        known, find = self.pieces, _RUN.findall
-        out = [known.get(p) for p in pieces]
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        cut = [find(pieces[i]) for i in missing]
-        # Runs that don't add up to the piece left other characters out; such a piece is encoded in one go.
-        plain = [sum(map(len, own)) == len(pieces[i]) for i, own in zip(missing, cut, strict=True)]
-        runs = self.runs
-        fresh = self._run_ids({r for own, fits in zip(cut, plain, strict=True) if fits for r in own if r not in runs})
-        other = iter(self._ids([pieces[i] for i, fits in zip(missing, plain, strict=True) if not fits]))
-        for i, own, fits in zip(missing, cut, plain, strict=True):
-            out[i] = b"".join([runs[r] if r in runs else fresh[r] for r in own]) if fits else next(other)
-        if len(known) + len(missing) <= KEPT_PIECES:
-            known.update((pieces[i], out[i]) for i in missing)
-        return out
+            data = ids.tobytes()
+            joined += [data[4 * a : 4 * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True)]
+        if len(at) == len(pieces):
+            return joined
+        some, others = iter(joined), iter(self._ids([pieces[i] for i in np.flatnonzero(~plain).tolist()]))
+        return [next(some) if one else next(others) for one in plain.tolist()]
+
+    def _slice_ids(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, ids of all of them); pieces begin at ``starts`` and fill ``raw``."""
+        ends = np.append(starts[1:], len(raw))
+        keys, place, which = np.unique(span_hash(prefix_hash(raw), starts, ends), return_index=True, return_inverse=True)
+        checks = span_hash(prefix_hash(raw, CHECK_BYTE), starts[place], ends[place])
+        number = self.pieces.find(keys, checks)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            at, data = place[missing], raw.tobytes()
+            ids = self._piece_ids([data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            before = self.pieces.size
+            self.pieces.add(keys[missing], checks[missing], ids)
+            if self.pieces.size != before + len(missing):  # it started anew, so earlier numbers are void
+                return self._slice_ids(raw, starts)
+            number[missing] = np.arange(before, self.pieces.size)
+        number = number[which]
+        counts = self.pieces.counts[number]
+        until = np.cumsum(counts)
+        return counts, self.pieces.ids[np.repeat(self.pieces.starts[number] - until + counts, counts) + np.arange(until[-1])]
 
     def _cut_ids(self, texts: pa.Array) -> list[bytes]:
-        """Ids of texts that may be cut at every blank."""
-        pieces = pc.split_pattern(texts, " ")
-        ends = pieces.offsets.to_numpy().astype(np.int64)
-        distinct = pieces.values.dictionary_encode()
-        code = distinct.indices.to_numpy().astype(np.int64)
-        # The first piece of a text has no blank before it.
-        firsts = pieces.values.take(pa.array(ends[:-1])).dictionary_encode()
-        code[ends[:-1]] = firsts.indices.to_numpy() + len(distinct.dictionary)
-        found = self._piece_ids([" " + p for p in distinct.dictionary.to_pylist()] + firsts.dictionary.to_pylist())
-        count = np.array([len(x) for x in found], np.int64) // 4
-        pool = np.frombuffer(b"".join(found), "<u4")
-        at = np.concatenate([[0], np.cumsum(count)])
-        lengths = count[code]
-        until = np.concatenate([[0], np.cumsum(lengths)])
-        ids = pool[np.repeat(at[code] - until[:-1], lengths) + np.arange(until[-1])].tobytes()
-        bounds = (4 * until[ends]).tolist()
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        """Ids of texts that may be cut at every blank, which then opens the next piece."""
+        raw, offsets = flat_text(texts)
+        starts = np.sort(np.concatenate([offsets[:-1], np.flatnonzero(raw == 32)]))
+        counts, ids, first = [], [], 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + SLICE)))
+            stop = starts[last] if last < len(starts) else len(raw)
+            n, own = self._slice_ids(raw[starts[first] : stop], starts[first:last] - starts[first])
+            counts.append(n), ids.append(own)
+            first = last
+        until = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        data = np.concatenate(ids).tobytes()
+        bounds = (4 * until[np.searchsorted(starts, offsets)]).tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         texts = texts.fill_null("").cast(pa.large_string())
-        whole = pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.equal(pc.binary_length(texts), 0))
+        whole = pc.or_(pc.match_substring_regex(texts, self.whole), pc.equal(pc.binary_length(texts), 0))
         kept = iter(self._ids(texts.filter(whole).to_pylist()))
         rest = texts.filter(pc.invert(whole))
         cut = iter(self._cut_ids(rest) if len(rest) else [])
         return [next(kept) if one else next(cut) for one in whole.to_pylist()]
 
 
+    def forget(self) -> None:
+        """Gives the memory of kept pieces back, for example at the end of a task."""
+        self.pieces = KeptPieces()
+
+
 _encoders: dict[str, Encoder] = {}
 
 

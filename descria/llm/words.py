@@ -18,6 +18,8 @@ from descria.llm.common import flat_text, sums_between
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A second table, for a second hash of the same bytes.
+CHECK_BYTE = np.random.default_rng(20240612).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,11 +66,11 @@ def is_blank(raw: np.ndarray) -> np.ndarray:
     return _BLANK[raw]
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; see ``span_hash``."""
+def prefix_hash(raw: np.ndarray, numbers: np.ndarray = _BYTE) -> np.ndarray:
+    """Running polynomial hash over a table of byte numbers; see ``span_hash``."""
     powers, _ = _power_tables(len(raw) + 1)
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers[: len(raw)], out=out[1:])
+    np.cumsum(numbers[raw] * powers[: len(raw)], out=out[1:])
     return out
 
 

@@ -34,8 +34,7 @@ def odd(spark):
 def test_encoder_equals_tokenizers(name):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [t or "" for t in ODD] + ["The cat sat, the cat.\nNew line it's 12 b3c a_b ÀÖ×÷", LONG]
+    texts = [t or "" for t in ODD] + ["The cat sat, the cat.\nNew line it's 12 b3c a_b ÀÖ×÷", "a <|endoftext|> b", "<|startoftext|>x <|ENDOFTEXT|> y", LONG]
     want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
     own = Encoder(path)
     assert own.encode(pa.array(texts)) == want == own.encode(pa.array(texts))

@@ -15,7 +15,6 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from descria.llm import (
     compress_classifier,
     decontaminate,
@@ -46,9 +45,7 @@ def texts() -> dict[int, str]:
 
 @lru_cache
 def tokenizer(path: str) -> Tokenizer:
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path)
 
 
 def plain_ids(path: str, text: str, end: int) -> list[int]:
@@ -247,18 +244,6 @@ def test_held_out_accuracy(spark, name, label, folds, fold, least):
     assert area_under_curve(known.score, known[label]) > 0.9
 
 
-def test_pipeline_equals_plain(spark):
-    rows = texts()
-    good = {r.doc_id for r in QUERIES["op1_quality_rules"](spark, SF).collect() if r.kept}
-    good &= {r.doc_id for r in QUERIES["op6_compression_classifier"](spark, SF).collect() if r.predicted}
-    first = {i for i, (_, least) in plain_components({i: rows[i] for i in good}).items() if i == least}
-    bench = read("benchmark")
-    leaks = plain_leaks({i: rows[i] for i in first}, dict(zip(bench.item_id.astype(int), bench.text, strict=True)))
-    want = {i: len(plain_ids(WORD, rows[i], 1)) for i in first - {i for i, _ in leaks}}
-    got = corpus_pipeline.run(spark, SF).toPandas()
-    assert got.groupby("doc_id").length.sum().to_dict() == want
-
-
 SCHEMA = "doc_id long, text string, Text string, lang string, source string"
 LONG = "one two three four five six seven eight nine ten " * 4000
 ODD = [
