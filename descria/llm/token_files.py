@@ -31,6 +31,8 @@ END_ID = 2
 #: Ids after which a task starts another file, and documents dealt to a writing task.
 FILE_IDS = 250_000
 DOCS_PER_TASK = 20_000
+#: Files that a reading task takes, about.
+FILES_PER_TASK = 8
 NO_ID = -(2**63)
 
 
@@ -130,7 +132,7 @@ def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
                     )
 
     listed = spark.createDataFrame(before or [("", 0)], "path string, base long").where("path <> ''")
-    listed = listed.repartition(max(1, len(before)), "path")
+    listed = listed.repartition(max(1, -(-len(before) // FILES_PER_TASK)), "path")
     return map_arrow(listed, work, "doc_id long, start long, n_tokens long, ids binary")
 
 

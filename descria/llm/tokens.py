@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 from descria.llm.common import flat_text
 from descria.llm.words import CHECK_BYTE, prefix_hash, span_hash
 
-#: Pieces kept for each process; about 45 bytes each.
-KEPT_PIECES = 600_000
+#: Pieces kept for each process; about 50 bytes each.
+KEPT_PIECES = 1_500_000
 #: Bytes of text whose pieces are looked up together.
 SLICE = 1 << 20
 
@@ -38,12 +38,16 @@ _GROUP = 500
 
 
 class KeptPieces:
-    """Ids of pieces by two hashes: a few sorted runs of hashes, and one array with all ids."""
+    """Ids of pieces by two hashes: a few sorted runs of hashes, and one array with all ids.
+
+    A full store goes on with those pieces that were asked for again, at most half of what it may hold.
+    """
 
     def __init__(self):
         self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size, self.used = 0, 0
-        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+        self.asked = np.zeros(0, np.uint8)
 
     def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Number of each piece, -1 if it isn't kept."""
@@ -52,18 +56,37 @@ class KeptPieces:
             at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
             same = (own[at] == keys) & (own_checks[at] == checks)
             found[same] = numbers[at[same]]
+        known = found[found >= 0]
+        self.asked[known] = np.minimum(self.asked[known], 254) + 1
         return found
 
     def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
-        """Keeps pieces with distinct, ascending keys that aren't kept yet; a full store starts anew."""
+        """Keeps pieces with distinct, ascending keys that aren't kept yet."""
         if self.size + len(keys) > KEPT_PIECES:
-            self.__init__()
-        run = (keys, checks, np.arange(self.size, self.size + len(keys)))
+            self._shrink()
         counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self._append(keys, checks, counts, np.frombuffer(b"".join(ids), "<u4"))
+
+    def _shrink(self) -> None:
+        keys, checks, numbers = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+        good = np.flatnonzero(self.asked[numbers] > 0)
+        if len(good) > KEPT_PIECES // 2:
+            good = good[np.argsort(-self.asked[numbers[good]].astype(np.int64), kind="stable")[: KEPT_PIECES // 2]]
+        good = good[np.argsort(keys[good])]
+        keys, checks, numbers = keys[good], checks[good], numbers[good]
+        starts, counts = self.starts[numbers], self.counts[numbers].astype(np.int64)
+        ids = self.ids[_spread(starts, counts)]
+        self.__init__()
+        if len(keys):
+            self._append(keys, checks, counts, ids)
+
+    def _append(self, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        run = (keys, checks, np.arange(self.size, self.size + len(keys)))
         starts = self.used + np.concatenate([[0], np.cumsum(counts)])
         self.starts = _grown(self.starts, self.size, starts[:-1])
         self.counts = _grown(self.counts, self.size, counts)
-        self.ids = _grown(self.ids, self.used, np.frombuffer(b"".join(ids), "<u4"))
+        self.ids = _grown(self.ids, self.used, ids)
+        self.asked = _grown(self.asked, self.size, np.zeros(len(keys), np.uint8))
         self.size, self.used = self.size + len(keys), int(starts[-1])
         while self.runs and len(self.runs[-1][0]) < 4 * len(run[0]):
             merged = [np.concatenate(x) for x in zip(self.runs.pop(), run, strict=True)]
@@ -72,6 +95,12 @@ class KeptPieces:
         self.runs.append(run)
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places ``starts[i]`` to ``starts[i] + counts[i]`` of all i one after another."""
+    until = np.cumsum(counts)
+    return np.repeat(starts - until + counts, counts) + np.arange(until[-1] if len(until) else 0)
+
+
 def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     """``held`` with ``more`` after its first ``used`` entries; room grows by a quarter."""
     if used + len(more) > len(held):
@@ -136,13 +165,12 @@ class Encoder:
             ids = self._piece_ids([data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             before = self.pieces.size
             self.pieces.add(keys[missing], checks[missing], ids)
-            if self.pieces.size != before + len(missing):  # it started anew, so earlier numbers are void
+            if self.pieces.size != before + len(missing):  # it was full, so earlier numbers are void
                 return self._slice_ids(raw, starts)
             number[missing] = np.arange(before, self.pieces.size)
         number = number[which]
-        counts = self.pieces.counts[number]
-        until = np.cumsum(counts)
-        return counts, self.pieces.ids[np.repeat(self.pieces.starts[number] - until + counts, counts) + np.arange(until[-1])]
+        counts = self.pieces.counts[number].astype(np.int64)
+        return counts, self.pieces.ids[_spread(self.pieces.starts[number], counts)]
 
     def _cut_ids(self, texts: pa.Array) -> list[bytes]:
         """Ids of texts that may be cut at every blank, which then opens the next piece."""
