@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from descria.llm.common import map_arrow, materialise, narrow, text_chunks
+from descria.llm.common import bit_map, map_arrow, materialise, narrow, text_chunks
 from descria.llm.words import hash_words, lower_ascii, mix, prefix_hash, span_hash
 
 #: Symbols of a level with a direct address (2**20 at most), and the edge of a tile of addresses.
@@ -259,23 +259,13 @@ def rank(level: DataFrame, dense_ids: int = DENSE_IDS) -> Ranking:
         top = found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
     if bins and total < sum(k for _, k in bins):
         rest = level if least is None else level.where(step < least)
-        others = _bit_map(rest)
+        others = bit_map(rest, "code", MAP_BITS)
     codes = top[0].view(np.uint64)
     by_id = codes[np.lexsort((codes, -top[1]))]
     order = np.argsort(by_id)
     return Ranking(by_id[order], order.astype(np.int64), by_id, others)
 
 
-def _bit_map(symbols: DataFrame) -> np.ndarray:
-    """One bit for each value of the leading MAP_BITS bits of a code, set where a symbol has it: 2 MB at every size."""
-    place = F.shiftrightunsigned("code", 64 - MAP_BITS)
-    longs = symbols.select(place.alias("place")).selectExpr("shiftright(place, 6) as at", "shiftleft(1L, cast(place & 63 as int)) as bit")
-    out = np.zeros((1 << MAP_BITS) // 64, np.int64)
-    for r in longs.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        out[r.at] = r.bits
-    return out.view(np.uint8)
-
-
 def _with_codes(pairs: DataFrame, ranking: Ranking) -> DataFrame:
     """(code, a, b, n) with the codes of both symbols, and of the phrase that they make."""
     shared = pairs.sparkSession.sparkContext.broadcast(ranking.by_id)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from descria.errors import DescriaError
 from descria.storage import fresh_path, materialise, shared_dir, ship_package
 
-__all__ = ["fresh_path", "materialise", "shared_dir", "ship_package", "narrow", "table", "map_arrow", "filter_arrow", "position"]
+__all__ = ["bit_map", "discard", "fresh_path", "materialise", "shared_dir", "ship_package", "narrow", "table", "map_arrow", "filter_arrow", "position"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,26 @@ def filter_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     return map_arrow(plain, fn, plain.schema).toDF(*df.columns)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``materialise`` wrote and that nothing reads any more."""
+    spark, folder = df.sparkSession, shared_dir(df.sparkSession).rstrip("/")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if own.getParent().toUri().getPath() != spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath():
+            raise DescriaError(f"{path} is not a table of the shared folder")
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def bit_map(keys: DataFrame, name: str, bits: int) -> np.ndarray:
+    """One bit for each value of the leading ``bits`` bits of a long, set where a key has it: of fixed size."""
+    place = F.shiftrightunsigned(name, 64 - bits)
+    longs = keys.select(place.alias("place")).selectExpr("shiftright(place, 6) as at", "shiftleft(1L, cast(place & 63 as int)) as bit")
+    out = np.zeros((1 << bits) // 64, np.int64)
+    for r in longs.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r.at] = r.bits
+    return out.view(np.uint8)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, most_bytes: int = 4 << 20):
     """Jobs started inside hand Arrow batches of about ``most_bytes`` to Python; the session's own setting comes back afterwards."""

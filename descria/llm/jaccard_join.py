@@ -11,9 +11,13 @@ Sets with one signature share a bucket. Buckets are never expanded into pairs: e
 a bucket with those members that aren't yet in the pivot's component, counts shingles in common exactly, and joins
 components. Pivots leave the bucket afterwards; their number grows by PIVOT_GROWTH a round. A bucket ends when its members
 are one component, so groups of copies end after a round or two, whatever their size. Equal sets are one node from the
-start. Whole sets are compared only if the parities of both, folded to SKETCH_LONGS * 64 bits, differ in no more bits than
-linked sets may differ in shingles: fewer bits than shingles can differ, so no link is lost. From the second round on
-other pairs aren't even made.
+start. A pair is checked in three steps, each for what the last one let pass: parities of the shingles folded to
+SKETCH_LONGS * 64 bits, then parities of as many bits as twice the shingles or more, then the whole sets. Parities may differ in no
+more bits than linked sets may differ in shingles: never more bits than shingles differ, so no link is lost. From the
+second round on pairs that the first step refuses aren't even made. Whole sets are read again from the texts, for sets in remaining
+pairs alone: a bitmap of fixed size picks them where the texts lie, a join makes the choice exact.
+
+All signatures travel once; tables of a finished round are deleted.
 
 Defined results: a null or empty text has no shingles, is its own component and links with nothing; a null doc_id takes
 part like others, and a component without any id has the null id; repeated rows are one node; extra columns are
@@ -33,17 +37,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from descria.llm.common import map_arrow, materialise, narrow, position, text_chunks
+from descria.llm.common import bit_map, discard, map_arrow, materialise, narrow, position, text_chunks
 from descria.llm.words import lower_ascii, mix, split_words, word_grams
 
 SHINGLE_WORDS = 3
 THRESHOLD = Fraction(9, 10)
 #: Ranges in a run, and how many of them a signature leaves out.
-N2, K2 = 3, 1
+N2, K2 = 2, 1
 #: Width of a band in powers of 1 / threshold: wide ones have longer lists of signatures, narrow ones more sets at the top.
 BAND_STEPS = 3
-#: Sets looked up by a broadcast list of 8-byte keys up to this many; beyond, by a join.
-BROADCAST_SETS = 1_000_000
+#: Bits of the map that picks sets where the texts lie: 2 MB, whatever the number of sets.
+MAP_BITS = 24
+#: Keys that a task remembers so as not to give the set of a copy again.
+KEPT_KEYS = 200_000
 PIVOT_GROWTH = 32
 SKETCH_LONGS = 8
 NO_SET = 0
@@ -133,74 +139,75 @@ def signatures(grams: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def parities(grams: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles falls on each of SKETCH_LONGS * 64 bits."""
-    bits = SKETCH_LONGS * 64
+def parities(grams: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of ``longs`` * 64 bits."""
+    bits = longs * 64
     odd = np.bincount((grams.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
+    """Parities on fewer bits; both lengths are powers of two."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, longs), axis=0)
+
+
+def wide_longs(size: int) -> int:
+    """Longs of the wide parities of a set: two bits a shingle at least, a power of two."""
+    return max(SKETCH_LONGS, 1 << (-(-size // 32) - 1).bit_length()) if size else SKETCH_LONGS
 
 
 def _with_signatures(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signatures); equal sets carry signatures once in a task's slice."""
+    """(doc_id, n_shingles, set_key, signatures, wide parities); equal sets carry the last two once in a task's slice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_chunks(batches, 1):
             grams, ends, key = shingle_sets(raw, offsets, size)
             seen: set[int] = set()
             lists: list[np.ndarray] = []
+            wide: list[np.ndarray] = []
             for i, own in enumerate(key.tolist()):
                 if own == NO_SET or own in seen:
-                    lists.append(np.zeros(0, np.uint64))
+                    lists.append(_NOTHING), wide.append(_NOTHING)
                 else:
                     seen.add(own)
-                    lists.append(signatures(grams[ends[i] : ends[i + 1]], threshold))
-            until = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
+                    one = grams[ends[i] : ends[i + 1]]
+                    lists.append(signatures(one, threshold).view(np.int64)), wide.append(parities(one, wide_longs(len(one))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(until), pa.array(flat))],
-                names=["doc_id", "n_shingles", "set_key", "signatures"],
-            )
+                [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(key.view(np.int64)), list_array(lists), list_array(wide)],
+                names=["doc_id", "n_shingles", "set_key", "signatures", "wide"],
+            )
+
+    return map_arrow(docs, work, "doc_id long, n_shingles long, set_key long, signatures array<long>, wide array<long>")
+
+
+_NOTHING = np.zeros(0, np.int64)
 
-    return map_arrow(docs, work, "doc_id long, n_shingles long, set_key long, signatures array<long>")
+
+def list_array(lists: list[np.ndarray]) -> pa.ListArray:
+    until = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(until), pa.array(np.concatenate(lists) if lists else _NOTHING))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(set_key, shingles) of the wanted sets, each once; read again from the texts."""
-    spark = docs.sparkSession
-    listed = None
-    if wanted.count() <= BROADCAST_SETS:
-        listed = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)))
+    picked = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "set_key", MAP_BITS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for _, raw, offsets in text_chunks(batches, 0):
             grams, ends, key = shingle_sets(raw, offsets, size)
-            own = key.view(np.int64)
-            usable = own != NO_SET if listed is None else np.isin(own, listed.value)
-            picked = []
-            for i in np.flatnonzero(usable).tolist():
-                if own[i] not in done:
-                    if listed is not None:  # as many entries as the list has, at most
-                        done.add(int(own[i]))
-                    picked.append(i)
-            sets = [grams[ends[i] : ends[i + 1]].view(np.int64) for i in picked]
-            until = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            bits = np.array([parities(x) for x in sets], np.int64).reshape(-1)
-            every = np.arange(0, len(bits) + 1, SKETCH_LONGS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(own[picked]),
-                    pa.ListArray.from_arrays(pa.array(until), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(every), pa.array(bits)),
-                ],
-                names=["set_key", "shingles", "sketch"],
-            )
+            place = key >> np.uint64(64 - MAP_BITS)
+            bit = picked.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
+            usable = np.flatnonzero((bit == 1) & (key != NO_SET))
+            _, first = np.unique(key[usable], return_index=True)
+            chosen = [i for i in usable[np.sort(first)].tolist() if int(key[i]) not in done]
+            if len(done) < KEPT_KEYS:
+                done.update(key[chosen].tolist())
+            sets = [grams[ends[i] : ends[i + 1]].view(np.int64) for i in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(key[chosen].view(np.int64)), list_array(sets)], names=["set_key", "shingles"])
 
-    found = map_arrow(docs.select("text"), work, "set_key long, shingles array<long>, sketch array<long>")
-    if listed is None:
-        found = found.join(wanted, "set_key", "left_semi")
-    return found.groupBy("set_key").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    found = map_arrow(docs.select("text"), work, "set_key long, shingles array<long>").join(wanted, "set_key", "left_semi")
+    return found.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,19 +242,46 @@ def _within_parity_bound(sketch: str, n: str, other_sketch: str, other_n: str, t
     return apart * F.lit(least) <= (F.col(n) + F.col(other_n)) * F.lit(most)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Those (a, b) pairs whose sets are similar enough, counted exactly; whole sets are moved for pairs within the parity bound only."""
-    small = [
-        sets.select(F.col("set_key").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.size("shingles").alias(f"n_{x}")) for x in "ab"
-    ]
+def _within_wide_bound(pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """Those (a, b, wide_a, n_a, wide_b, n_b) whose wide parities, folded to the shorter of both, allow a link; (a, b)."""
+    least, most = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(6)]
+            keep = []
+            for x, n, y, m in zip(columns[2], columns[3].to_pylist(), columns[4], columns[5].to_pylist(), strict=True):
+                x, y = (v.values.to_numpy() for v in (x, y))
+                longs = min(len(x), len(y))
+                apart = int(np.bitwise_count((folded(x, longs) ^ folded(y, longs)).view(np.uint64)).sum())
+                keep.append(apart * least <= (n + m) * most)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(pairs, work, "a long, b long")
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame | None:
+    """Those (a, b) pairs whose sets are similar enough, counted exactly; None if none is."""
+    narrow_, wide = (
+        [sketches.select(F.col("set_key").alias(x), F.col(c).alias(f"{c}_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"]
+        for c in ("sketch", "wide")
+    )
     may_link = _within_parity_bound("sketch_a", "n_a", "sketch_b", "n_b", threshold)
-    pairs = pairs.join(small[0], "a").join(small[1], "b").where(may_link).select("a", "b")
+    near = pairs.join(narrow_[0], "a").join(narrow_[1], "b").where(may_link).select("a", "b")
+    near = near.join(wide[0], "a").join(wide[1], "b").select("a", "b", "wide_a", "n_a", "wide_b", "n_b")
+    near = materialise(_within_wide_bound(near, threshold), "near")
+    if near.isEmpty():
+        return None
+    wanted = near.select(F.col("a").alias("set_key")).union(near.select(F.col("b").alias("set_key"))).distinct()
+    sets = materialise(_sets_of(docs, wanted, size), "sets")
     a = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     both = F.size("of_a") + F.size("of_b") - shared
     close = shared * F.lit(threshold.denominator) >= both * F.lit(threshold.numerator)
-    return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
+    found = materialise(near.join(a, "a").join(b, "b").where(close).select("a", "b"), "found")
+    discard(near), discard(sets)
+    return found
 
 
 def _apply_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -257,32 +291,35 @@ def _apply_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame | None:
-    """(node, root) over set keys that have links; None if no two sets share a signature."""
-    # Mapped copies of a set collapse before the shuffle; most signatures occur in one set and end here.
-    exploded = table.select(F.explode("signatures").alias("signature"), F.col("set_key").alias("node"))
-    spans = exploded.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = exploded.join(spans.select("signature"), "signature").distinct()
+    """(node, root) over set keys that have links; None if there is no link."""
+    # One exchange of all signatures, read twice: to find those of several sets, and to keep their rows.
+    dealt = table.select(F.explode("signatures").alias("signature"), F.col("set_key").alias("node")).repartition("signature")
+    spans = dealt.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = dealt.join(spans.select("signature"), "signature").distinct()
     members = materialise(members.withColumn("root", F.col("node")), "members")
     if members.isEmpty():
         return None
-    sets = materialise(_sets_of(docs, members.select(F.col("node").alias("set_key")).distinct(), size), "sets")
-    links, compared, pivots = None, None, 1
+    first_longs = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_LONGS - 1)), _folded_long)
+    sketches = table.where(F.size("wide") > 0).groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("wide").alias("wide"))
+    sketches = materialise(sketches.select("set_key", "n", "wide", first_longs.alias("sketch")), "sketches")
+    links, compared, roots, pivots = None, None, None, 1
     while True:
         buckets = members.groupBy("signature").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), F.min("node").alias("first")
         )
         buckets = buckets.where("low <> high").select("signature", "members", "first")
         chance = F.pmod(F.xxhash64("node", "signature", F.lit(pivots)), F.lit(1 << 20)) * F.col("members") < F.lit(pivots << 20)
-        members = members.join(buckets, "signature").select(
+        chosen = members.join(buckets, "signature").select(
             "signature", "node", "root", ((F.col("node") == F.col("first")) | (F.lit(pivots > 1) & chance)).alias("pivot")
         )
-        members = materialise(members, "members")
+        chosen = materialise(chosen, "members")
+        discard(members)
+        members = chosen
         if members.isEmpty():
             break
         others = members.select("signature", "node", "root", "pivot")
         if pivots > 1:
-            known = sets.select(F.col("set_key").alias("node"), "sketch", F.size("shingles").alias("n"))
-            others = others.join(known, "node")
+            others = others.join(sketches.select(F.col("set_key").alias("node"), "sketch", "n"), "node")
         own = others.where("pivot")
         own = own.select("signature", *[F.col(c).alias(f"p_{c}") for c in own.columns if c not in ("signature", "pivot")])
         own = own.withColumnRenamed("p_node", "p")
@@ -295,13 +332,26 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         compared = pairs if compared is None else compared.union(pairs)
-        found = _linked(pairs, sets, threshold)
-        links = materialise(found if links is None else links.union(found), "found")
-        roots = materialise(components(links), "roots")
+        found = _linked(pairs, sketches, docs, size, threshold)
+        if found is not None and not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = materialise(components(links), "roots")
         left = members.where("not pivot").select("signature", "node", F.col("node").alias("root"))
-        members = _apply_roots(left, roots)
+        # The next round's table reads the members once more and then replaces them.
+        members = left if roots is None else _apply_roots(left, roots)
+        members = materialise(members, "left")
+        discard(chosen)
         pivots *= PIVOT_GROWTH
-    return None if links is None or links.isEmpty() else roots
+    return roots
+
+
+def _folded_long(place: Column) -> Column:
+    """Parities of one long of the narrow sketch: those of all longs of the wide one that fold on it."""
+    return F.aggregate(
+        F.transform(F.sequence(F.lit(0), (F.size("wide") / SKETCH_LONGS - 1).cast("int")), lambda k: F.get("wide", (k * SKETCH_LONGS + place).cast("int"))),
+        F.lit(0).cast("long"),
+        lambda all_, one: all_.bitwiseXOR(one),
+    )
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -314,14 +364,16 @@ def _placed(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     rows = narrow(docs, "doc_id", "text")
     rows = rows.select(rows.doc_id.cast("long").alias("doc_id"), "text")
     table = materialise(_with_signatures(rows, size, threshold), "signatures")
-    plain = table.select("doc_id", "n_shingles", "set_key")
+    plain = materialise(table.select("doc_id", "n_shingles", "set_key"), "keys")
     roots = linked_sets(table, rows, size, threshold)
+    discard(table)
     if roots is not None:
         plain = plain.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
-        plain = plain.select("doc_id", "n_shingles", "set_key", F.coalesce("root", "set_key").alias("root"))
+        plain = materialise(plain.select("doc_id", "n_shingles", "set_key", F.coalesce("root", "set_key").alias("root")), "rooted")
     else:
         plain = plain.withColumn("root", F.col("set_key"))
-    names = plain.where(F.col("set_key") != NO_SET).groupBy("root").agg(F.min("doc_id").alias("least_id"))
+    # Written first, so that the join below stands alone and Spark can split the rows of a large group.
+    names = materialise(plain.where(F.col("set_key") != NO_SET).groupBy("root").agg(F.min("doc_id").alias("least_id")), "names")
     some = plain.where(F.col("set_key") != NO_SET).join(names, "root").select("doc_id", "n_shingles", F.col("least_id").alias("component_id"), "set_key", "root")
     none = plain.where(F.col("set_key") == NO_SET).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_key", "root")
     return some.union(none)
