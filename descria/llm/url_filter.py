@@ -84,7 +84,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", de
     )
     order = Window.partitionBy("place", "sweep").orderBy("at", "kind", F.desc(F.length("rule")))
     in_force = F.last(F.when(F.col("kind") < 2, F.struct("rule", "rule_verdict")), ignorenulls=True).over(order)
-    swept = keys.union(spread).withColumn("now", in_force).where("kind = 2 and now.rule is not null")
+    # Said outright: both sides come dealt by place alone, which Spark would take as good enough for the window.
+    dealt = keys.union(spread).repartition("place", "sweep")
+    swept = dealt.withColumn("now", in_force).where("kind = 2 and now.rule is not null")
     best = swept.groupBy("host", "path").agg(
         F.max(F.struct(F.length("now.rule").alias("n"), F.length("place").alias("m"), "now.rule", "now.rule_verdict")).alias("b")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -117,3 +118,14 @@ def test_url_rules_nest(spark):
 @pytest.mark.parametrize("name", sorted(TWINS))
 def test_twin(spark, name):
     assert compare(spark, connect(SF), SF, QUERIES[name], TWINS[name])[0] == "ok"
+
+
+def test_url_sweeps_are_dealt_by_place_and_sweep(spark):
+    """A host with many URLs is swept in several tasks."""
+    urls = spark.createDataFrame([(i, f"http://a{i % 7}.com/{'fr' if i % 3 else 'de'}/{i}") for i in range(9000)], "page_id long, url string")
+    rules = url_filter.rule_table(spark, [("com", "/fr/", "allow"), ("com", "/de/", "block"), ("com", "/de/1", "allow")])
+    judged = url_filter.judge_urls(urls, rules)
+    assert re.search(r"hashpartitioning\(place#\d+, sweep#\d+", judged._jdf.queryExecution().executedPlan().toString())
+    for r in judged.collect():
+        want = "com/fr/" if r.page_id % 3 else "com/de/1" if str(r.page_id).startswith("1") else "com/de/"
+        assert (r.rule, r.verdict) == (want, "block" if want == "com/de/" else "allow")
