@@ -43,9 +43,9 @@ from descria.llm.words import lower_ascii, mix, split_words, word_grams
 SHINGLE_WORDS = 3
 THRESHOLD = Fraction(9, 10)
 #: Ranges in a run, and how many of them a signature leaves out.
-N2, K2 = 2, 1
+N2, K2 = 3, 1
 #: Width of a band in powers of 1 / threshold: wide ones have longer lists of signatures, narrow ones more sets at the top.
-BAND_STEPS = 3
+BAND_STEPS = 2
 #: Bits of the map that picks sets where the texts lie: 2 MB, whatever the number of sets.
 MAP_BITS = 24
 #: Keys that a task remembers so as not to give the set of a copy again.
@@ -156,28 +156,48 @@ def wide_longs(size: int) -> int:
     return max(SKETCH_LONGS, 1 << (-(-size // 32) - 1).bit_length()) if size else SKETCH_LONGS
 
 
-def _with_signatures(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signatures, wide parities); equal sets carry the last two once in a task's slice."""
+def _with_keys_and_parities(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, wide parities); equal sets carry parities once in a task's slice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_chunks(batches, 1):
             grams, ends, key = shingle_sets(raw, offsets, size)
-            seen: set[int] = set()
-            lists: list[np.ndarray] = []
-            wide: list[np.ndarray] = []
-            for i, own in enumerate(key.tolist()):
-                if own == NO_SET or own in seen:
-                    lists.append(_NOTHING), wide.append(_NOTHING)
-                else:
-                    seen.add(own)
-                    one = grams[ends[i] : ends[i + 1]]
-                    lists.append(signatures(one, threshold).view(np.int64)), wide.append(parities(one, wide_longs(len(one))))
+            wide = [_NOTHING] * len(key)
+            for i in _firsts(key):
+                wide[i] = parities(grams[ends[i] : ends[i + 1]], wide_longs(int(ends[i + 1] - ends[i])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(key.view(np.int64)), list_array(lists), list_array(wide)],
-                names=["doc_id", "n_shingles", "set_key", "signatures", "wide"],
+                [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(key.view(np.int64)), list_array(wide)],
+                names=["doc_id", "n_shingles", "set_key", "wide"],
             )
 
-    return map_arrow(docs, work, "doc_id long, n_shingles long, set_key long, signatures array<long>, wide array<long>")
+    return map_arrow(docs, work, "doc_id long, n_shingles long, set_key long, wide array<long>")
+
+
+def _signature_rows(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
+    """(signature, node, n) of all sets; equal sets of a task's slice give theirs once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw, offsets in text_chunks(batches, 0):
+            grams, ends, key = shingle_sets(raw, offsets, size)
+            lists, own = [], []
+            for i in _firsts(key):
+                lists.append(signatures(grams[ends[i] : ends[i + 1]], threshold)), own.append(i)
+            counts = [len(x) for x in lists]
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+            nodes, sizes = np.repeat(key[own].view(np.int64), counts), np.repeat(np.diff(ends)[own], counts)
+            for first in range(0, len(flat), 50_000):
+                part = slice(first, first + 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[part].view(np.int64)), pa.array(nodes[part]), pa.array(sizes[part], pa.int64())], names=["signature", "node", "n"]
+                )
+
+    return map_arrow(docs.select("text"), work, "signature long, node long, n long")
+
+
+def _firsts(key: np.ndarray) -> list[int]:
+    """Where each key but that of the empty set occurs first."""
+    _, first = np.unique(key, return_index=True)
+    return [i for i in np.sort(first).tolist() if key[i] != NO_SET]
 
 
 _NOTHING = np.zeros(0, np.int64)
@@ -287,13 +307,13 @@ def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, t
 def _apply_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     new = roots.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
     joined = members.join(new, "root", "left")
-    return joined.select("signature", "node", F.coalesce("new_root", "root").alias("root"))
+    return joined.select("signature", "node", "n", F.coalesce("new_root", "root").alias("root"))
 
 
 def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame | None:
     """(node, root) over set keys that have links; None if there is no link."""
     # One exchange of all signatures, read twice: to find those of several sets, and to keep their rows.
-    dealt = table.select(F.explode("signatures").alias("signature"), F.col("set_key").alias("node")).repartition("signature")
+    dealt = _signature_rows(docs, size, threshold).repartition("signature")
     spans = dealt.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = dealt.join(spans.select("signature"), "signature").distinct()
     members = materialise(members.withColumn("root", F.col("node")), "members")
@@ -310,20 +330,22 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
         buckets = buckets.where("low <> high").select("signature", "members", "first")
         chance = F.pmod(F.xxhash64("node", "signature", F.lit(pivots)), F.lit(1 << 20)) * F.col("members") < F.lit(pivots << 20)
         chosen = members.join(buckets, "signature").select(
-            "signature", "node", "root", ((F.col("node") == F.col("first")) | (F.lit(pivots > 1) & chance)).alias("pivot")
+            "signature", "node", "n", "root", ((F.col("node") == F.col("first")) | (F.lit(pivots > 1) & chance)).alias("pivot")
         )
         chosen = materialise(chosen, "members")
         discard(members)
         members = chosen
         if members.isEmpty():
             break
-        others = members.select("signature", "node", "root", "pivot")
+        others = members
         if pivots > 1:
-            others = others.join(sketches.select(F.col("set_key").alias("node"), "sketch", "n"), "node")
+            others = others.join(sketches.select(F.col("set_key").alias("node"), "sketch"), "node")
         own = others.where("pivot")
         own = own.select("signature", *[F.col(c).alias(f"p_{c}") for c in own.columns if c not in ("signature", "pivot")])
         own = own.withColumnRenamed("p_node", "p")
-        may_link = F.col("root") != F.col("p_root")
+        may_link = (F.col("root") != F.col("p_root")) & (
+            F.least("n", "p_n") * F.lit(threshold.denominator) >= F.greatest("n", "p_n") * F.lit(threshold.numerator)
+        )
         if pivots > 1:
             may_link &= _within_parity_bound("sketch", "n", "p_sketch", "p_n", threshold)
         pairs = others.join(own, "signature").where(may_link)
@@ -336,7 +358,7 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
         if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
             roots = materialise(components(links), "roots")
-        left = members.where("not pivot").select("signature", "node", F.col("node").alias("root"))
+        left = members.where("not pivot").select("signature", "node", "n", F.col("node").alias("root"))
         # The next round's table reads the members once more and then replaces them.
         members = left if roots is None else _apply_roots(left, roots)
         members = materialise(members, "left")
@@ -363,10 +385,9 @@ def _placed(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_key, root) per document."""
     rows = narrow(docs, "doc_id", "text")
     rows = rows.select(rows.doc_id.cast("long").alias("doc_id"), "text")
-    table = materialise(_with_signatures(rows, size, threshold), "signatures")
-    plain = materialise(table.select("doc_id", "n_shingles", "set_key"), "keys")
+    table = materialise(_with_keys_and_parities(rows, size), "keys")
+    plain = table.select("doc_id", "n_shingles", "set_key")
     roots = linked_sets(table, rows, size, threshold)
-    discard(table)
     if roots is not None:
         plain = plain.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
         plain = materialise(plain.select("doc_id", "n_shingles", "set_key", F.coalesce("root", "set_key").alias("root")), "rooted")
