@@ -31,3 +31,7 @@ class UnknownCatalogError(DescriaError):
 
 class SearchTooLargeError(DescriaError):
     """A combination search would exceed the configured number of candidates."""
+
+
+class NotConvergedError(DescriaError):
+    """An iterative fit did not reach its tolerance within its rounds."""

@@ -11,22 +11,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import batched, combinations
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from descria.columns import quoted
-from descria.errors import DescriaError, SearchTooLargeError
+from descria.errors import NotConvergedError, SearchTooLargeError
 from descria.functions.numeric import finite_or_null
-from descria.operators import gram
+from descria.operators import forest, gram
 from descria.operators.normal import ols_from_moments, score_from_moments
-from descria.operators.importance import training_view, tree_estimator
 from descria.storage import materialise, ship_package
 
 # Subsets fitted together in one Newton batch: bounds the state sent to each task.
@@ -127,33 +123,11 @@ def combo_eval_rf(
     n_estimators: int = 50,
     max_depth: int = 10,
     seed: int = 101,
-    parallelism: int = 4,
 ) -> DataFrame:
-    """Forest score per listed subset; each fit is itself a distributed job over its columns, a few run at a time."""
-    marked = df.select(
-        *[quoted(c) for c in features], quoted(target).cast("double").alias(target), held_out.alias("__held")
+    """``(num_features, combo, r2, mse)`` of a forest per listed subset; the trees of all subsets are grown together."""
+    return forest.subset_scores(
+        df, features, target, held_out, [list(c) for c in combos], trees=n_estimators, max_depth=max_depth, seed=seed
     )
-    # Read by every fit and score: store the narrow table instead of repeating its plan.
-    marked = materialise(marked, "subsets")
-    estimator = tree_estimator(
-        "RandomForest", "regression", target, n_estimators=n_estimators, max_depth=max_depth, seed=seed
-    )
-    r2 = RegressionEvaluator(labelCol=target, metricName="r2")
-    mse = RegressionEvaluator(labelCol=target, metricName="mse")
-
-    def run(combo: Sequence[int]) -> tuple:
-        names = [features[k] for k in combo]
-        model = estimator.fit(training_view(marked.filter(~F.col("__held")), names, target))
-        scored = model.transform(training_view(marked.filter("__held"), names, target))
-        return len(combo), list(combo), r2.evaluate(scored), mse.evaluate(scored)
-
-    pool = ThreadPool(processes=parallelism)
-    try:
-        rows = list(pool.imap(inheritable_thread_target(run), combos))
-    finally:
-        pool.close()
-        pool.join()
-    return df.sparkSession.createDataFrame(rows, "num_features int, combo array<int>, r2 double, mse double")
 
 
 # --- logistic subsets -------------------------------------------------------
@@ -254,7 +228,7 @@ def fit_logistic_subsets(
         live = live[np.abs(step[live]).max(axis=1) > tol]
         if len(live) == 0:
             return beta
-    raise DescriaError(f"{len(live)} of {c} logistic fits did not converge in {max_rounds} rounds")
+    raise NotConvergedError(f"{len(live)} of {c} logistic fits did not converge in {max_rounds} rounds")
 
 
 def combo_eval_logit(

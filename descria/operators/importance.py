@@ -14,10 +14,11 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame
 
 from descria.columns import quoted
-from descria.errors import DescriaError
-from descria.operators import gram
+from descria.errors import DescriaError, NotConvergedError
+from descria.operators import forest, gram
 from descria.operators.linear import VECTOR, assembler, logistic, row_count
 from descria.operators.normal import column_std, penalised_from_moments
+from descria.storage import shared_dir
 
 SEED = 42
 # Spark's depth limit; stands for "unlimited".
@@ -52,6 +53,10 @@ def tree_estimator(
         "maxDepth": depth(max_depth),
         "minInstancesPerNode": min_samples_leaf,
         "seed": seed,
+        # Rows keep the number of their node, so the trees grown so far don't travel with every group of nodes.
+        "cacheNodeIds": True,
+        "checkpointInterval": 5,
+        "maxMemoryInMB": 1024,
     }
     classify = task == "classification"
     if classify and kind in ("RandomForest", "DecisionTree"):
@@ -78,7 +83,33 @@ def training_view(df: DataFrame, features: Sequence[str], target: str) -> DataFr
     return assembler(features).transform(narrow).select(VECTOR, target)
 
 
+def grown_here(df: DataFrame, target: str, kind: str, task: str, params: Mapping) -> bool:
+    """Whether :mod:`descria.operators.forest` grows such trees: single trees and forests on values or 0/1 classes."""
+    if kind not in ("RandomForest", "DecisionTree") or params.get("subsample", 1.0) != 1.0 or params.get("criterion", "gini") != "gini":
+        return False
+    if task == "regression":
+        return True
+    label = quoted(target).cast("double")
+    return df.where(label.isNull() | ~label.isin(0.0, 1.0)).isEmpty()
+
+
 def tree_scores(df: DataFrame, features: Sequence[str], target: str, kind: str, task: str, **params) -> dict[str, float]:
+    """Share of each feature in the impurity that the trees take away.
+
+    Single trees and forests on values or 0/1 classes are grown by :mod:`descria.operators.forest`, where no depth (None
+    or -1) is refused or cut; boosted trees, other criteria and more classes by Spark's estimators.
+    """
+    if grown_here(df, target, kind, task, params):
+        max_depth = params.get("max_depth")
+        single = kind == "DecisionTree"
+        grown = forest.grow_forests(
+            df, features, target, trees=1 if single else params.get("n_estimators", 100),
+            max_depth=forest.DEEPEST if max_depth is None or max_depth < 0 else max_depth,
+            min_leaf=params.get("min_samples_leaf", 1), sample_columns=task == "classification" and not single,
+            bootstrap=not single, seed=params.get("seed", SEED),
+        )
+        return forest.importances(grown, features)
+    shared_dir(df.sparkSession)
     model = tree_estimator(kind, task, target, **params).fit(training_view(df, features, target))
     values = model.featureImportances.toArray()
     return dict(zip(features, (float(v) for v in values), strict=True))
@@ -128,7 +159,7 @@ def importance_lasso(df: DataFrame, features: Sequence[str], target: str, task:
         return lasso_scores(df, features, target, 0.01 if alpha is None else alpha, scaled=False, max_iter=max_iter)
     try:
         return lasso_scores(df, features, target, 1.0 if alpha is None else alpha, scaled=True, max_iter=max_iter)
-    except Exception:
+    except NotConvergedError:  # anything else is a fault of the input and is raised
         return lasso_scores(df, features, target, 0.01, scaled=True, max_iter=2000)
 
 

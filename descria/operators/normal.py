@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from descria.errors import DescriaError
+from descria.errors import NotConvergedError
 from descria.operators import gram
 
 
@@ -72,7 +72,7 @@ def penalised_from_moments(
             if moved <= 1e-10 * (np.abs(w).max() + 1e-300):
                 break
         else:
-            raise DescriaError("coordinate descent did not converge in 10000 sweeps")
+            raise NotConvergedError("coordinate descent did not converge in 10000 sweeps")
     beta = w / std
     return beta, float(mean[d] - beta @ mean[:d])
 

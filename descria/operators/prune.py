@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descria.columns import ident, name_at, remaining_columns, require_columns
-from descria.errors import EmptySelectionError
+from descria.errors import EmptySelectionError, NotConvergedError
 from descria.operators import gram, moments
 from descria.storage import materialise
 
@@ -197,7 +197,7 @@ def _prune(
     def scores(ordinals: list[int]) -> dict[int, float]:
         try:
             got = importance([names[k] for k in ordinals]) if importance else {}
-        except Exception as error:  # a failed fit counts as no importance, as documented
+        except NotConvergedError as error:  # such a fit counts as no importance, as documented; other failures are raised
             notes.append(f"importance fit failed: {error}")
             got = {}
         return {k: float(got.get(names[k], 0.0)) for k in ordinals}
