@@ -2,7 +2,8 @@
 
 Linear regressors need no fit per candidate and fold: the moments of every fold
 come from one scan, a training set is the total minus one fold, and all
-candidates are solved and scored from those matrices. Other estimators are
+candidates are solved and scored from those matrices. Logistic models of all candidates
+and folds are fitted in the same scans, one a Newton round. Other estimators are
 fitted by Spark jobs, a few at a time, on a table that is assembled once.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descria.columns import feature_columns, quoted, require_columns
-from descria.operators import gram, linear, metrics, score, split
+from descria.operators import gram, linear, logit, metrics, score, split
 from descria.operators.normal import penalised_from_moments, score_from_moments
 from descria.operators.impute import median_impute_global
 from descria.operators.importance import tree_estimator
@@ -182,6 +183,36 @@ def cv_linear(
     return jobs.mapInPandas(solve, CV_SCHEMA)
 
 
+# --- logistic models of all candidates and folds together ----------------------
+
+
+def cv_logistic(
+    train: DataFrame, features: Sequence[str], target: str, algorithm: str, candidates: Sequence[Mapping], folds: int, parallelism: int
+) -> DataFrame:
+    """CV table of L2 (``logistic``) or L1 (``lasso``) models: every candidate and fold is fitted in the same scans."""
+    spark = train.sparkSession
+    penalty = "l2" if algorithm == "logistic" else "l1"
+    jobs = [(p, f) for p in range(len(candidates)) for f in range(folds)]
+    specs = [logit.Spec(float(candidates[p]["C"]), penalty, f) for p, f in jobs]
+    rows = logit.training_rows(train, features, target, "fold")
+    names = [f"x{k}" for k in range(len(features))]
+    models = logit.fit_together(rows, len(features), specs)
+    # One scan scores all models; the metrics below read two columns each.
+    margins = materialise(rows.select("y", "fold", *[m.margin(names).alias(f"m{k}") for k, m in enumerate(models)]), "margins")
+
+    def measure(k: int) -> list[tuple]:
+        own = margins.select("y", "fold", F.col(f"m{k}").alias("rawPrediction"), (F.col(f"m{k}") > 0).cast("double").alias("prediction"))
+        return [(*jobs[k], *m) for m in _class_fold(own, "y", jobs[k][1])]
+
+    pool = ThreadPool(processes=min(parallelism, len(jobs)))
+    try:
+        found = [r for part in pool.imap(inheritable_thread_target(measure), range(len(jobs))) for r in part]
+    finally:
+        pool.close()
+        pool.join()
+    return spark.createDataFrame(found, CV_SCHEMA)
+
+
 # --- estimators fitted by Spark jobs ----------------------------------------
 
 
@@ -293,6 +324,8 @@ def _search(
     candidates = param_grid(algorithm, task, grid)
     if task == "regression" and algorithm in LINEAR_REGRESSORS:
         cv = cv_linear(train, features, target, algorithm, candidates, cv_splits)
+    elif task == "classification" and algorithm in ("logistic", "lasso"):
+        cv = cv_logistic(train, features, target, algorithm, candidates, cv_splits, parallelism)
     else:
         cv = cv_fitted(train, features, target, algorithm, task, candidates, cv_splits, seed, parallelism)
     cv = materialise(cv, "cv")

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from descria.columns import quoted
 from descria.errors import DescriaError, NotConvergedError
-from descria.operators import forest, gram
-from descria.operators.linear import VECTOR, assembler, logistic, row_count
+from descria.operators import forest, gram, logit
+from descria.operators.linear import VECTOR, assembler
 from descria.operators.normal import column_std, penalised_from_moments
 from descria.storage import shared_dir
 
@@ -145,11 +145,14 @@ def lasso_from_moments(m: gram.Moments, features: Sequence[str], alpha: float, s
 def logistic_lasso_scores(
     df: DataFrame, features: Sequence[str], target: str, alpha: float, max_iter: int = 1000
 ) -> dict[str, float]:
-    """Absolute coefficients of an L1 logistic model with inverse strength ``1 / alpha``."""
+    """Absolute coefficients of an L1 logistic model with inverse strength ``1 / alpha``.
+
+    ``max_iter`` limits the Newton rounds, each one scan; a fit that needs more is an error.
+    """
     c = 1.0 / alpha if alpha > 0 else 1e9
-    estimator = logistic(row_count(df), target, c, "l1", scaled=False, max_iter=max_iter)
-    model = estimator.fit(training_view(df, features, target))
-    return {f: abs(float(v)) for f, v in zip(features, model.coefficients.toArray(), strict=True)}
+    rows = logit.training_rows(df, features, target, None)
+    fitted = logit.fit_together(rows, len(features), [logit.Spec(c, "l1")], scaled=False, max_iter=max_iter)[0]
+    return dict(zip(features, fitted.size.tolist(), strict=True))
 
 
 def importance_lasso(df: DataFrame, features: Sequence[str], target: str, task: str = "classification",

@@ -191,7 +191,7 @@ def _clean_emb(spark, sf):
 @query("fs_lasso_cls")
 def fs_lasso_cls(spark, sf):
     out = select.select_by_model(
-        d_cust(spark, sf).drop("value", "nation"), "Lasso", "Label", alpha=0.01, protected=["c_custkey"], max_iter=200
+        d_cust(spark, sf).drop("value", "nation"), "Lasso", "Label", alpha=0.01, protected=["c_custkey"]
     )
     return importance.score_table(out.table, out.scores)
 
