@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from descria.llm.common import bit_map, discard, map_arrow, materialise, narrow, position, text_chunks
+from descria.llm.common import bit_map, discard, map_arrow, materialise, narrow, position, small_batches, text_chunks
 from descria.llm.words import lower_ascii, mix, split_words, word_grams
 
 SHINGLE_WORDS = 3
@@ -312,9 +312,11 @@ def _apply_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame | None:
     """(node, root) over set keys that have links; None if there is no link."""
-    # One exchange of all signatures, read twice: to find those of several sets, and to keep their rows.
+    # One exchange of all signatures, read twice: to find those of several sets, and to keep their rows. Both readings ask for
+    # all columns (hence the size), or Spark would make two exchanges of it.
     dealt = _signature_rows(docs, size, threshold).repartition("signature")
-    spans = dealt.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    spans = dealt.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("n"))
+    spans = spans.where("low <> high and n > 0")
     members = dealt.join(spans.select("signature"), "signature").distinct()
     members = materialise(members.withColumn("root", F.col("node")), "members")
     if members.isEmpty():
@@ -382,7 +384,12 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: Fr
 
 
 def _placed(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_key, root) per document."""
+    """(doc_id, n_shingles, component_id, set_key, root) per document; all that Python does is done when it returns."""
+    with small_batches(docs.sparkSession):
+        return _with_components(docs, size, threshold)
+
+
+def _with_components(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     rows = narrow(docs, "doc_id", "text")
     rows = rows.select(rows.doc_id.cast("long").alias("doc_id"), "text")
     table = materialise(_with_keys_and_parities(rows, size), "keys")
