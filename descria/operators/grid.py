@@ -16,8 +16,9 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,7 @@ _TREES = {
     "xgboost": "XGBoost",
     "lightgbm": "LightGBM",
 }
+BOOSTED_ALGORITHMS = ("xgboost", "lightgbm")
 LINEAR_REGRESSORS = ("ridge", "lasso", "elasticnet", "linear_regression")
 CLASS_METRICS = ("accuracy", "f1", "roc_auc", "precision", "recall")
 VALUE_METRICS = ("R2", "Neg_MSE")
@@ -253,6 +255,32 @@ def _value_fold(scored: DataFrame, target: str, fold: int) -> list[tuple[str, st
     return out
 
 
+def sharing_fits(algorithm: str, candidates: Sequence[Mapping]) -> list[list[int]]:
+    """Candidates that one fit serves: boosted ones that differ in the number of rounds only, all others each alone."""
+    if algorithm not in BOOSTED_ALGORITHMS:
+        return [[p] for p in range(len(candidates))]
+    groups: dict[tuple, list[int]] = {}
+    for p, own in enumerate(candidates):
+        groups.setdefault(tuple(sorted((k, str(v)) for k, v in own.items() if k != "n_estimators")), []).append(p)
+    return list(groups.values())
+
+
+def first_rounds(model, rounds: int):
+    """The boosted model as it was after ``rounds`` rounds: round by round fitting makes it a prefix of the larger one."""
+    if rounds >= model.getNumTrees:
+        return model
+    context = SparkContext._active_spark_context  # there is one for all threads, unlike the active session
+    java, jvm_of, gateway = model._java_obj, context._jvm, context._gateway
+    trees = gateway.new_array(jvm_of.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm_of.double, rounds)
+    for k in range(rounds):
+        trees[k], weights[k] = java.trees()[k], java.treeWeights()[k]
+    kind = type(model)
+    package = jvm_of.org.apache.spark.ml.classification if kind is GBTClassificationModel else jvm_of.org.apache.spark.ml.regression
+    made = getattr(package, kind.__name__)(java.uid() + f"_{rounds}", trees, weights)
+    return kind(java.copyValues(made, java.extractParamMap()))
+
+
 def cv_fitted(
     train: DataFrame,
     features: Sequence[str],
@@ -264,7 +292,7 @@ def cv_fitted(
     seed: int,
     parallelism: int,
 ) -> DataFrame:
-    """CV table of estimators that need one Spark fit per candidate and fold."""
+    """CV table of estimators fitted by Spark, one fit per fold and group of :func:`sharing_fits`."""
     spark = train.sparkSession
     narrow = train.select(*[quoted(c) for c in features], quoted(target).cast("double").alias(target), "fold")
     ready = materialise(
@@ -273,14 +301,18 @@ def cv_fitted(
     sizes = {r["fold"]: r["count"] for r in ready.groupBy("fold").count().collect()}
     measure = _class_fold if task == "classification" else _value_fold
 
-    def run(job: tuple[int, int]) -> list[tuple]:
-        pid, fold = job
+    def run(job: tuple[list[int], int]) -> list[tuple]:
+        pids, fold = job
         n = sum(sizes.values()) - sizes[fold]
-        estimator = estimator_for(algorithm, task, target, candidates[pid], n, seed)
-        model = estimator.fit(ready.filter(F.col("fold") != fold))
-        return [(pid, fold, *m) for m in measure(model.transform(ready), target, fold)]
-
-    jobs = [(p, f) for p in range(len(candidates)) for f in range(folds)]
+        largest = max(pids, key=lambda p: candidates[p].get("n_estimators", 0))
+        model = estimator_for(algorithm, task, target, candidates[largest], n, seed).fit(ready.filter(F.col("fold") != fold))
+        out = []
+        for pid in pids:
+            own = model if pid == largest else first_rounds(model, candidates[pid]["n_estimators"])
+            out += [(pid, fold, *m) for m in measure(own.transform(ready), target, fold)]
+        return out
+
+    jobs = [(p, f) for p in sharing_fits(algorithm, candidates) for f in range(folds)]
     pool = ThreadPool(processes=min(parallelism, len(jobs)))
     try:
         rows = [r for part in pool.imap(inheritable_thread_target(run), jobs) for r in part]
