@@ -67,6 +67,24 @@ def zip_join(left: DataFrame, right: DataFrame, name: str = ROW) -> DataFrame:
     return left.join(right, name)
 
 
+def attach_target(features: DataFrame, source: DataFrame, target: str, key: str = ROW) -> DataFrame:
+    """``features`` with the target of the row of ``source`` that has the same key, as the last column.
+
+    Steps that drop rows or columns may lie between both. A row without its source row is an error, as is a key that
+    stands on several source rows.
+    """
+    require_columns(features, [key])
+    require_columns(source, [key, target])
+    own = source.select(quoted(key).alias("__key"), quoted(target).alias("__target"))
+    counts = own.groupBy("__key").agg(F.first("__target").alias("__target"), F.count(F.lit(1)).alias("__n"))
+    others = [c for c in features.columns if c != target]
+    joined = features.select(*[quoted(c) for c in others]).join(counts, quoted(key).eqNullSafe(F.col("__key")), "left")
+    once = F.when(F.col("__n") == 1, F.col("__target")).otherwise(
+        F.raise_error(F.concat(F.lit("no or several target rows for key "), F.coalesce(quoted(key).cast("string"), F.lit("null"))))
+    )
+    return joined.select(*[quoted(c) for c in others], once.alias(target))
+
+
 def key_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Pairing for inputs that carry an identifier instead of relying on position."""
     return left.join(right, key)

@@ -174,7 +174,10 @@ def sniff_separator(header: str) -> str:
 
 
 def scan_sep_sniff(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Delimited file whose separator is read off the header line; runs of white space give text without a schema."""
+    """Delimited files whose separator is read off the header line of the first; all files have the same header.
+
+    Runs of white space give text without a schema.
+    """
     first = spark.read.text(path).head()
     if first is None:
         raise DescriaError(f"{path} is empty")
@@ -183,7 +186,9 @@ def scan_sep_sniff(spark: SparkSession, path: str, schema: T.StructType | str |
     if sep != " " or " " not in header.strip():
         return scan_csv(spark, path, schema, sep)
     names = header.split()
-    rows = spark.read.text(path).filter((F.trim("value") != "") & (F.col("value") != header))
+    # Read as one column of whole lines: the reader takes the first line off each file and leaves rows that look like it.
+    whole = spark.read.schema("value string").options(header=True, sep="\u0001", quote="", escape="", enforceSchema=True)
+    rows = whole.csv(path).filter(F.trim("value") != "")
     parts = F.split(F.trim("value"), r"\s+")
     cells = [F.get(parts, F.lit(k)) for k in range(len(names))]
     if schema is None:

@@ -196,6 +196,21 @@ def fs_lasso_cls(spark, sf):
     return importance.score_table(out.table, out.scores)
 
 
+# On one 0/1 column the penalised fit has a closed form: each side's share of ones moves towards the other by alpha over its rows.
+@query(
+    "fs_lasso_cls_single",
+    f"WITH {CUST_SQL}, x AS (SELECT CAST(n_orders > 10 AS INT) AS x, Label AS y FROM cust),"
+    " g AS (SELECT avg(y) FILTER (x = 1) AS p1, avg(y) FILTER (x = 0) AS p0, count(*) FILTER (x = 1) AS n1, count(*) FILTER (x = 0) AS n0 FROM x),"
+    " m AS (SELECT sign(p1 - p0) AS s, p1 - sign(p1 - p0) * 0.5 / n1 AS q1, p0 + sign(p1 - p0) * 0.5 / n0 AS q0 FROM g)"
+    " SELECT CAST(0 AS INT) AS pos, 'many' AS feature,"
+    " round(CASE WHEN s * (q1 - q0) > 0 THEN abs(ln(q1 / (1 - q1)) - ln(q0 / (1 - q0))) ELSE 0 END, 5) AS importance FROM m",
+)
+def fs_lasso_cls_single(spark, sf):
+    data = d_cust(spark, sf).select("c_custkey", (F.col("n_orders") > 10).cast("double").alias("many"), "Label")
+    out = select.select_by_model(data, "Lasso", "Label", alpha=0.5, protected=["c_custkey"])
+    return rounded(importance.score_table(out.table, out.scores), ["importance"], 5)
+
+
 @query("fs_lasso_reg")
 def fs_lasso_reg(spark, sf):
     out = select.select_by_model(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from descria.errors import UnsupportedFormatError
 from descria.functions import numeric, sdf, smiles
 from descria.operators import align, metrics, prune, screen, score, structures
+from descria.operators.clean import drop_high_nan_rows
 from descria.operators.impute import fill_values
 from descria.operators.linear import fit_least_squares
 from descria.plans.custom import standardise_describe_screen
@@ -203,12 +205,34 @@ def sdf_atoms(spark, sf):
     return flagged.select("row_idx", "n_atoms", "n_bonds", "fragments", F.array_join("elements", ",").alias("elements"))
 
 
+def _sniffed(spark, sf, sep, header):
+    """Customers written with a separator; the third column is text that no separator splits."""
+    path = fresh_path(spark, "cells")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("c_acctbal"))
+    if header:
+        # A data row that reads like the header stays a row: its key is no number, hence null.
+        extra = spark.createDataFrame([("c_custkey", "c_name", "c_acctbal")], "c_custkey string, c_name string, c_acctbal string")
+        rows = rows.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", "c_acctbal").union(extra)
+    rows.write.csv(path, header=True, sep=sep)
+    return readers.scan_sep_sniff(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
 @query("scan_sep_sniff", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def scan_sep_sniff(spark, sf):
-    path = fresh_path(spark, "tab")
-    table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal").write.csv(path, header=True, sep="\t")
-    got = readers.scan_sep_sniff(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
-    return got
+    return _sniffed(spark, sf, "\t", False)
+
+
+@query("scan_sep_sniff_comma", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def scan_sep_sniff_comma(spark, sf):
+    return _sniffed(spark, sf, ",", False)
+
+
+@query(
+    "scan_sep_sniff_space",
+    "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT NULL, 'c_name', NULL",
+)
+def scan_sep_sniff_space(spark, sf):
+    return _sniffed(spark, sf, " ", True)
 
 
 @query(
@@ -242,18 +266,27 @@ def catalog_lookup(spark, sf):
     return library.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).withColumn("db", F.lit("large"))
 
 
-_PATHS = "concat('lib/', source, '/', CAST(doc_id AS {t}), element_at(array('.smi','.CSV','.sdf','.txt'), CAST(doc_id % 4 AS INT) + 1))"
 
 
 @query(
     "validate_format",
-    "WITH p AS (SELECT doc_id, 'lib/' || source || '/' || doc_id || (['.smi','.CSV','.sdf','.txt'])[CAST(doc_id % 4 AS INT) + 1]"
-    " AS path FROM documents) SELECT doc_id, path, lower(path) LIKE '%.smi' OR lower(path) LIKE '%.csv' OR"
-    " lower(path) LIKE '%.sdf' AS supported FROM p",
+    "SELECT suffix, n, suffix IN ('.smi', '.CSV', '.sdf') AS accepted FROM (SELECT (['.smi','.CSV','.sdf','.txt'])[CAST(doc_id % 4 AS INT) + 1]"
+    " AS suffix, count(*) AS n FROM documents GROUP BY ALL)",
 )
 def validate_format(spark, sf):
-    listed = table(spark, sf, "documents").select("doc_id", F.expr(_PATHS.format(t="STRING")).alias("path"))
-    return listed.withColumn("supported", readers.supported_column(F.col("path")))
+    """Documents written under four suffixes; a path is accepted or refused as it is."""
+    listed = table(spark, sf, "documents").select("doc_id", F.expr("(array('.smi','.CSV','.sdf','.txt'))[cast(doc_id % 4 as int)]").alias("suffix"))
+    base = fresh_path(spark, "formats")
+    rows = []
+    for suffix in (".smi", ".CSV", ".sdf", ".txt"):
+        path = f"{base}/library{suffix}"
+        listed.where(F.col("suffix") == suffix).select("doc_id").write.parquet(path)
+        try:
+            rows.append((suffix, readers.validate_format(spark, path) == path))
+        except UnsupportedFormatError:
+            rows.append((suffix, False))
+    counts = listed.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(spark.createDataFrame(rows, "suffix string, accepted boolean"), "suffix").select("suffix", "n", "accepted")
 
 
 def _class_files(spark, sf):
@@ -454,11 +487,15 @@ def zip_descriptors(spark, sf):
     return rounded(structures.zip_descriptors(_indexed(spark, sf, "value", "double"), table_in), ["mw"])
 
 
-@query("attach_target", f"WITH {ORD_SQL} SELECT Label, count(*) AS n, round(sum(qty), 2) AS qty FROM ord GROUP BY Label")
+@query(
+    "attach_target",
+    f"WITH {ORD_SQL} SELECT o_orderkey, n_lines, qty, Label FROM ord WHERE qty IS NOT NULL",
+)
 def attach_target(spark, sf):
-    """Projecting features keeps the target on its row."""
-    reduced = d_ord(spark, sf).select("qty", "Label")
-    return reduced.groupBy("Label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 2).alias("qty"))
+    """Features whose sparse rows were dropped get the target of their own row back."""
+    full = d_ord(spark, sf)
+    reduced = drop_high_nan_rows(full.select("o_orderkey", "n_lines", "qty"), 0.4, ["n_lines", "qty"])
+    return align.attach_target(reduced, full, "Label", "o_orderkey")
 
 
 _WANTED = "SELECT DISTINCT o_orderkey * 3 AS row_idx FROM orders WHERE o_totalprice > 150000"
