@@ -1,4 +1,9 @@
-"""Preparation of a training corpus: rules, classifier, near duplicates, decontamination, packing."""
+"""Preparation of a training corpus: rules, classifier, near duplicates, decontamination, packing.
+
+Defined results: a null or empty text fails the rules and goes; of repeated rows and copies one stays; null doc_ids take part like
+others; extra columns go along; without labels both classifiers keep what the base rules keep; an empty benchmark
+removes nothing; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
