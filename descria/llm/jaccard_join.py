@@ -17,7 +17,7 @@ more bits than linked sets may differ in shingles: never more bits than shingles
 second round on pairs that the first step refuses aren't even made. Whole sets are read again from the texts, for sets in remaining
 pairs alone: a bitmap of fixed size picks them where the texts lie, a join makes the choice exact.
 
-All signatures travel once; tables of a finished round are deleted.
+All signatures travel once and are read once, in order; tables of a finished round are deleted.
 
 Defined results: a null or empty text has no shingles, is its own component and links with nothing; a null doc_id takes
 part like others, and a component without any id has the null id; repeated rows are one node; extra columns are
@@ -177,7 +177,7 @@ def _signature_rows(docs: DataFrame, size: int, threshold: Fraction) -> DataFram
     """(signature, node, n) of all sets; equal sets of a task's slice give theirs once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, offsets in text_chunks(batches, 0):
+        for _, raw, offsets in text_chunks(batches, 0, 1 << 18):
             grams, ends, key = shingle_sets(raw, offsets, size)
             lists, own = [], []
             for i in _firsts(key):
@@ -194,6 +194,32 @@ def _signature_rows(docs: DataFrame, size: int, threshold: Fraction) -> DataFram
     return map_arrow(docs.select("text"), work, "signature long, node long, n long")
 
 
+def _of_several_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct rows of those signatures that several nodes have, from rows in order of both; holds one row back at most."""
+    held, going_on = None, None  # a row that is alone so far; the last row given of a signature that may go on
+    for batch in batches:
+        rows = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+        if held is not None:
+            rows = np.concatenate([held, rows])
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+        if going_on is not None and len(rows):
+            fresh[0] = (rows[0, :2] != going_on).any()
+        rows = rows[fresh]
+        if not len(rows):
+            continue
+        shared = np.zeros(len(rows), bool)
+        again = rows[1:, 0] == rows[:-1, 0]
+        shared[1:] |= again
+        shared[:-1] |= again
+        if going_on is not None:
+            shared |= rows[:, 0] == going_on[0]
+        held = None if shared[-1] else rows[-1:]
+        going_on = rows[-1, :2] if shared[-1] else None
+        out = rows[shared]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(3)], names=["signature", "node", "n"])
+
+
 def _firsts(key: np.ndarray) -> list[int]:
     """Where each key but that of the empty set occurs first."""
     _, first = np.unique(key, return_index=True)
@@ -312,12 +338,8 @@ def _apply_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame | None:
     """(node, root) over set keys that have links; None if there is no link."""
-    # One exchange of all signatures, read twice: to find those of several sets, and to keep their rows. Both readings ask for
-    # all columns (hence the size), or Spark would make two exchanges of it.
-    dealt = _signature_rows(docs, size, threshold).repartition("signature")
-    spans = dealt.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("n"))
-    spans = spans.where("low <> high and n > 0")
-    members = dealt.join(spans.select("signature"), "signature").distinct()
+    dealt = _signature_rows(docs, size, threshold).repartition("signature").sortWithinPartitions("signature", "node")
+    members = map_arrow(dealt, _of_several_nodes, "signature long, node long, n long")
     members = materialise(members.withColumn("root", F.col("node")), "members")
     if members.isEmpty():
         return None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from descria.llm import jaccard_join
@@ -80,3 +81,16 @@ def test_sets_too_small_for_a_link_give_no_signatures(spark):
     docs = spark.createDataFrame([(i, f"w{i % 300}") for i in range(600)], "doc_id long, text string")
     got = jaccard_join.jaccard_components(docs).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(i, i % 300) for i in range(600)}
+
+
+def test_rows_of_several_nodes_over_batch_borders():
+    rng = np.random.default_rng(11)
+    for step in (1, 2, 3, 7, 1000):
+        rows = sorted((int(a), int(b), 5) for a, b in zip(rng.integers(0, 90, 300), rng.integers(0, 4, 300), strict=True))
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + step]], pa.int64()) for k in range(3)], names=["signature", "node", "n"])
+            for i in range(0, len(rows), step)
+        ]
+        got = [tuple(r.values()) for b in jaccard_join._of_several_nodes(iter(batches)) for r in b.to_pylist()]
+        nodes = {a: {r[1] for r in rows if r[0] == a} for a in {r[0] for r in rows}}
+        assert got == [r for r in sorted(set(rows)) if len(nodes[r[0]]) > 1]
