@@ -11,10 +11,10 @@ Sets with one signature share a bucket. Buckets are never expanded into pairs: e
 a bucket with those members that aren't yet in the pivot's component, counts shingles in common exactly, and joins
 components. Pivots leave the bucket afterwards; their number grows by PIVOT_GROWTH a round. A bucket ends when its members
 are one component, so groups of copies end after a round or two, whatever their size. Equal sets are one node from the
-start. A pair is checked in three steps, each for what the last one let pass: parities of the shingles folded to
-SKETCH_LONGS * 64 bits, then parities of as many bits as twice the shingles or more, then the whole sets. Parities may differ in no
-more bits than linked sets may differ in shingles: never more bits than shingles differ, so no link is lost. From the
-second round on pairs that the first step refuses aren't even made. Whole sets are read again from the texts, for sets in remaining
+start. A pair is checked in three steps, each for what the last one let pass: parities of the shingles on half as many bits as
+shingles or more (SKETCH_LONGS * 64 at least), then on twice as many or more, then the whole sets. Parities may differ in no
+more bits than linked sets may differ in shingles: never more bits than shingles differ, so no link is lost. Unrelated sets differ
+in about half the bits, so the first step refuses them at every size. From the second round on pairs that it refuses aren't even made. Whole sets are read again from the texts, for sets in remaining
 pairs alone: a bitmap of fixed size picks them where the texts lie, a join makes the choice exact.
 
 All signatures travel once and are read once, in order; tables of a finished round are deleted.
@@ -283,7 +283,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _within_parity_bound(sketch: str, n: str, other_sketch: str, other_n: str, threshold: Fraction) -> Column:
     """Whether no more parity bits differ than shingles may between linked sets of these sizes."""
-    apart = sum(F.bit_count(F.col(sketch)[i].bitwiseXOR(F.col(other_sketch)[i])) for i in range(SKETCH_LONGS))
+    x, y = F.col(sketch), F.col(other_sketch)
+    short = sum(F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_LONGS))
+    longs = F.least(F.size(x), F.size(y))
+
+    def at(sketch: Column, i: Column) -> Column:
+        # One sketch may be twice as long as the other, see _sketch_longs; it is folded on its way.
+        return F.get(sketch, i).bitwiseXOR(F.coalesce(F.get(sketch, i + longs), F.lit(0).cast("long")))
+
+    long_ = F.aggregate(F.sequence(F.lit(0), longs - 1), F.lit(0), lambda sum_, i: sum_ + F.bit_count(at(x, i).bitwiseXOR(at(y, i))))
+    apart = F.when(F.greatest(F.size(x), F.size(y)) == SKETCH_LONGS, short).otherwise(long_)
     least, most = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
     return apart * F.lit(least) <= (F.col(n) + F.col(other_n)) * F.lit(most)
 
@@ -343,9 +352,10 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
     members = materialise(members.withColumn("root", F.col("node")), "members")
     if members.isEmpty():
         return None
-    first_longs = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_LONGS - 1)), _folded_long)
+    longs = _sketch_longs(threshold)
+    sketch = F.transform(F.sequence(F.lit(0), longs - 1), lambda place: _folded_long(place, longs))
     sketches = table.where(F.size("wide") > 0).groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("wide").alias("wide"))
-    sketches = materialise(sketches.select("set_key", "n", "wide", first_longs.alias("sketch")), "sketches")
+    sketches = materialise(sketches.select("set_key", "n", "wide", sketch.alias("sketch")), "sketches")
     links, compared, roots, pivots = None, None, None, 1
     while True:
         buckets = members.groupBy("signature").agg(
@@ -391,10 +401,18 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
     return roots
 
 
-def _folded_long(place: Column) -> Column:
+def _sketch_longs(threshold: Fraction) -> Column:
+    """Longs of the narrow sketch: a quarter of the wide one. Sets that may link are of sizes less than a factor two apart, so
+    lengths are equal or twice each other; thresholds too low for that have one length only."""
+    if 2 * threshold <= 1:
+        return F.lit(SKETCH_LONGS)
+    return F.greatest(F.lit(SKETCH_LONGS), F.shiftright(F.size("wide"), 2))
+
+
+def _folded_long(place: Column, longs: Column) -> Column:
     """Parities of one long of the narrow sketch: those of all longs of the wide one that fold on it."""
     return F.aggregate(
-        F.transform(F.sequence(F.lit(0), (F.size("wide") / SKETCH_LONGS - 1).cast("int")), lambda k: F.get("wide", (k * SKETCH_LONGS + place).cast("int"))),
+        F.transform(F.sequence(place, F.size("wide") - 1, longs), lambda k: F.get("wide", k)),
         F.lit(0).cast("long"),
         lambda all_, one: all_.bitwiseXOR(one),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from descria.llm import jaccard_join
@@ -49,6 +50,46 @@ def test_stage_drops_copies_with_two_percent_edited(spark):
     assert sorted(got) == sorted(want) and 9 * 6 < len(want) < len(rows)
 
 
+def test_long_texts_whose_sketches_differ_in_length(spark):
+    rng = np.random.default_rng(5)
+    rows, n = {}, 0
+    for length in (1000, 1020, 1040, 1500, 2040, 2060, 4090, 4110, 9000):
+        for edits in (0.01, 0.02, 0.024, 0.05):
+            words = [f"w{x}" for x in rng.integers(0, 5000, length)]
+            for _ in range(4):
+                rows[n], n = " ".join(words), n + 1
+                words = [f"v{rng.integers(0, 5000)}" if rng.random() < edits else w for w in words]
+                words += [f"u{x}" for x in rng.integers(0, 5000, length // 40)]
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, SF).collect()]
+    want = plain_first(rows)
+    assert sorted(got) == sorted(want) and 9 * 4 < len(want) < len(rows)
+
+
+def test_sketches_refuse_unrelated_sets_and_keep_linked_ones(spark):
+    rng = np.random.default_rng(9)
+    threshold, pairs = corpus_pipeline.LEAST_SHARED, []
+    for n in (300, 1023, 1025, 2047, 2049, 5000, 20_000):
+        a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in "ab")
+        near = np.concatenate([a[n // 10 :], b[: n // 10]])[: n - n // 50]
+        shared = len(np.intersect1d(a, near))
+        assert shared >= threshold * (len(a) + len(near) - shared)
+        sets = [np.unique(x) for x in (a, near, b)]
+        wide = [jaccard_join.parities(x, jaccard_join.wide_longs(len(x))).tolist() for x in sets]
+        pairs += [(n, len(sets[0]), wide[0], len(sets[k]), wide[k], k == 1) for k in (1, 2)]
+    rows = spark.createDataFrame(pairs, "size long, n long, wide array<long>, m long, other array<long>, linked boolean")
+    longs = jaccard_join._sketch_longs(threshold)
+
+    def sketch(df, name, to):
+        df = df.withColumnRenamed(name, "wide") if name != "wide" else df
+        df = df.withColumn(to, F.transform(F.sequence(F.lit(0), longs - 1), lambda place: jaccard_join._folded_long(place, longs)))
+        return df.drop("wide")
+
+    rows = sketch(sketch(rows, "wide", "x"), "other", "y")
+    got = rows.select("size", "linked", jaccard_join._within_parity_bound("x", "n", "y", "m", threshold).alias("passed")).collect()
+    assert len(got) == 14 and all(r.passed == r.linked for r in got)
+
+
 def test_pipeline_equals_plain_with_its_own_rule(spark):
     rows = texts()
     good = {r.doc_id for r in QUERIES["op1_quality_rules"](spark, SF).collect() if r.kept}
