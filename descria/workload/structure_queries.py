@@ -267,15 +267,20 @@ def catalog_lookup(spark, sf):
 
 
 
+_PATHS = "concat('lib/', source, '/', CAST(doc_id AS {t}), element_at(array('.smi','.CSV','.sdf','.txt'), CAST(doc_id % 4 AS INT) + 1))"
+
 
 @query(
     "validate_format",
-    "SELECT suffix, n, suffix IN ('.smi', '.CSV', '.sdf') AS accepted FROM (SELECT (['.smi','.CSV','.sdf','.txt'])[CAST(doc_id % 4 AS INT) + 1]"
-    " AS suffix, count(*) AS n FROM documents GROUP BY ALL)",
+    "WITH p AS (SELECT doc_id, 'lib/' || source || '/' || doc_id || (['.smi','.CSV','.sdf','.txt'])[CAST(doc_id % 4 AS INT) + 1]"
+    " AS path FROM documents) SELECT doc_id, path, lower(path) LIKE '%.smi' OR lower(path) LIKE '%.csv' OR"
+    " lower(path) LIKE '%.sdf' AS supported FROM p",
 )
 def validate_format(spark, sf):
-    """Documents written under four suffixes; a path is accepted or refused as it is."""
-    listed = table(spark, sf, "documents").select("doc_id", F.expr("(array('.smi','.CSV','.sdf','.txt'))[cast(doc_id % 4 as int)]").alias("suffix"))
+    """The path of every document, accepted if the operator takes a file of its suffix; files are written under all suffixes."""
+    listed = table(spark, sf, "documents").select("doc_id", F.expr(_PATHS.format(t="STRING")).alias("path"))
+    # Where a path has no suffix at all (no path, too), nothing is accepted or refused.
+    listed = listed.withColumn("suffix", F.regexp_extract("path", r"(\.[^./]*)$", 1))
     base = fresh_path(spark, "formats")
     rows = []
     for suffix in (".smi", ".CSV", ".sdf", ".txt"):
@@ -285,8 +290,8 @@ def validate_format(spark, sf):
             rows.append((suffix, readers.validate_format(spark, path) == path))
         except UnsupportedFormatError:
             rows.append((suffix, False))
-    counts = listed.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(spark.createDataFrame(rows, "suffix string, accepted boolean"), "suffix").select("suffix", "n", "accepted")
+    checked = spark.createDataFrame(rows, "suffix string, supported boolean")
+    return listed.join(F.broadcast(checked), "suffix", "left").select("doc_id", "path", "supported")
 
 
 def _class_files(spark, sf):

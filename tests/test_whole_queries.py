@@ -48,3 +48,13 @@ def test_subsets_equal_plain_least_squares(spark):
 )
 def test_all_candidates(spark, name, algorithm, task):
     assert {r.param_id for r in rows(spark, name)} == set(range(len(grid.param_grid(algorithm, task))))
+
+
+def test_every_document_has_its_path_judged(spark, tmp_path):
+    rows = [(0, "web"), (1, "a.txt/b"), (2, "web"), (3, "x.smi/y"), (6, None), (None, "web")]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.path, r.supported) for r in entry_points.queries()["validate_format"](spark, str(tmp_path)).collect()}
+    assert got == {
+        0: ("lib/web/0.smi", True), 1: ("lib/a.txt/b/1.CSV", True), 2: ("lib/web/2.sdf", True),
+        3: ("lib/x.smi/y/3.txt", False), 6: (None, None), None: (None, None),
+    }
