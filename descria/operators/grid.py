@@ -9,8 +9,9 @@ fitted by Spark jobs, a few at a time, on a table that is assembled once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -137,6 +138,21 @@ def best_candidate(cv_results: DataFrame, metric: str) -> tuple[int, float]:
     return row["param_id"], row["mean_value"]
 
 
+def in_threads(spark: SparkSession, run: Callable, jobs: Sequence, parallelism: int) -> list:
+    """Results of ``run`` for each job, in order, a few jobs at a time.
+
+    Each job has its own copy of the caller's local properties: Spark keeps the number of the running query there, so
+    threads that share one copy take it from each other.
+    """
+    calls = [inheritable_thread_target(spark)(partial(run, job)) for job in jobs]
+    pool = ThreadPool(processes=max(1, min(parallelism, len(calls))))
+    try:
+        return list(pool.imap(lambda call: call(), calls))
+    finally:
+        pool.close()
+        pool.join()
+
+
 # --- linear regressors from fold moments ------------------------------------
 
 
@@ -206,12 +222,7 @@ def cv_logistic(
         own = margins.select("y", "fold", F.col(f"m{k}").alias("rawPrediction"), (F.col(f"m{k}") > 0).cast("double").alias("prediction"))
         return [(*jobs[k], *m) for m in _class_fold(own, "y", jobs[k][1])]
 
-    pool = ThreadPool(processes=min(parallelism, len(jobs)))
-    try:
-        found = [r for part in pool.imap(inheritable_thread_target(measure), range(len(jobs))) for r in part]
-    finally:
-        pool.close()
-        pool.join()
+    found = [r for part in in_threads(spark, measure, range(len(jobs)), parallelism) for r in part]
     return spark.createDataFrame(found, CV_SCHEMA)
 
 
@@ -313,12 +324,7 @@ def cv_fitted(
         return out
 
     jobs = [(p, f) for p in sharing_fits(algorithm, candidates) for f in range(folds)]
-    pool = ThreadPool(processes=min(parallelism, len(jobs)))
-    try:
-        rows = [r for part in pool.imap(inheritable_thread_target(run), jobs) for r in part]
-    finally:
-        pool.close()
-        pool.join()
+    rows = [r for part in in_threads(spark, run, jobs, parallelism) for r in part]
     return spark.createDataFrame(rows, CV_SCHEMA)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pytest
 
@@ -38,3 +40,19 @@ def test_grid_shares_fits_and_keeps_scores(table, monkeypatch):
     key = ["param_id", "fold", "split", "metric"]
     a, b = (x.sort_values(key).reset_index(drop=True) for x in (together, apart))
     assert len(a) == 16 and (a[key] == b[key]).all().all() and a.value.to_numpy() == pytest.approx(b.value.to_numpy())
+
+
+def test_jobs_side_by_side_keep_their_own_local_properties(spark):
+    """With shared ones a query ended in 'Cannot parse null string': another thread had removed its number."""
+    context, meet = spark.sparkContext, threading.Barrier(3)
+
+    def job(k):
+        context.setLocalProperty("tests.own", str(k))
+        meet.wait(60)
+        return context.getLocalProperty("tests.own"), context.getLocalProperty("tests.callers")
+
+    context.setLocalProperty("tests.callers", "kept")
+    try:
+        assert grid.in_threads(spark, job, range(6), 3) == [(str(k), "kept") for k in range(6)]
+    finally:
+        context.setLocalProperty("tests.callers", None)
