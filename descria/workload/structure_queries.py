@@ -580,7 +580,9 @@ def screen_and_extract(spark, sf):
     _, extracted = screen.screen_and_extract(
         _trained(spark, sf), _library(spark, sf), records, ["ext"], score.REGRESSION, _CUTOFF
     )
-    return extracted.molecules.select("row_idx", sdf.title(F.col("record")).alias("title"))
+    # No row was selected, so nothing was extracted: no rows of the same columns.
+    molecules = records.where("false") if extracted is None else extracted.molecules
+    return molecules.select("row_idx", sdf.title(F.col("record")).alias("title"))
 
 
 @query(

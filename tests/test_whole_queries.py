@@ -58,3 +58,17 @@ def test_every_document_has_its_path_judged(spark, tmp_path):
         0: ("lib/web/0.smi", True), 1: ("lib/a.txt/b/1.CSV", True), 2: ("lib/web/2.sdf", True),
         3: ("lib/x.smi/y/3.txt", False), 6: (None, None), None: (None, None),
     }
+
+
+def test_screening_that_selects_nothing_extracts_nothing(spark, tmp_path):
+    """All predictions lie above the cutoff; the query failed on the missing extraction."""
+    orders = [(k, k % 7, 1e6 + k, "F") for k in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    lines = [(k, 1.0, 0.1, 0.1, 100.0 * (k % 13)) for k in range(60)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_quantity double, l_discount double, l_tax double, l_extendedprice double"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = entry_points.queries()["screen_and_extract"](spark, str(tmp_path))
+    assert got.columns == ["row_idx", "title"] and got.collect() == []
