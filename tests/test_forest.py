@@ -80,3 +80,43 @@ def test_constant_labels_and_empty_tables(spark):
     for rows in ([(1.0, 2.0, 5.0)] * 8, [(float(k), 1.0, 5.0) for k in range(8)], []):
         df = spark.createDataFrame(rows, "a double, b double, y double")
         assert importance.tree_scores(df, ["a", "b"], "y", "RandomForest", "regression", n_estimators=3) == {"a": 0.0, "b": 0.0}
+
+
+def test_equal_rows_move_as_one_cell(spark):
+    """4,000 rows of 6 kinds, 5 trees, levels off: rows used to move once for each tree."""
+    rows = [(float(k % 3), float(k % 2), float(k % 6) + 0.25 * (k % 5)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(2)
+    edges = forest.bin_edges(df, ["a", "b"], 32)
+    stored = forest.clustered(forest.binned_table(df, ["a", "b"], "y", None, edges), 4000)
+    plan = forest.Plan([[0, 1]], 5, 60, 1, [2], True, 1)
+    tops = {t: forest.Top() for t in range(5)}
+    packed = forest._packed_cells(stored, plan, tops, [(t, t + 1, 0) for t in range(5)], 2, 0.0)
+    moved = packed.agg(F.sum(F.length("cells")), F.sum(F.length("cell_bins"))).first()
+    blocks = packed.select("first").distinct().count()
+    assert moved[0] <= 5 * 24 * (6 + blocks) and moved[1] <= 5 * 2 * (6 + blocks)
+    one = forest.grow_forests(df.coalesce(1), ["a", "b"], "y", trees=5)
+    two = forest.grow_forests(df.coalesce(1), ["a", "b"], "y", trees=5, local_rows=1000)
+    assert forest.importances(two, ["a", "b"]) == pytest.approx(forest.importances(one, ["a", "b"]), abs=1e-2)
+
+
+def test_small_nodes_split_alike_from_cells_and_from_bins():
+    rng = np.random.default_rng(11)
+    own = np.sort(rng.integers(0, 400, 1500))
+    bins = rng.integers(0, 32, (1500, 3)).astype(np.uint8)
+    w, s = rng.integers(1, 4, 1500).astype(float), rng.normal(0, 5, 1500)
+    count, allowed = np.bincount(own, minlength=400), np.ones((400, 3), bool)
+    for width in (4, 8, 16):
+        nodes = np.flatnonzero((count > 1) & (count <= width))
+        use = np.isin(own, nodes)
+        number = np.searchsorted(nodes, own[use])
+        args = (bins[use], [0, 1, 2], number, w[use], s[use])
+        got = forest.best_splits(forest._sorted_sums(*args, count[nodes], width), 3, allowed[nodes], 2)
+        want = forest.best_splits(forest._dense_sums(*args, len(nodes), 32), 3, allowed[nodes], 2)
+        assert (got[2] == pytest.approx(want[2], abs=1e-9)) and (want[2] > 1e-9).sum() > 10
+        # Splits of equal gain may differ by rounding: each choice must have the best gain.
+        for k, (column, bin_, gain) in enumerate(zip(*got, strict=True)):
+            mine = number == k
+            left = mine & (bins[use][:, column] <= bin_)
+            if gain > 1e-9:
+                wl, sl, wa, sa = w[use][left].sum(), s[use][left].sum(), w[use][mine].sum(), s[use][mine].sum()
+                assert sl * sl / wl + (sa - sl) ** 2 / (wa - wl) - sa * sa / wa == pytest.approx(want[2][k], abs=1e-9)
