@@ -27,19 +27,24 @@ def _widest(bits: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    if not values.size or values.max() < 1 << 53:  # as floating point numbers these are exact
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    bits, rest = np.zeros(values.shape, np.uint8), values.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        high = rest >= np.uint64(1) << np.uint64(step)
+        bits[high] += step
+        rest[high] >>= np.uint64(step)
+    return bits + (rest > 0)
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, offset of each block in words, one more than blocks) of unsigned 64-bit values."""
     blocks = -(-len(values) // BLOCK)
     padded = np.zeros(blocks * BLOCK, np.uint64)
     padded[: len(values)] = values
     grid = padded.reshape(blocks, BLOCK)
-    bits = np.zeros(grid.shape, np.uint8)
-    rest = grid.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >= np.uint64(1) << np.uint64(step)
-        bits[high] += step
-        rest[high] >>= np.uint64(step)
-    bits += rest > 0
+    bits = _bit_lengths(grid)
     size = np.full(blocks, BLOCK)
     if blocks:
         size[-1] = len(values) - (blocks - 1) * BLOCK
@@ -48,31 +53,30 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in range(len(COUNTS) - 1, -1, -1):  # more values a word is better, so later fits replace earlier ones
         if s == len(COUNTS) - 1 or (bits <= WIDTHS[s]).any():
             selector[_widest(bits, COUNTS[s]) <= WIDTHS[s]] = s
-    counts, widths = np.array([*COUNTS, 0, 1]), np.array([*WIDTHS, 0, 0], np.uint64)
-    at = np.zeros(blocks, np.int64)
-    made: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
-    while True:  # one word of every unfinished block a turn
-        live = np.flatnonzero(at < size)
-        if not len(live):
-            break
-        here = at[live]
-        chosen = selector[live, here]
-        count, width = counts[chosen], widths[chosen]
-        word = chosen.astype(np.uint64) << np.uint64(60)
-        for k in range(int(count.max())):
-            use = (k < count) & (chosen != ESCAPE)
-            word[use] |= grid[live[use], here[use] + k] << (width[use] * np.uint64(k))
-        made.append(word), owners.append(live)
-        raw = chosen == ESCAPE
-        if raw.any():
-            made.append(grid[live[raw], here[raw]]), owners.append(live[raw])
-        at[live] += count
-    if not made:
+    counts = np.array([*COUNTS, 0, 1])
+    step = counts[selector].ravel()
+    at, ends = np.arange(blocks) * BLOCK, np.arange(blocks) * BLOCK + size
+    found: list[np.ndarray] = []
+    while len(at):  # where the next word of every unfinished block begins
+        found.append(at)
+        at = at + step[at]
+        live = at < ends
+        at, ends = at[live], ends[live]
+    if not found:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(made)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=blocks))])
+    firsts = np.sort(np.concatenate(found))  # blocks follow each other, so this is the order of the words too
+    chosen = selector.ravel()[firsts]
+    raw = chosen == ESCAPE
+    place = np.arange(len(firsts)) + np.cumsum(raw) - raw  # an escaped value takes the word after its own
+    made = np.zeros(len(firsts) + int(raw.sum()), np.uint64)
+    made[place] = chosen.astype(np.uint64) << np.uint64(60)
+    made[place[raw] + 1] = padded[firsts[raw]]
+    for s, (count, width) in enumerate(zip(COUNTS, WIDTHS, strict=True)):
+        own = np.flatnonzero(chosen == s)
+        for k in range(count if len(own) else 0):
+            made[place[own]] |= padded[firsts[own] + k] << np.uint64(k * width)
+    words = np.bincount(firsts // BLOCK, 1 + raw, blocks).astype(np.int64)
+    return made, np.concatenate([[0], np.cumsum(words)])
 
 
 def decode(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:

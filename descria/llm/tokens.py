@@ -9,6 +9,7 @@ Pieces of plain letters and signs are joined by a mark that is an id of its own,
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -115,7 +116,11 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, as the library gives them with its own settings."""
 
     def __init__(self, path: str):
+        # Tasks share the cores already: the library's own threads would only take them from each other, and memory too.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # The library would keep words too, but only distinct pieces are sent to it; its store then costs more than it saves.
+        self.tokenizer.model._resize_cache(0)
         self.pieces = KeptPieces()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = "|".join([_WHOLE, *(f"(?i:{x})" for x in special)])
@@ -197,10 +202,10 @@ class Encoder:
         cut = iter(self._cut_ids(rest) if len(rest) else [])
         return [next(kept) if one else next(cut) for one in whole.to_pylist()]
 
-
     def forget(self) -> None:
-        """Gives the memory of kept pieces back, for example at the end of a task."""
+        """Gives the memory of kept pieces and of texts read back, at the end of a task."""
         self.pieces = KeptPieces()
+        pa.default_memory_pool().release_unused()
 
 
 _encoders: dict[str, Encoder] = {}
