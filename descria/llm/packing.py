@@ -92,6 +92,7 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
+        own.forget()  # the worker lives on, for tasks of other stages too
 
     rows = narrow(docs, "doc_id", "text")
     return map_arrow(rows.select(rows.doc_id.cast("long").alias("doc_id"), "text"), work, PIECES)
