@@ -5,7 +5,11 @@ BAND_STEPS times 1 / threshold, so linked sets are in the same or in neighbourin
 band that they may link into the next one give signatures for that one too. For a band with largest size r, linked sets
 differ in at most k = 2 r (1 - t) / (1 + t) shingles. The domain of hashes is cut into n1 * N2 equal ranges; of each
 run of N2 ranges every subset that leaves out K2 of them gives a signature. With n1 = ceil((k + 1) / (K2 + 1)),
-two linked sets agree on at least one signature, so no link is lost.
+two linked sets agree on at least one signature, so no link is lost. There are some runs more (MORE_RUNS), and a set's
+own size often allows fewer differences than k, so linked sets agree in s + 1 runs at least. Each set then leaves
+out signatures of s runs, chosen in one order for all sets: those of ranges without any shingle first, as
+unrelated sets share them and their buckets would grow with the table. Of the signatures that linked sets share, the last in
+that order is left out by neither: those up to it are of s + 1 runs.
 
 Sets with one signature share a bucket. Buckets are never expanded into pairs: each round compares a few pivots of
 a bucket with those members that aren't yet in the pivot's component, counts shingles in common exactly, and joins
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +49,16 @@ SHINGLE_WORDS = 3
 THRESHOLD = Fraction(9, 10)
 #: Ranges in a run, and how many of them a signature leaves out.
 N2, K2 = 3, 1
+KEPT = list(combinations(range(N2), N2 - K2))
+#: Runs beyond those that no link is lost with, as a share of them: of so many more a set may leave signatures out.
+MORE_RUNS = Fraction(1, 16)
 #: Width of a band in powers of 1 / threshold: wide ones have longer lists of signatures, narrow ones more sets at the top.
 BAND_STEPS = 2
 #: Bits of the map that picks sets where the texts lie: 2 MB, whatever the number of sets.
 MAP_BITS = 24
 #: Keys that a task remembers so as not to give the set of a copy again.
 KEPT_KEYS = 200_000
-PIVOT_GROWTH = 32
+PIVOT_GROWTH = 8
 SKETCH_LONGS = 8
 NO_SET = 0
 
@@ -84,7 +92,8 @@ def _top(threshold: Fraction, band: int) -> int:
 def _runs(threshold: Fraction, band: int) -> int:
     """n1 of a band; 0 where only equal sets are linked, as these are one node already."""
     most_different = int(2 * _top(threshold, band) * (1 - threshold) / (1 + threshold))
-    return -(-(most_different + 1) // (K2 + 1)) if most_different else 0
+    least = -(-(most_different + 1) // (K2 + 1))
+    return least + ceil(least * MORE_RUNS) if most_different else 0
 
 
 def _distinct(doc: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,26 +125,44 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     return grams, ends, key
 
 
+@lru_cache(maxsize=4096)
+def _spare_runs(threshold: Fraction, band: int, size: int) -> int:
+    """How many runs of a band a set of ``size`` may leave out: one less than the runs that it shares with any linked set."""
+    partner = min(int(size / threshold), _top(threshold, band))
+    different = int((size + partner) * (1 - threshold) / (1 + threshold))
+    # Sets that differ in nothing are one node already.
+    return _runs(threshold, band) - different // (K2 + 1) - 1 if different else _runs(threshold, band)
+
+
 def signatures(grams: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
-    """All signatures of one set, given as sorted distinct 64-bit hashes."""
+    """The signatures that one set gives, given as sorted distinct 64-bit hashes."""
     band = _bands(threshold, len(grams))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams))])
     out = []
     reaches = int(len(grams) / threshold) > _top(threshold, band)
     for instance in (band, band + 1) if reaches else (band,):
         runs = _runs(threshold, instance)
-        if not runs:
+        spare = _spare_runs(threshold, instance, len(grams)) if runs else 0
+        if spare == runs:
             continue
         ranges = runs * N2
         # Equal ranges of the upper 32 bits; a set has its elements of a range next to each other.
         at = np.searchsorted((grams >> np.uint64(32)).astype(np.int64) * ranges >> 32, np.arange(ranges + 1))
-        part = (sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).reshape(runs, N2)
-        for kept in combinations(range(N2), N2 - K2):
+        held = np.diff(at).reshape(runs, N2)
+        part = (sums[at[1:]] - sums[at[:-1]]).reshape(runs, N2) + held.astype(np.uint64)
+        own, filled = np.empty((runs, len(KEPT)), np.uint64), np.zeros((runs, len(KEPT)), bool)
+        for i, kept in enumerate(KEPT):
             tag = np.uint64((instance << 8) + sum(1 << j for j in kept)) + (np.arange(runs, dtype=np.uint64) << np.uint64(32))
-            own = mix(tag)
+            own[:, i] = mix(tag)
             for j in kept:
-                own = mix(own + part[:, j])
-            out.append(own)
+                own[:, i] = mix(own[:, i] + part[:, j])
+                filled[:, i] |= held[:, j] > 0
+        # Those of no shingle first, then run by run: they go until ``spare`` runs are met.
+        order = np.argsort(filled.ravel(), kind="stable")
+        run = order // len(KEPT)
+        opens = np.zeros(len(order), np.int64)
+        opens[np.unique(run, return_index=True)[1]] = 1
+        out.append(own.ravel()[order[np.cumsum(opens) > spare]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -381,6 +408,8 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
             F.least("n", "p_n") * F.lit(threshold.denominator) >= F.greatest("n", "p_n") * F.lit(threshold.numerator)
         )
         if pivots > 1:
+            # Two pivots meet twice in a bucket; once is enough.
+            may_link &= ~F.col("pivot") | (F.col("p") < F.col("node"))
             may_link &= _within_parity_bound("sketch", "n", "p_sketch", "p_n", threshold)
         pairs = others.join(own, "signature").where(may_link)
         pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()

@@ -135,3 +135,37 @@ def test_rows_of_several_nodes_over_batch_borders():
         got = [tuple(r.values()) for b in jaccard_join._of_several_nodes(iter(batches)) for r in b.to_pylist()]
         nodes = {a: {r[1] for r in rows if r[0] == a} for a in {r[0] for r in rows}}
         assert got == [r for r in sorted(set(rows)) if len(nodes[r[0]]) > 1]
+
+
+def test_unrelated_sets_share_next_to_no_signature():
+    """Ranges without a shingle agree in unrelated sets; signatures of them alone are left out."""
+    rng = np.random.default_rng(11)
+    given = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in rng.integers(620, 961, 300)]
+    lists = [np.unique(jaccard_join.signatures(grams, corpus_pipeline.LEAST_SHARED)) for grams in given]
+    _, times = np.unique(np.concatenate(lists), return_counts=True)
+    assert (times > 1).sum() < 5
+
+
+def test_linked_sets_share_a_signature_wherever_they_differ():
+    """Sets as far apart as a link allows, the differences dealt to as many runs as they can spoil."""
+    rng = np.random.default_rng(12)
+    for size in (*range(5, 80), 160, 251, 252, 390, 393, 394, 615, 950, 962, 963):
+        for threshold in (corpus_pipeline.LEAST_SHARED, jaccard_join.THRESHOLD):
+            grams = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+            least, most = threshold.numerator, threshold.denominator
+            gone = int(size * (1 - threshold))
+            swapped = int(size * (1 - threshold) / (1 + threshold))
+            runs = jaccard_join._runs(threshold, jaccard_join._bands(threshold, size)) or 1
+            # Every other shingle in order of ranges, so that each run loses two where the number allows it.
+            near = np.argsort(((grams >> np.uint64(32)) * np.uint64(runs) >> np.uint64(32)).astype(np.int64), kind="stable")
+            for places in (near[:gone], near[:: max(1, size // max(1, gone))][:gone], rng.permutation(size)[:gone]):
+                other = np.delete(grams, places)
+                if len(other) * most >= size * least and len(other) < size:
+                    assert np.intersect1d(jaccard_join.signatures(grams, threshold), jaccard_join.signatures(other, threshold)).size
+            for places in (near[:swapped], rng.permutation(size)[:swapped]):
+                if not swapped:
+                    continue
+                other = np.unique(np.append(np.delete(grams, places), rng.integers(0, 1 << 64, swapped, np.uint64)))
+                shared = np.intersect1d(grams, other).size
+                assert shared * most >= (2 * size - shared) * least
+                assert np.intersect1d(jaccard_join.signatures(grams, threshold), jaccard_join.signatures(other, threshold)).size
