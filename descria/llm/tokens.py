@@ -1,8 +1,9 @@
 """Token ids of whole texts, with what was encoded before kept for later words.
 
-A text is cut before every single blank that stands between two other characters. No token of the two vocabularies used
+A text is cut before every single blank that stands between two other characters, on both sides of such a line end, and between
+a letter and a sign that ends a clause. No token of the two vocabularies used
 here crosses such a cut, and what follows it is encoded alike after any words, so the ids of a piece may be
-kept and used again, found by two 64-bit hashes of its bytes. A text with other runs of white space, with white space at an
+kept and used again, found by two 64-bit hashes of its bytes. Of a vocabulary of lower-case text pieces are kept in lower case. A text with other runs of white space, with white space at an
 end, or with the literal text of a special token is encoded as it is.
 Pieces of plain letters and signs are joined by a mark that is an id of its own, so that one call encodes many of them.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from string import ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ _WHOLE = (
     r"\A[\t-\r ]|[\t-\r ]\z|[\t-\r ][\t-\r ]|"
     r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+_CLAUSE_ENDS = np.isin(np.arange(256), list(b".,;:!?"))
 #: Pieces joined in one text for the tokenizer.
 _GROUP = 500
 
@@ -102,6 +105,22 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - until + counts, counts) + np.arange(until[-1] if len(until) else 0)
 
 
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where a piece may begin: at a blank, at and after a line end, and at a sign that ends a clause and follows a letter."""
+    line_end = raw == 10
+    letter = ((raw | 32) - np.uint8(97)) < 26
+    cut = (raw == 32) | line_end
+    cut[1:] |= line_end[:-1] | (_CLAUSE_ENDS[raw[1:]] & letter[:-1])
+    return cut
+
+
+def _folded(raw: np.ndarray) -> np.ndarray:
+    """``raw`` with A-Z in lower case, but for those before a byte beyond ASCII, which may be a mark that joins the letter."""
+    upper = (raw - np.uint8(65)) < 26
+    upper[:-1] &= raw[1:] < 128
+    return raw | (upper.astype(np.uint8) << 5)
+
+
 def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     """``held`` with ``more`` after its first ``used`` entries; room grows by a quarter."""
     if used + len(more) > len(held):
@@ -126,6 +145,9 @@ class Encoder:
         self.whole = "|".join([_WHOLE, *(f"(?i:{x})" for x in special)])
         # A mark between pieces: encoded alone, it must come out as one id that no plain piece contains.
         self.mark = next((m for m in ("\n", " 0") if self._separates(m)), None)
+        # Where the vocabulary is one of lower-case text, pieces that differ in case are one.
+        capitals = " ".join([ascii_uppercase, *ascii_uppercase])
+        self.folds = self._ids([capitals]) == self._ids([capitals.lower()])
         self.mark_id = int(np.frombuffer(self._ids([self.mark])[0], "<u4")[0]) if self.mark else None
 
     def _separates(self, mark: str) -> bool:
@@ -178,9 +200,13 @@ class Encoder:
         return counts, self.pieces.ids[_spread(self.pieces.starts[number], counts)]
 
     def _cut_ids(self, texts: pa.Array) -> list[bytes]:
-        """Ids of texts that may be cut at every blank, which then opens the next piece."""
+        """Ids of texts that may be cut at every place of ``_cuts``."""
         raw, offsets = flat_text(texts)
-        starts = np.sort(np.concatenate([offsets[:-1], np.flatnonzero(raw == 32)]))
+        cut = _cuts(raw)
+        cut[offsets[:-1]] = True
+        starts = np.flatnonzero(cut)
+        if self.folds:
+            raw = _folded(raw)
         counts, ids, first = [], [], 0
         while first < len(starts):
             last = max(first + 1, int(np.searchsorted(starts, starts[first] + SLICE)))
