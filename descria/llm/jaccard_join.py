@@ -15,7 +15,10 @@ Sets with one signature share a bucket. Buckets are never expanded into pairs: e
 a bucket with those members that aren't yet in the pivot's component, counts shingles in common exactly, and joins
 components. Pivots leave the bucket afterwards; their number grows by PIVOT_GROWTH a round. A bucket ends when its members
 are one component, so groups of copies end after a round or two, whatever their size. Equal sets are one node from the
-start. A pair is checked in three steps, each for what the last one let pass: parities of the shingles on half as many bits as
+start. Similar sets share many signatures: buckets of the same nodes are one bucket, so a pair isn't made once for each of them, and
+a node is a pivot in all buckets of one size or in none, so fewer pairs of a group are made. From the second round on a row also has
+the few buckets of its node before its own, in order of signatures: a pair that both met in one of these is not made again. The first
+bucket that makes it has none before, so no pair is lost. A pair is checked in three steps, each for what the last one let pass: parities of the shingles on half as many bits as
 shingles or more (SKETCH_LONGS * 64 at least), then on twice as many or more, then the whole sets. Parities may differ in no
 more bits than linked sets may differ in shingles: never more bits than shingles differ, so no link is lost. Unrelated sets differ
 in about half the bits, so the first step refuses them at every size. From the second round on pairs that it refuses aren't even made. Whole sets are read again from the texts, for sets in remaining
@@ -38,7 +41,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,11 +57,13 @@ KEPT = list(combinations(range(N2), N2 - K2))
 MORE_RUNS = Fraction(1, 16)
 #: Width of a band in powers of 1 / threshold: wide ones have longer lists of signatures, narrow ones more sets at the top.
 BAND_STEPS = 2
-#: Bits of the map that picks sets where the texts lie: 2 MB, whatever the number of sets.
+#: Bits of the maps that pick sets and rows where the texts lie: 2 MB, whatever the number of sets.
 MAP_BITS = 24
 #: Keys that a task remembers so as not to give the set of a copy again.
 KEPT_KEYS = 200_000
 PIVOT_GROWTH = 8
+#: So many buckets before a bucket are looked at for a pair that has met there.
+EARLIER = 8
 SKETCH_LONGS = 8
 NO_SET = 0
 
@@ -372,6 +377,42 @@ def _apply_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select("signature", "node", "n", F.coalesce("new_root", "root").alias("root"))
 
 
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """(signature, members, first) of the buckets of several components; one of those with the same nodes.
+
+    Nodes are told by their number, the smallest and two 64-bit sums, as sets are by their key.
+    """
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in range(2)]
+    buckets = members.groupBy("signature").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), F.min("node").alias("first"), *sums
+    )
+    same = buckets.where("low <> high").groupBy("members", "first", "sum0", "sum1").agg(F.min("signature").alias("signature"))
+    return same.select("signature", "members", "first")
+
+
+def _meetings(members: DataFrame, sketches: DataFrame, pivots: int, threshold: Fraction) -> DataFrame:
+    """(a, b) of pivots and other members of their buckets that may link; a pair may come more than once."""
+    others = members
+    if pivots > 1:
+        before = Window.partitionBy("node").orderBy("signature").rowsBetween(-EARLIER, -1)
+        others = others.join(sketches.select(F.col("set_key").alias("node"), "sketch"), "node").withColumns(
+            {"met": F.collect_list("signature").over(before), "led": F.collect_list(F.when(F.col("pivot"), F.col("signature"))).over(before)}
+        )
+    own = others.where("pivot").drop("met")
+    own = own.select("signature", *[F.col(c).alias(f"p_{c}") for c in own.columns if c not in ("signature", "pivot")])
+    own = own.withColumnRenamed("p_node", "p")
+    may_link = (F.col("root") != F.col("p_root")) & (
+        F.least("n", "p_n") * F.lit(threshold.denominator) >= F.greatest("n", "p_n") * F.lit(threshold.numerator)
+    )
+    if pivots > 1:
+        # Two pivots meet twice in a bucket; once is enough.
+        may_link &= ~F.col("pivot") | (F.col("p") < F.col("node"))
+        may_link &= _within_parity_bound("sketch", "n", "p_sketch", "p_n", threshold)
+        may_link &= ~F.arrays_overlap("met", "p_led")
+    pairs = others.drop("led").join(own, "signature").where(may_link)
+    return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+
+
 def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame | None:
     """(node, root) over set keys that have links; None if there is no link."""
     dealt = _signature_rows(docs, size, threshold).repartition("signature").sortWithinPartitions("signature", "node")
@@ -385,12 +426,8 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
     sketches = materialise(sketches.select("set_key", "n", "wide", sketch.alias("sketch")), "sketches")
     links, compared, roots, pivots = None, None, None, 1
     while True:
-        buckets = members.groupBy("signature").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), F.min("node").alias("first")
-        )
-        buckets = buckets.where("low <> high").select("signature", "members", "first")
-        chance = F.pmod(F.xxhash64("node", "signature", F.lit(pivots)), F.lit(1 << 20)) * F.col("members") < F.lit(pivots << 20)
-        chosen = members.join(buckets, "signature").select(
+        chance = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 20)) * F.col("members") < F.lit(pivots << 20)
+        chosen = members.join(_open_buckets(members), "signature").select(
             "signature", "node", "n", "root", ((F.col("node") == F.col("first")) | (F.lit(pivots > 1) & chance)).alias("pivot")
         )
         chosen = materialise(chosen, "members")
@@ -398,21 +435,7 @@ def linked_sets(table: DataFrame, docs: DataFrame, size: int, threshold: Fractio
         members = chosen
         if members.isEmpty():
             break
-        others = members
-        if pivots > 1:
-            others = others.join(sketches.select(F.col("set_key").alias("node"), "sketch"), "node")
-        own = others.where("pivot")
-        own = own.select("signature", *[F.col(c).alias(f"p_{c}") for c in own.columns if c not in ("signature", "pivot")])
-        own = own.withColumnRenamed("p_node", "p")
-        may_link = (F.col("root") != F.col("p_root")) & (
-            F.least("n", "p_n") * F.lit(threshold.denominator) >= F.greatest("n", "p_n") * F.lit(threshold.numerator)
-        )
-        if pivots > 1:
-            # Two pivots meet twice in a bucket; once is enough.
-            may_link &= ~F.col("pivot") | (F.col("p") < F.col("node"))
-            may_link &= _within_parity_bound("sketch", "n", "p_sketch", "p_n", threshold)
-        pairs = others.join(own, "signature").where(may_link)
-        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        pairs = _meetings(members, sketches, pivots, threshold).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -490,15 +513,23 @@ def _with_keys(docs: DataFrame, at: int, size: int) -> DataFrame:
 def keep_first(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id, and documents without id or shingles.
 
-    Where an id is on several texts, a row stays if its own set is the kept one of its component.
+    Where an id is on several texts, a row stays if its own set is the kept one of its component. A bitmap of fixed size tells ids
+    that are on one row and first of their component; only other rows, and those that look like them, meet the kept ids in a join.
     """
     found = materialise(_placed(docs, size, threshold), "placed")
     times = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
     kept = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("set_key").alias("set_key"))
     kept = materialise(kept.join(times, "doc_id").select("doc_id", "set_key", "times"), "kept")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
+    marks = materialise(_marks(ids.where("doc_id is not null and (times > 1 or not first)").select("doc_id")), "marks")
     at = position(docs, "doc_id")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    key = f"c{at}"
+    key, names = f"c{at}", plain.columns
+    place = _mark_place(F.col(key).cast("long"))
+    marked = plain.join(F.broadcast(marks), F.shiftright(place, 6) == F.col("mark_at"), "left")
+    bit = F.coalesce(F.getbit("marks", place.bitwiseAND(F.lit(63))), F.lit(0))
+    sure = marked.where((bit == 0) | F.col(key).isNull()).select(names)
+    plain = marked.where(bit == 1).select(names)
     kept = kept.withColumnRenamed("doc_id", key)
     once = plain.join(kept.where("times = 1").select(key), key, "left_semi")
     # Rows that repeat an id: few, so only they are moved.
@@ -506,4 +537,15 @@ def keep_first(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: Fraction =
     again = plain.join(several.select(key), key, "left_semi")
     again = _with_keys(again, position(docs, "text"), size).join(several, [key, "set_key"], "left_semi")
     again = again.dropDuplicates([key, "set_key"]).select(plain.columns)
-    return once.union(again).union(plain.where(F.col(key).isNull())).toDF(*docs.columns)
+    return sure.union(once).union(again).toDF(*docs.columns)
+
+
+def _mark_place(doc_id: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - MAP_BITS)
+
+
+def _marks(ids: DataFrame) -> DataFrame:
+    """(mark_at, marks): the longs of a bitmap of MAP_BITS with any bit set, however many ids there are."""
+    place = _mark_place(F.col("doc_id"))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    return ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("mark_at")).agg(F.bit_or(bit).alias("marks"))

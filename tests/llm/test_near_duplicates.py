@@ -169,3 +169,48 @@ def test_linked_sets_share_a_signature_wherever_they_differ():
                 shared = np.intersect1d(grams, other).size
                 assert shared * most >= (2 * size - shared) * least
                 assert np.intersect1d(jaccard_join.signatures(grams, threshold), jaccard_join.signatures(other, threshold)).size
+
+
+def test_buckets_of_the_same_nodes_are_one(spark):
+    rows = [(s, node, 50, node) for s in range(40) for node in ((1, 2, 3) if s % 2 else (2, 3))] + [(99, 4, 50, 1), (99, 5, 50, 1)]
+    members = spark.createDataFrame(rows, "signature long, node long, n long, root long")
+    got = jaccard_join._open_buckets(members).collect()
+    assert sorted((r.signature, r.members, r.first) for r in got) == [(0, 2, 2), (1, 3, 1)]
+
+
+def test_a_pair_of_many_buckets_is_made_a_few_times(spark):
+    """Ten similar sets in 100 buckets, no two of the same nodes."""
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    wide = [jaccard_join.parities(np.unique(np.append(base, rng.integers(0, 1 << 63, 5).astype(np.uint64))), 16).tolist() for _ in range(10)]
+    longs = jaccard_join._sketch_longs(corpus_pipeline.LEAST_SHARED)
+    sketch = F.transform(F.sequence(F.lit(0), longs - 1), lambda place: jaccard_join._folded_long(place, longs))
+    sketches = spark.createDataFrame(list(enumerate(wide)), "set_key long, wide array<long>").select("set_key", sketch.alias("sketch"))
+    rows = [(s, node, 305, node, node < 2) for s in range(100) for node in range(10) if node < 2 or rng.random() < 0.8]
+    members = spark.createDataFrame(rows, "signature long, node long, n long, root long, pivot boolean")
+    got = [tuple(r) for r in jaccard_join._meetings(members, sketches, 8, corpus_pipeline.LEAST_SHARED).collect()]
+    assert set(got) == {(p, x) for p in (0, 1) for x in range(p + 1, 10)}
+    assert len(got) <= 2 * len(set(got))
+
+
+def test_rows_that_surely_stay_are_not_moved(spark):
+    def moved(plan):
+        texts_too = plan.getClass().getSimpleName() == "ShuffleExchangeExec" and "c1#" in plan.output().mkString(",")
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if texts_too else 0
+        below = [plan.executedPlan()] if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else []
+        below += [plan.plan()] if plan.getClass().getSimpleName() == "ShuffleQueryStageExec" else []
+        children = plan.children()
+        return own + sum(map(moved, below + [children.apply(i) for i in range(children.size())]))
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (300, texts[7]), (301, texts[8] + " more")], "doc_id long, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        kept = jaccard_join.keep_first(docs)
+        rows = kept.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(r.doc_id for r in rows) == list(range(300))
+    assert moved(kept._jdf.queryExecution().executedPlan()) <= 8
