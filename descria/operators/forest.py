@@ -22,19 +22,23 @@ labels give trees of one leaf; ties go to the earlier column, then the lower bin
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descria.columns import quoted
+from descria.errors import DescriaError
 from descria.storage import materialise, ship_package
 
 MAX_BINS = 32
 #: Rows of a node whose subtree one group grows; about 100 bytes each while it grows.
 LOCAL_ROWS = 1_000_000
+#: The same where rows of the fold left out come with them and all trees are deep.
+FOLD_ROWS = 250_000
 #: Rows that a task of the clustered table has.
 _CLUSTER_ROWS = 500_000
 #: Nodes of up to so many cells are split from their cells in order, larger ones from sums by bin.
@@ -59,10 +63,16 @@ class Plan:
     sampled: list[int]  # columns tried at a node, by forest
     bootstrap: bool
     seed: int
+    #: By forest, in searches: the fold it does not learn from (rows then have their fold as number), its rows in a leaf at least.
+    left_out: list[int] | None = None
+    least_rows: list[int] | None = None
 
     def forest_of(self, tree: int) -> int:
         return tree // self.trees
 
+    def min_leaf_of(self, tree: int) -> int:
+        return self.min_leaf if self.least_rows is None else self.least_rows[self.forest_of(tree)]
+
 
 @dataclass
 class Top:
@@ -72,15 +82,24 @@ class Top:
     bin: list[int] = field(default_factory=lambda: [0])
     left: list[int] = field(default_factory=lambda: [-1])
     path: list[int] = field(default_factory=lambda: [1])
+    parent: list[int] = field(default_factory=lambda: [-1])
+    mean: list[float] = field(default_factory=lambda: [0.0])  # of the labels, of nodes with children
 
-    def split(self, node: int, column: int, bin_: int) -> tuple[int, int]:
+    def split(self, node: int, column: int, bin_: int, mean: float = 0.0) -> tuple[int, int]:
         """Gives a leaf two children and returns their numbers."""
-        self.column[node], self.bin[node], self.left[node] = column, bin_, len(self.column)
+        self.column[node], self.bin[node], self.left[node], self.mean[node] = column, bin_, len(self.column), mean
         for side in (0, 1):
             self.column.append(-1), self.bin.append(0), self.left.append(-1)
-            self.path.append(2 * self.path[node] + side)
+            self.path.append(2 * self.path[node] + side), self.parent.append(node), self.mean.append(0.0)
         return self.left[node], self.left[node] + 1
 
+    def means_above(self, node: int) -> list[float]:
+        """Mean labels of the nodes above, from the root on."""
+        out: list[float] = []
+        while (node := self.parent[node]) >= 0:
+            out.append(self.mean[node])
+        return out[::-1]
+
     def route(self, bins: np.ndarray) -> np.ndarray:
         column, bin_, left = (np.array(x) for x in (self.column, self.bin, self.left))
         node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
@@ -110,6 +129,8 @@ _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)]))
 
 def weights(rows: np.ndarray, tree: int, plan: Plan) -> np.ndarray:
     """How often each row is in the tree's sample. Trees of the same number in different forests draw alike."""
+    if plan.left_out is not None:
+        return (rows != plan.left_out[plan.forest_of(tree)]).astype(np.float64)
     if not plan.bootstrap:
         return np.ones(len(rows))
     salt = _mixed(np.array([plan.seed * 1_000_003 + tree % plan.trees], np.uint64))[0]
@@ -229,16 +250,19 @@ def _splits_of_level(
 
 
 def grow_subtree(
-    bins: np.ndarray, w: np.ndarray, s: np.ndarray, q: np.ndarray, plan: Plan, tree: int, path: int, depth: int, n_bins: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """(gain of each of the forest's columns, prediction for each cell) from weight and label sums of cells.
+    bins: np.ndarray, w: np.ndarray, s: np.ndarray, q: np.ndarray, plan: Plan, tree: int, path: int, depth: int, n_bins: int,
+    stops: Sequence[int] = (),
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(gain of each of the forest's columns, prediction for each cell, predictions of the tree cut at each depth of ``stops``).
 
-    Cells of weight 0 are only predicted.
+    Grown from weight and label sums of cells; cells of weight 0 are only predicted.
     """
     columns = plan.forests[plan.forest_of(tree)]
     node, paths = np.zeros(len(w), np.int64), np.array([path])
     gains, value = np.zeros(len(columns)), np.zeros(len(w))
     live = np.arange(len(w))
+    cut: dict[int, np.ndarray] = {}
+    left = depth
     while len(live):
         m, at = len(paths), node[live]
         some = live[w[live] > 0]
@@ -249,17 +273,20 @@ def grow_subtree(
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(total > 0, label / total, 0.0)
             spread = np.maximum(squares - label * mean, 0.0)
+        if depth - left in stops:
+            cut[depth - left] = value.copy()
+            cut[depth - left][live] = mean[at]
         splits = np.zeros(m, bool)
         # No split gains more than the whole spread, and none parts a cell.
         least = LEAST_GAIN * np.maximum(squares, spread)
-        asked = np.flatnonzero((spread > 0.5 * least) & (np.bincount(own, minlength=m) > 1)) if depth > 0 else []
+        asked = np.flatnonzero((spread > 0.5 * least) & (np.bincount(own, minlength=m) > 1)) if left > 0 else []
         if len(asked):
             number = np.full(m, -1)
             number[asked] = np.arange(len(asked))
             use = number[own] >= 0
             from_, to = some[use], number[own[use]]
             column, bin_, gain = _splits_of_level(
-                bins[from_], w[from_], s[from_], to, np.bincount(to, minlength=len(asked)), columns, allowed_columns(plan, tree, paths[asked]), plan.min_leaf, n_bins
+                bins[from_], w[from_], s[from_], to, np.bincount(to, minlength=len(asked)), columns, allowed_columns(plan, tree, paths[asked]), plan.min_leaf_of(tree), n_bins
             )
             good = gain > least[asked]
             splits[asked[good]] = True
@@ -275,8 +302,8 @@ def grow_subtree(
         node[live] = 2 * at + right
         paths = np.repeat(2 * paths[splits], 2)
         paths[1::2] += 1
-        depth -= 1
-    return gains, value
+        left -= 1
+    return gains, value, [cut.get(k, value) for k in stops]
 
 
 # --- preparation --------------------------------------------------------------
@@ -297,11 +324,14 @@ def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> list[lis
     return [out[c] for c in features]
 
 
-def binned_table(df: DataFrame, features: Sequence[str], target: str, held: Column | None, edges: list[list[float]]) -> DataFrame:
-    """(row, y, held, bins), written once: every later step reads these few bytes a row."""
+def binned_table(
+    df: DataFrame, features: Sequence[str], target: str, held: Column | None, edges: list[list[float]], number: Column | None = None
+) -> DataFrame:
+    """(row, y, held, bins), written once: every later step reads these few bytes a row. ``row`` is ``number`` if given."""
     plain = df.select(
         *[quoted(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)],
         quoted(target).cast("double").alias("y"), (F.lit(False) if held is None else held.cast("boolean")).alias("held"),
+        (F.lit(0) if number is None else number).cast("long").alias("number"),
     )
     limits = [np.array(e) for e in edges]
 
@@ -312,11 +342,12 @@ def binned_table(df: DataFrame, features: Sequence[str], target: str, held: Colu
                 grid[:, k] = np.searchsorted(limit, batch.column(k).to_numpy(zero_copy_only=False))
             data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(limits)), len(grid), [None, pa.py_buffer(grid.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(len(limits)), batch.column(len(limits) + 1), data.cast(pa.binary())], names=["y", "held", "bins"]
+                [*batch.columns[len(limits) :], data.cast(pa.binary())], names=["y", "held", "number", "bins"]
             )
 
-    made = plain.mapInArrow(work, "y double, held boolean, bins binary")
-    return materialise(made.select(F.monotonically_increasing_id().alias("row"), "y", "held", "bins"), "binned")
+    made = plain.mapInArrow(work, "y double, held boolean, number long, bins binary")
+    row = F.monotonically_increasing_id() if number is None else F.col("number")
+    return materialise(made.select(row.alias("row"), "y", "held", "bins"), "binned")
 
 
 def clustered(rows: DataFrame, n_rows: int) -> DataFrame:
@@ -376,14 +407,14 @@ def _grow_levels(rows: DataFrame, plan: Plan, tops: dict[int, Top], n_bins: int,
                     continue
                 column = plan.forests[plan.forest_of(tree)][r.column]
                 gains[tree, r.column] = gains.get((tree, r.column), 0.0) + r.gain
-                children = tops[tree].split(node, column, r.bin)
+                children = tops[tree].split(node, column, r.bin, r.mean + centre)
                 deeper += [(tree, c) for c, n in zip(children, (r.n_left, r.n_right), strict=True) if n > local_rows]
         open_, depth = deeper, depth + 1
     return gains
 
 
 def _scan(rows: DataFrame, plan: Plan, tops: dict[int, Top], part: list[tuple[int, int]], n_bins: int, width: int, centre: float) -> DataFrame:
-    """(open, column, bin, gain, squares, n_left, n_right): the best split of each listed node, from one scan."""
+    """(open, column, bin, gain, squares, n_left, n_right, mean): the best split of each listed node, from one scan."""
     spark = rows.sparkSession
     slots: dict[int, dict[int, int]] = {}
     for k, (tree, node) in enumerate(part):
@@ -419,19 +450,20 @@ def _scan(rows: DataFrame, plan: Plan, tops: dict[int, Top], part: list[tuple[in
         weight, label = np.zeros((columns, 1, n_bins)), np.zeros((columns, 1, n_bins))
         weight[column, 0, bin_], label[column, 0, bin_] = w, s
         allowed = allowed_columns(plan, tree, np.array([tops_path[number[0]]]))
-        k, b, gain = (x[0] for x in best_splits(lambda k: (weight[k], label[k]), columns, allowed, plan.min_leaf))
+        k, b, gain = (x[0] for x in best_splits(lambda k: (weight[k], label[k]), columns, allowed, plan.min_leaf_of(tree)))
         left = weight[k, 0, : b + 1].sum()
         return pa.table(
             {
                 "open": pa.array([number[0]], pa.int32()), "column": pa.array([k], pa.int32()), "bin": pa.array([b], pa.int32()),
                 "gain": [float(gain)], "squares": [float(q.sum() / columns)], "n_left": [float(left)], "n_right": [float(weight[k].sum() - left)],
+                "mean": [float(label[k].sum() / weight[k].sum())],
             }
         )
 
     tops_path = [tops[t].path[n] for t, n in part]
     summed = rows.mapInArrow(add_up, "open int, column int, bin int, w double, s double, q double")
     summed = summed.groupBy("open", "column", "bin").agg(*[F.sum(x).alias(x) for x in "wsq"])
-    return summed.groupBy("open").applyInArrow(choose, "open int, column int, bin int, gain double, squares double, n_left double, n_right double")
+    return summed.groupBy("open").applyInArrow(choose, "open int, column int, bin int, gain double, squares double, n_left double, n_right double, mean double")
 
 
 # --- subtrees -------------------------------------------------------------------
@@ -538,7 +570,7 @@ def _grow_trees(packed: DataFrame, plan: Plan, units: list[tuple[int, int, int]]
             w = weights(own_row, t, plan)
             sums = [np.bincount(own_cell, x, len(firsts)) for x in (w, w * own_y, w * own_yy)]
             use = np.flatnonzero((sums[0] > 0) | predicted)
-            gains, value = grow_subtree(cell_bins[use], *[x[use] for x in sums], plan, t, 1, plan.depth, n_bins)
+            gains, value, _ = grow_subtree(cell_bins[use], *[x[use] for x in sums], plan, t, 1, plan.depth, n_bins)
             out.append(_gains(forest, t, gains))
             if len(asked):
                 values = np.zeros(len(firsts))
@@ -567,7 +599,7 @@ def _grow_units(packed: DataFrame, plan: Plan, tops: dict[int, Top], units: list
         mean = s.sum() / w.sum() if n else 0.0
         s, q = s - mean * w, np.maximum(q - 2 * mean * s + mean * mean * w, 0.0)
         path = trees[tree].path[node]
-        gains, value = grow_subtree(every[firsts], w, s, q, plan, tree, path, plan.depth - (path.bit_length() - 1), n_bins)
+        gains, value, _ = grow_subtree(every[firsts], w, s, q, plan, tree, path, plan.depth - (path.bit_length() - 1), n_bins)
         out = [_gains(plan.forest_of(tree), tree, gains)]
         if len(row):
             out.append(_grown("held", plan.forest_of(tree), -1, row, y + centre, value[cell[n:]] + mean + centre, 1))
@@ -576,6 +608,127 @@ def _grow_units(packed: DataFrame, plan: Plan, tops: dict[int, Top], units: list
     return packed.groupBy("unit").applyInArrow(grow, GROWN)
 
 
+# --- one tree for each fold left out ----------------------------------------------
+
+_FOLD_CELLS = "unit int, first long, cells binary, cell_bins binary, others binary, other_bins binary"
+_FOLD_ERRORS = "tree long, stop long, seen boolean, error double"
+
+
+def _packed_folds(rows: DataFrame, plan: Plan, tops: dict[int, Top], units: list[tuple[int, int]], width: int, centre: float) -> DataFrame:
+    """Cells of each unit, by the columns of its tree: sums of the rows it learns from, and of those of the fold left out."""
+    state = rows.sparkSession.sparkContext.broadcast((tops, units))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, wanted = state.value
+        unit_of = {t: np.full(len(top.column), -1) for t, top in trees.items()}
+        for u, (tree, node) in enumerate(wanted):
+            unit_of[tree][node] = u
+        first = TaskContext.get().partitionId() << 32
+        for block, (fold, y, _, bins, starts) in enumerate(_by_cell(batches, width), first):
+            y = y - centre
+            sums_of: dict[int, tuple[np.ndarray, ...]] = {}
+            for t, own in unit_of.items():
+                out_of = plan.left_out[plan.forest_of(t)]
+                if out_of not in sums_of:
+                    learnt = weights(fold, t, plan)
+                    sums_of[out_of] = tuple(np.stack([np.add.reduceat(x, starts) for x in (w, w * y, w * y * y)]) for w in (learnt, 1.0 - learnt))
+                unit, own_bins = own[trees[t].route(bins)], bins[:, plan.forests[plan.forest_of(t)]]
+                packs: dict[int, list[bytes]] = {}
+                for k, sums in enumerate(sums_of[out_of]):
+                    some = np.flatnonzero((sums[0] > 0) & (unit >= 0))
+                    order = some[np.argsort(unit[some], kind="stable")]
+                    cuts = [*np.flatnonzero(np.diff(unit[order], prepend=-1)), len(order)]
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        pack = packs.setdefault(int(unit[order[a]]), [b""] * 4)
+                        pack[2 * k : 2 * k + 2] = [sums[:, order[a:b]].T.tobytes(), own_bins[order[a:b]].tobytes()]
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                names = ("unit", "first", "cells", "cell_bins", "others", "other_bins")
+                out = [(u, block, *pack) for u, pack in packs.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+    return rows.mapInArrow(work, _FOLD_CELLS)
+
+
+def _fold_units(
+    packed: DataFrame, plan: Plan, tops: dict[int, Top], units: list[tuple[int, int]], n_bins: int, centre: float, stops: Sequence[int]
+) -> DataFrame:
+    """Squared errors in each unit, of the tree cut at each depth of ``stops``, on rows it learnt from and on others."""
+    state = packed.sparkSession.sparkContext.broadcast((tops, units))
+
+    def grow(table: pa.Table) -> pa.Table:
+        trees, wanted = state.value
+        tree, node = wanted[table.column("unit")[0].as_py()]
+        table = table.sort_by("first")  # blocks arrive in any order
+        cells, others, cell_bins, other_bins = _joined(
+            table, (("cells", np.float64), ("others", np.float64), ("cell_bins", np.uint8), ("other_bins", np.uint8))
+        )
+        del table
+        width = len(plan.forests[plan.forest_of(tree)])
+        own = replace(plan, forests=[list(range(width))] * len(plan.forests))
+        cells, others = cells.reshape(-1, 3), others.reshape(-1, 3)
+        n, every = len(cells), np.concatenate([cell_bins, other_bins]).reshape(-1, width)
+        firsts, cell = _cells(every)
+        sides = [[np.bincount(at, x[:, k], len(firsts)) for k in range(3)] for at, x in ((cell[:n], cells), (cell[n:], others))]
+        mean = sides[0][1].sum() / sides[0][0].sum() if n else 0.0
+        sides = [(w, s - mean * w, np.maximum(q - 2 * mean * s + mean * mean * w, 0.0)) for w, s, q in sides]
+        path, above = trees[tree].path[node], trees[tree].means_above(node)
+        depth = path.bit_length() - 1
+        below = [k - depth for k in stops if k >= depth]
+        _, _, cut = grow_subtree(every[firsts], *sides[0], own, tree, path, plan.depth - depth, n_bins, below)
+        values = [np.full(len(firsts), above[k] - centre - mean) for k in stops if k < depth] + cut
+        found = [(tree, k, seen, float((q - 2 * v * s + v * v * w).sum())) for k, v in zip(stops, values, strict=True) for seen, (w, s, q) in zip((True, False), sides, strict=True)]
+        return pa.table(dict(zip(("tree", "stop", "seen", "error"), map(list, zip(*found, strict=True)), strict=True)))
+
+    return packed.groupBy("unit").applyInArrow(grow, _FOLD_ERRORS)
+
+
+def fold_errors(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    fold: str,
+    folds: int,
+    least_rows: Sequence[int],
+    depths: Sequence[int],
+    max_bins: int = MAX_BINS,
+    local_rows: int = FOLD_ROWS,
+) -> dict[tuple[int, int, int, bool], tuple[float, float, int]]:
+    """(squared error, squares about the mean, rows) by rows in a leaf, depth, fold left out, and whether these rows were learnt from.
+
+    A tree of a smaller depth is the beginning of the deepest one, so there is one tree for each fold and number of rows in a leaf,
+    and all of these are grown together. Bins are those of the rows learnt from.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    d, stops = len(features), sorted(set(depths))
+    edges = [e for f in range(folds) for e in bin_edges(df.where(F.col(fold) != f), features, max_bins)]
+    chosen = [list(range(f * d, (f + 1) * d)) for f in range(folds) for _ in least_rows]
+    plan = Plan(chosen, 1, stops[-1], 1, [d] * len(chosen), False, 0, [f for f in range(folds) for _ in least_rows], list(least_rows) * folds)
+    rows = binned_table(df, list(features) * folds, target, None, edges, F.col(fold))
+    n_bins, width = max(2, 1 + max(len(e) for e in edges)), len(edges)
+    centre = rows.agg(F.avg("y")).first()[0] or 0.0
+    from_centre = F.col("y") - centre
+    by_fold = rows.groupBy("row").agg(F.count_if(F.col("y").isNotNull() & ~F.isnan("y")).alias("n"), F.count(F.lit(1)).alias("every"), F.sum(from_centre).alias("s"), F.sum(from_centre * from_centre).alias("q")).collect()
+    if any(r.n < r.every for r in by_fold):
+        raise DescriaError(f"rows without {target!r}")
+    rows = clustered(rows, sum(r.n for r in by_fold))
+    tops = {t: Top() for t in range(len(chosen))}
+    _grow_levels(rows, plan, tops, n_bins, width, local_rows, centre)
+    units = [(t, n) for t, top in tops.items() for n, c in enumerate(top.column) if c < 0]
+    packed = _packed_folds(rows, plan, tops, units, width, centre).repartition(len(units), "unit")
+    errors = _fold_units(packed, plan, tops, units, n_bins, centre, stops).groupBy("tree", "stop", "seen").agg(F.sum("error").alias("error"))
+    out = {}
+    for r in errors.collect():  # a few numbers a tree
+        own = [(x.n, x.s, x.q) for x in by_fold if (x.row != plan.left_out[r.tree]) == r.seen]
+        n, s, q = (sum(x[k] for x in own) for k in range(3))
+        least = LEAST_GAIN * q  # below it differences of sums are rounding errors
+        if n:
+            spread = q - s * s / n
+            about = (max(r.error, 0.0), spread if spread > least else 0.0, n)
+            out[plan.least_rows[r.tree], r.stop, plan.left_out[r.tree], r.seen] = about
+    return out
+
+
 # --- entry points ---------------------------------------------------------------
 
 

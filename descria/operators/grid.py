@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descria.columns import feature_columns, quoted, require_columns
-from descria.operators import gram, linear, logit, metrics, score, split
+from descria.operators import forest, gram, linear, logit, metrics, score, split
 from descria.operators.normal import penalised_from_moments, score_from_moments
 from descria.operators.impute import median_impute_global
-from descria.operators.importance import tree_estimator
+from descria.operators.importance import depth, tree_estimator
 from descria.storage import materialise, ship_package
 
 # Default candidate lists per task and algorithm.
@@ -89,6 +89,8 @@ BOOSTED_ALGORITHMS = ("xgboost", "lightgbm")
 LINEAR_REGRESSORS = ("ridge", "lasso", "elasticnet", "linear_regression")
 CLASS_METRICS = ("accuracy", "f1", "roc_auc", "precision", "recall")
 VALUE_METRICS = ("R2", "Neg_MSE")
+# Sums by node that a task holds while the best tree of many rows is fitted again.
+REFIT_MB = 256
 CV_SCHEMA = "param_id int, fold int, split string, metric string, value double"
 
 
@@ -292,6 +294,23 @@ def first_rounds(model, rounds: int):
     return kind(java.copyValues(made, java.extractParamMap()))
 
 
+def cv_trees(
+    train: DataFrame, features: Sequence[str], target: str, candidates: Sequence[Mapping], folds: int
+) -> DataFrame:
+    """CV table of single regression trees, all grown together by :mod:`descria.operators.forest`; no tree comes to the driver."""
+    options = [(int(c.get("min_samples_leaf", 1)), depth(c.get("max_depth"))) for c in candidates]
+    leaves, depths = (sorted({o[k] for o in options}) for k in range(2))
+    errors = forest.fold_errors(train, features, target, "fold", folds, leaves, depths, local_rows=min(forest.FOLD_ROWS, forest.LOCAL_ROWS))
+    rows = []
+    for pid, option in enumerate(options):
+        for fold in range(folds):
+            for side, seen in (("train", True), ("test", False)):
+                error, spread, n = errors[*option, fold, seen]
+                r2 = 1.0 - error / spread if spread > 0 else float(error <= forest.LEAST_GAIN * n)
+                rows += [(pid, fold, side, "R2", r2), (pid, fold, side, "Neg_MSE", -error / n)]
+    return train.sparkSession.createDataFrame(rows, CV_SCHEMA)
+
+
 def cv_fitted(
     train: DataFrame,
     features: Sequence[str],
@@ -303,8 +322,14 @@ def cv_fitted(
     seed: int,
     parallelism: int,
 ) -> DataFrame:
-    """CV table of estimators fitted by Spark, one fit per fold and group of :func:`sharing_fits`."""
+    """CV table of estimators fitted by Spark, one fit per fold and group of :func:`sharing_fits`.
+
+    Spark sends all nodes of a tree to the driver and holds sums by node in each task. Single trees on values over more than
+    ``forest.LOCAL_ROWS`` rows, which may have as many nodes as rows, are therefore grown by :func:`cv_trees`.
+    """
     spark = train.sparkSession
+    if algorithm == "decision_tree" and task == "regression" and linear.row_count(train) > forest.LOCAL_ROWS:
+        return cv_trees(train, features, target, candidates, folds)
     narrow = train.select(*[quoted(c) for c in features], quoted(target).cast("double").alias(target), "fold")
     ready = materialise(
         linear.assembler(features).transform(narrow).select(linear.VECTOR, target, "fold"), "assembled"
@@ -336,7 +361,10 @@ def refit(
         l1, l2 = penalties(algorithm, params, float(linear.row_count(train)))
         return linear.fit_least_squares(train, features, target, l1=l1, l2=l2, scaled=True)
     data = train.select(*[quoted(c) for c in features], quoted(target).cast("double").alias(target))
-    estimator = estimator_for(algorithm, task, target, params, linear.row_count(data), seed)
+    n = linear.row_count(data)
+    estimator = estimator_for(algorithm, task, target, params, n, seed)
+    if algorithm == "decision_tree" and n > forest.LOCAL_ROWS:
+        estimator = estimator.setMaxMemoryInMB(REFIT_MB)  # same tree, more passes
     return Pipeline(stages=[linear.assembler(features), estimator]).fit(data)
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from descria.operators import combos, forest, importance
+from descria.errors import DescriaError
+from descria.operators import combos, forest, grid, importance
 from descria.operators.linear import VECTOR
 
 NAMES = ["a", "b", "c", "d e"]
@@ -120,3 +121,33 @@ def test_small_nodes_split_alike_from_cells_and_from_bins():
             if gain > 1e-9:
                 wl, sl, wa, sa = w[use][left].sum(), s[use][left].sum(), w[use][mine].sum(), s[use][mine].sum()
                 assert sl * sl / wl + (sa - sl) ** 2 / (wa - wl) - sa * sa / wa == pytest.approx(want[2][k], abs=1e-9)
+
+
+@pytest.mark.parametrize("local_rows", [60, 800])
+def test_trees_of_a_search_grown_together_equal_sparks(table, local_rows, monkeypatch):
+    """Spark's fits sent all nodes to the driver and held the sums of many nodes in each task."""
+    candidates = grid.param_grid("decision_tree", "regression", {"max_depth": [2, 4, 0], "min_samples_leaf": [1, 6]})
+    train = table.drop("held", "label").withColumn("fold", F.pmod(F.hash(*NAMES), F.lit(3)))
+    args = (train, NAMES, "y", "decision_tree", "regression", candidates, 3, 42, 4)
+    want = {tuple(r)[:4]: r.value for r in grid.cv_fitted(*args).collect()}
+    monkeypatch.setattr(forest, "LOCAL_ROWS", local_rows)
+
+    def refused(*_, **__):
+        raise AssertionError("fitted by Spark")
+
+    monkeypatch.setattr(grid, "estimator_for", refused)
+    got = {tuple(r)[:4]: r.value for r in grid.cv_fitted(*args).collect()}
+    assert len(want) == 6 * 3 * 2 * 2 and got == pytest.approx(want, rel=1e-6, abs=1e-9)
+    with pytest.raises(DescriaError):
+        grid.cv_fitted(train.withColumn("y", F.when(F.col("a") > 1, F.col("y"))), *args[1:])
+
+
+def test_unlimited_trees_of_a_search(spark, monkeypatch):
+    """Levels end above some of the depths; every row is parted, so what a tree learnt from has no error left."""
+    rows = [(float(k), float(k * k), k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "x double, y double, fold int")
+    for local_rows in (50, 1000):
+        got = forest.fold_errors(df, ["x"], "y", "fold", 2, [1], [1, 30], max_bins=250, local_rows=local_rows)
+        assert got[1, 30, 0, True][0] < 1e-9 * got[1, 30, 0, True][1] and got[1, 30, 0, False][0] > 1
+        assert got[1, 1, 1, True][:2] == pytest.approx(forest.fold_errors(df, ["x"], "y", "fold", 2, [1], [1], max_bins=250)[1, 1, 1, True][:2])
+        assert {n for _, _, n in got.values()} == {200}
