@@ -172,3 +172,29 @@ def test_trees_are_dealt_by_work():
     assert whole[-1] == (40, 50, 0) and all(a % 10 == b % 10 == 0 for a, b, _ in whole)
     single = forest._dealt(plan, 100_000, 32, 1000, False)
     assert single == [(t, t + 1, 0) for t in range(50)]
+
+
+def test_tables_of_few_cells_need_no_levels(spark, monkeypatch):
+    """4,000 rows of 6 kinds: nodes were split level by level, with a scan of all rows each, as long as they had many rows."""
+    rows = [(float(k % 3), float(k % 2), float(k % 6) + 0.25 * (k % 5)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").coalesce(1)
+
+    def refused(*_):
+        raise AssertionError("levels")
+
+    monkeypatch.setattr(forest, "_grow_levels", refused)
+    one = forest.grow_forests(df, ["a", "b"], "y", trees=5)
+    two = forest.grow_forests(df, ["a", "b"], "y", trees=5, local_rows=1000)
+    assert forest.importances(two, ["a", "b"]) == pytest.approx(forest.importances(one, ["a", "b"]), abs=1e-2)
+    with pytest.raises(AssertionError):
+        forest.grow_forests(df.withColumn("b", F.monotonically_increasing_id().cast("double")), ["a", "b"], "y", trees=1, local_rows=50)
+
+
+def test_draws_by_table_are_those_by_search():
+    rows = np.concatenate([np.arange(200_000), np.arange(50_000) + (3 << 33)])
+    plan = forest.Plan([[0]], 5, 9, 1, [1], True, 42)
+    for tree in (0, 3):
+        salt = forest._mixed(np.array([42 * 1_000_003 + tree], np.uint64))[0]
+        drawn = forest._mixed(rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt) >> np.uint64(11)
+        want = np.searchsorted(forest._POISSON, drawn / float(1 << 53), "right")
+        assert (forest.weights(rows, tree, plan) == want).all() and abs(want.mean() - 1) < 0.01
